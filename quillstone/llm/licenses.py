@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm.wordhash import gram_hashes, word_hashes
+
 K = 2
 #: Phrases whose every place is counted, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -53,30 +55,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def _gram_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of K words, rolled over the hashes of the words' bytes."""
-    n = len(words) - K + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64) + np.uint64(1 + seed)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    with np.errstate(over="ignore"):
-        powers = _powers(int(size.max()))
-        inside = np.arange(len(raw)) - np.repeat(end - size, np.append(size[:-1] + 1, size[-1]))
-        raw = raw * powers[np.minimum(inside, len(powers) - 1)]
-        raw[end[:-1]] = 0
-        h = np.add.reduceat(raw, end - size)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out = np.zeros(n, np.uint64)
-        for i in range(K):
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i]
-    return out
-
-
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([1], np.full(n, 0x100000001B3))).astype(np.uint64))
+def _gram_hashes(words: list[bytes]) -> np.ndarray:
+    return gram_hashes(word_hashes(words), K)
 
 
 def _template_rows(templates: list[tuple[str, str, bool]]) -> list[tuple]:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, licenses, packing, sharding, urls
+from quillstone.llm import ann, chat, decontam, licenses, lines, near, packing, quality, sharding, urls
 from quillstone.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -25,6 +29,25 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.components(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.length("text").cast("long").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -70,5 +93,9 @@ d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHA
 SELECT doc_id, slot, CAST(slots[slot + 1] AS INTEGER) AS shard FROM d, t"""
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_chat_format, op8_url_filter, op9_packing, op10_sharding)}
+_ALL = (
+    op1_decontamination, op2_license_scan, op3_chat_format, op4_nearest_neighbours, op5_near_duplicates,
+    op6_line_dedup, op7_quality, op8_url_filter, op9_packing, op10_sharding,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op3_chat_format": _CHAT_SQL, "op8_url_filter": _urls_sql(), "op10_sharding": _sharding_sql()}
