@@ -96,9 +96,7 @@ def windows(docs: DataFrame, bench: DataFrame, share: float = SIMILARITY, limit:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     if (n := shingles.count()) <= limit:  # a bounded set of hashes, looked up in place
         listed = [r["g"] for r in shingles.collect()]
-        found = F.filter(positions(F.col("w")), lambda i: F.lit(False) if not n else shingle(F.col("w"), i).isin(listed))
         hits = base.select("doc_id", "w", let(F.col("w"), lambda w: F.filter(positions(w), lambda i: shingle(w, i).isin(listed) if n else F.lit(False))).alias("hits"))
-        del found
     else:
         rows = base.withColumn("row", F.monotonically_increasing_id())
         flat = rows.select("row", F.posexplode(let(F.col("w"), lambda w: F.transform(positions(w), lambda i: shingle(w, i)))).alias("pos", "g"))

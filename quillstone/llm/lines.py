@@ -36,8 +36,6 @@ from quillstone.llm.wordhash import gram_hashes, mix, word_hashes
 MIN_WORDS = 5
 GATE = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
-#: Where a line stands; the order of its fields is the order of lines.
-POS = "struct<doc_id:bigint,text_hash:bigint,line:int>"
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -184,11 +182,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     by_hash = least.groupBy(*keys).agg(F.min(F.when(whole == 1, F.col("least"))).alias("line"), F.min(F.when(whole == 0, F.col("least"))).alias("longer"))
     longer = by_hash.where("line is not null and longer is not null")
     exchanged = least.where((F.col("gone") >= 0) & (F.col("least") < F.col("most")))
-    keyed = variants.withColumn("earlier", F.lit(None).cast(POS))
     by_gone = variants.join(exchanged.select(*keys, "gone", F.col("least").alias("earlier")), [*keys, "gone"]).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
     shorter = variants.where("gone >= 0").join(longer.select(*keys, F.col("line").alias("earlier")), keys).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
     itself = longer.where(F.col("longer") < F.col("line")).select(F.col("longer").alias("earlier"), F.col("line").alias("pos"))
-    del keyed
     pairs = cut(by_gone.union(shorter).union(itself).distinct())
     near = cut(_verify(pairs, texts).distinct())
     # a distinct line that nearly repeats goes; its equals went already

@@ -235,7 +235,8 @@ def components(docs: DataFrame, percent: int = 85, size: int = SIZE) -> DataFram
     settled = cut(connected_components(links.union(shared)))
     reps = classes.join(settled, classes.rep == settled.node, "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
     full = feats.drop("bands").join(reps, same, "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
