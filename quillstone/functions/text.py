@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 4
-TRUNCATED = "\n... [truncated]"
-EMOTIONS = ("certain", "uneasy", "speculating", "concerned", "confused")
+TRUNCATED = "\n... [truncated] ...\n"
+EMOTIONS = ("certain", "uneasy", "speculating", "confused", "satisfied", "concerned")
 SEVERITIES = ("critical", "warning", "note")
 VERDICTS = ("rejected", "revised")
 
 
+def strip(s: Column) -> Column:
+    """Without white space of any kind at its ends; trim() takes only spaces away."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def utf16_length(s: Column) -> Column:
     """Length in UTF-16 code units, where characters beyond the basic plane count twice."""
     return (F.octet_length(F.encode(s, "UTF-16LE")) / 2).cast("int")
@@ -35,14 +40,14 @@ def prefix(s: Column, chars: int) -> Column:
 
 def coerce_emotion(raw: Column, known: tuple[str, ...] = EMOTIONS) -> Column:
     """K5: a known emotion in lower case, else uneasy."""
-    e = F.lower(F.trim(raw))
+    e = strip(F.lower(raw))
     return F.when(e.isin(*known), e).otherwise(F.lit("uneasy"))
 
 
 def coerce_number(raw: Column) -> Column:
     """A string as the numeric conversion of a dynamic language reads it: null and blank 0, else the number, NaN if it is none."""
-    s = F.trim(raw.cast("string"))
-    return F.when(raw.isNull() | (s == ""), F.lit(0.0)).otherwise(F.coalesce(F.expr("double('NaN')") if False else s.try_cast("double"), F.lit(float("nan"))))
+    s = strip(raw.cast("string"))
+    return F.when(raw.isNull() | (s == ""), F.lit(0.0)).otherwise(F.coalesce(s.try_cast("double"), F.lit(float("nan"))))
 
 
 def parse_confidence(raw: Column, semantics: str = "documented") -> Column:
@@ -65,7 +70,7 @@ def coerce_verdict(raw: Column) -> Column:
 
 def consensus_status(raw: Column) -> Column:
     """Part of K1: agreed and dismissed stay, all else (contested too) is disputed."""
-    return F.when(raw.isin("agreed", "dismissed"), raw).otherwise(F.lit("disputed"))
+    return F.when(F.lower(raw).isin("agreed", "dismissed"), F.lower(raw)).otherwise(F.lit("disputed"))
 
 
 def finding_id(issue: Column, locations: Column) -> Column:
@@ -80,15 +85,15 @@ def extract_field(block: Column, field: str) -> Column:
 
 def to_list(text: Column) -> Column:
     """C11: the lines of a text without bullets, blank ones left out."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-•*]\s*", "")))
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[-•*]\s*", "")))
     return F.coalesce(F.filter(lines, lambda x: F.length(x) > 0), F.array().cast("array<string>"))
 
 
 def json_of(raw: Column) -> Column:
     """The JSON in a fenced block, else the whole text if it is JSON; else null."""
-    fenced = F.trim(F.regexp_extract(raw, r"```(?:json)?\s*([\s\S]*?)```", 1))
+    fenced = strip(F.regexp_extract(raw, r"```(?:json)?\s*([\s\S]*?)```", 1))
     fine = lambda s: F.try_parse_json(s).isNotNull()
-    return F.when(fenced.isNotNull() & (fenced != "") & fine(fenced), fenced).when(fine(F.trim(raw)), F.trim(raw))
+    return F.when(fenced.isNotNull() & (fenced != "") & fine(fenced), fenced).when(fine(strip(raw)), strip(raw))
 
 
 def search_tokens(text: Column, longer_than: int = 2) -> Column:
@@ -125,7 +130,7 @@ def normal_formula(formula: Column) -> Column:
 
 def forbidden_functions(formula: Column, names: list[str]) -> Column:
     """Those of the named functions that a formula calls."""
-    return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.expr("false") if False else F.regexp_like(formula, F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\s*\("))))
+    return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.regexp_like(formula, F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\s*\("))))
 
 
 def deterministic_id(name: Column, namespace: str) -> Column:
@@ -149,9 +154,9 @@ def import_target(text: Column) -> Column:
     """The path that an import statement names."""
     some = lambda c: F.nullif(c, F.lit(""))
     quoted = some(F.regexp_extract(text, r"from\s+['\"]([^'\"]+)['\"]", 1))
-    relative = F.when(quoted.startswith(".") & ~quoted.rlike(r"\.\w+$"), F.concat(quoted, F.lit(".ts"))).otherwise(quoted)
-    dotted = some(F.regexp_extract(text, r"from\s+([\w.]+)\s+import", 1))
-    go = some(F.regexp_extract(text, r"import\s+['\"]([^'\"]+)['\"]", 1))
+    relative = F.when(quoted.startswith(".") & ~quoted.rlike(r"\.tsx?$"), F.concat(quoted, F.lit(".ts"))).otherwise(quoted)
+    dotted = some(F.regexp_extract(text, r"from\s+([\w.]+)", 1))
+    go = some(F.regexp_extract(text, r"import\s+['\"`]([^'\"`]+)", 1))
     rust = some(F.regexp_extract(text, r"use\s+([\w:]+)", 1))
     return F.coalesce(relative, F.concat(F.replace(dotted, F.lit("."), F.lit("/")), F.lit(".py")), go, F.concat(F.replace(rust, F.lit("::"), F.lit("/")), F.lit(".rs")))
 
