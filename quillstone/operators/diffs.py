@@ -31,7 +31,7 @@ def header_file(line: Column) -> Column:
 
 def _pieces(lines: Column, starts: Column, last: Column) -> Column:
     """The runs of lines from each start (from 1) up to the next."""
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1))
+    ends = F.slice(F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(last + 1)), 1, F.size(starts))
     return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.slice(lines, p["a"], p["b"] - p["a"]))
 
 

@@ -1,8 +1,8 @@
 """The code graph: nodes and edges from symbols, and reachability over them.
 
 Nodes are (node_key, label, name, kind, file), edges (src, dst, rel). Reachability is a loop of joins
-between the frontier and the edges, at most MAX_DEPTH of them; what was reached before is left out, so
-a cycle ends it and no path is listed twice.
+between the frontier and the edges, at most MAX_DEPTH of them, each step written to the shared checkpoint
+folder; what was reached before is left out, so a cycle ends it and no path is listed twice.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import import_target
+from quillstone.lineage import cut
 
 MAX_DEPTH = 10
 
@@ -106,12 +107,14 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """J5, G7 (documented): for each seed (root, node) what reaches it against the edges src -> dst:
     root, node, depth (fewest hops, 1 to max_depth, clamped to 1..10). Seeds themselves are left out."""
     depth = min(max(max_depth, 1), MAX_DEPTH)
-    back = edges.select("src", "dst").distinct()
-    seen = seeds.select("root", "node").distinct().withColumn("depth", F.lit(0))
+    back = cut(edges.select("src", "dst").distinct())
+    seen = cut(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.select("root", F.col("node").alias("dst")).join(back, "dst").select("root", F.col("src").alias("node")).distinct()
-        frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -126,6 +129,7 @@ def dependents_as_coded(edges: DataFrame, files: DataFrame, max_depth: int = 3)
     found = None
     for d in range(1, depth + 1):
         front = front.join(hop, F.col("node") == F.col("dst")).where(~F.array_contains("used", F.col("edge"))).select("root", F.col("src").alias("node"), F.array_append("used", F.col("edge")).alias("used"))
+        front = cut(front)
         rows = front.select("root", "node", F.lit(d + 1).alias("depth"))
         found = rows if found is None else found.unionByName(rows)
     return found.join(contained, "root").select("root", F.col("node").alias("qualified_name"), "depth", F.lit("CONTAINS").alias("relationship_type"))
@@ -151,7 +155,7 @@ def risk_map(dependents: DataFrame, changed: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("depth") == 1, F.col("node")))).alias("direct"), F.array_sort(F.collect_set(F.when(F.col("depth") > 1, F.col("node")))).alias("indirect")
     )
     return changed.select("root").distinct().join(lists, "root", "left").select(
-        "root", F.coalesce("direct", F.array()).alias("direct"), F.coalesce("indirect", F.array()).alias("indirect"), F.coalesce(risk(F.size("direct"), F.size("indirect")), F.lit(0.0)).alias("risk")
+        "root", F.coalesce("direct", F.array()).alias("direct"), F.coalesce("indirect", F.array()).alias("indirect"), risk(F.coalesce(F.size("direct"), F.lit(0)), F.coalesce(F.size("indirect"), F.lit(0))).alias("risk")
     )
 
 
