@@ -13,8 +13,9 @@ tell its earliest line, again by partial aggregation: a key of any size costs no
 each line to these earliest ones are verified by their word-level edit distance.
 
 Before the variants are emitted, lines without any possible partner are left out by a lossless test:
-one changed word leaves either the first or the last GATE words as they are, so a longer line has to
-share one of these runs with another distinct line.
+of two lines within the bound, of which the longer has N words, one changed word leaves either the
+first or the last (N - 1) // 2 words as they are, so a line has to share one of these runs with
+another distinct line, for N its own number of words or one more.
 
 Cases: null or empty text has no lines to touch and stays as it is; rows with equal doc_id and text are
 one document and get the same result; null ids order first; a document whose lines all go is left with
@@ -31,28 +32,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import cut, small
-from quillstone.llm.wordhash import gram_hashes, mix, word_hashes
+from quillstone.llm.wordhash import mix, word_hashes
 
 MIN_WORDS = 5
-GATE = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
 
 
 def line_words(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, _M, np.uint64))
+
+
 def _hash_of(h: np.ndarray) -> np.ndarray:
     """Two 64-bit hashes of a sequence of word hashes."""
     with np.errstate(over="ignore"):
-        p = np.cumprod(np.full(len(h), _M, np.uint64))
+        p = _powers(len(h))
         return np.array([(h * p).sum(dtype=np.uint64), (mix(h + _M) * p).sum(dtype=np.uint64)], np.uint64)
 
 
 def deletions(h: np.ndarray) -> np.ndarray:
     """_hash_of the sequence without its i-th word, for each i: a row of two hashes each."""
     with np.errstate(over="ignore"):
-        p = np.cumprod(np.full(len(h), _M, np.uint64))
+        p = _powers(len(h))
         out = []
         for v in (h, mix(h + _M)):
             before = np.cumsum(np.r_[np.uint64(0), v * p])[:-1]
@@ -77,39 +83,48 @@ def _split(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def _line_keys(lines: list[list[bytes]]) -> list[np.ndarray]:
+    """Of each line two hashes, and four of the runs that the test compares."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = word_hashes([w for x in lines for w in x])
+    end = np.cumsum(n)
+    start = end - n
+    with np.errstate(over="ignore"):
+        p, back = _powers(int(n.max())), np.cumprod(np.full(int(n.max()) + 1, _INVERSE, np.uint64))
+        inside = np.arange(len(h)) - np.repeat(start, n)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * p[inside])))
+        out = [total[end] - total[start], np.add.reduceat(mix(h + _M) * p[inside], start)]
+        for longer in (n, n + 1):
+            run = (longer - 1) // 2
+            first = total[start + run] - total[start]
+            last = (total[end] - total[end - run]) * np.where(run < n, back[np.maximum(n - run - 1, 0)], np.uint64(1))
+            seed = longer.astype(np.uint64) * np.uint64(2)
+            out += [mix(first + mix(seed)), mix(last + mix(seed + np.uint64(1)))]
+    return [x.astype(np.int64) for x in out]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that may be touched: doc_id, text_hash, line, h1, h2, n, first, last."""
+    """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs."""
+    names = ["doc_id", "text_hash", "line", "h1", "h2", "a", "b", "c", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text_hash, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                t = text.as_py()
-                if not t:
-                    continue
-                split = [line_words(x) for x in t.encode("utf-8", "surrogatepass").split(b"\n")]
-                at = [i for i, w in enumerate(split) if len(w) >= MIN_WORDS]
-                if not at:
-                    continue
-                sizes = [len(split[i]) for i in at]
-                every = word_hashes([w for i in at for w in split[i]])
-                ends = np.cumsum(sizes)
-                with np.errstate(over="ignore"):
-                    p = np.cumprod(np.full(max(sizes), _M, np.uint64))
-                    inside = np.arange(len(every)) - np.repeat(ends - sizes, sizes)
-                    h1 = np.add.reduceat(every * p[inside], ends - sizes)
-                    h2 = np.add.reduceat(mix(every + _M) * p[inside], ends - sizes)
-                grams = gram_hashes(every, GATE)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(at, pa.int32()),
-                        pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(sizes, pa.int32()),
-                        pa.array(grams[ends - sizes].astype(np.int64)), pa.array(grams[ends - GATE].astype(np.int64)),
-                    ],
-                    ["doc_id", "text_hash", "line", "h1", "h2", "n", "first", "last"],
-                )
-
-    return _split(docs).mapInArrow(run, "doc_id long, text_hash long, line int, h1 long, h2 long, n int, first long, last long")
+            held: list[list] = [[], [], [], []]
+            size = 0
+            for i in range(batch.num_rows):
+                t = batch.column(2)[i].as_py()
+                for j, line in enumerate(t.encode("utf-8", "surrogatepass").split(b"\n") if t else ()):
+                    w = line_words(line)
+                    if len(w) >= MIN_WORDS:
+                        for c, v in zip(held, (i, j, w)):
+                            c.append(v)
+                size += len(t or "")
+                if held[0] and (size > 500_000 or i == batch.num_rows - 1):
+                    at, keys = pa.array(held[0]), _line_keys(held[2])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(held[1], pa.int32()), *map(pa.array, keys)], names)
+                    held, size = [[], [], [], []], 0
+
+    return _split(docs).mapInArrow(run, "doc_id long, text_hash long, line int, h1 long, h2 long, a long, b long, c long, d long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,12 +132,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text_hash, text, lines in zip(*(batch.column(i) for i in range(4))):
-                split = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
-                rows += [(doc_id.as_py(), text_hash.as_py(), i, b" ".join(line_words(split[i]))) for i in lines.as_py()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "text_hash", "line", "words"])
+            at, lines, words = [], [], []
+            for i in range(batch.num_rows):
+                split = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass").split(b"\n")
+                for j in batch.column(3)[i].as_py():
+                    at.append(i)
+                    lines.append(j)
+                    words.append(b" ".join(line_words(split[j])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(lines, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "text_hash", "line", "words"])
 
     d, w = _split(docs), wanted
     joined = d.join(w, d.doc_id.eqNullSafe(w.doc_id) & (d.text_hash == w.text_hash)).select(d.doc_id, d.text_hash, "text", "lines")
@@ -132,20 +149,24 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _variants(texts: DataFrame) -> DataFrame:
     """A row for each variant: h1, h2, gone (the word left out, -1: none) and the line's pos."""
+    names = ["h1", "h2", "gone", "doc_id", "text_hash", "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pos, words in zip(batch.column(0), batch.column(1)):
-                h = word_hashes(words.as_py().split(b" "))
-                v = np.concatenate((_hash_of(h)[None], deletions(h))).astype(np.int64)
-                p = pos.as_py()
-                n = len(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[:, 0]), pa.array(v[:, 1]), pa.array(np.arange(-1, n - 1), pa.int32()), pa.array([p["doc_id"]] * n, pa.int64()), pa.array([p["text_hash"]] * n, pa.int64()), pa.array([p["line"]] * n, pa.int32())],
-                    ["h1", "h2", "gone", "doc_id", "text_hash", "line"],
-                )
-
-    rows = texts.select("pos", "words").mapInArrow(run, "h1 long, h2 long, gone int, doc_id long, text_hash long, line int")
+            held, rows = [], 0
+            first = 0
+            for i in range(batch.num_rows):
+                h = word_hashes(batch.column(3)[i].as_py().split(b" "))
+                held.append(np.concatenate((_hash_of(h)[None], deletions(h))).astype(np.int64))
+                rows += len(h) + 1
+                if rows > 50_000 or i == batch.num_rows - 1:
+                    v, sizes = np.concatenate(held), [len(x) for x in held]
+                    at = pa.array(np.repeat(np.arange(first, i + 1), sizes))
+                    gone = pa.array(np.concatenate([np.arange(-1, n - 1) for n in sizes]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1]), gone, *[batch.column(c).take(at) for c in range(3)]], names)
+                    held, rows, first = [], 0, i + 1
+
+    rows = texts.select("pos.*", "words").mapInArrow(run, "h1 long, h2 long, gone int, doc_id long, text_hash long, line int")
     return rows.select("h1", "h2", "gone", F.struct("doc_id", "text_hash", "line").alias("pos"))
 
 
@@ -165,52 +186,43 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and line of the lines that repeat an earlier one, and near: whether only nearly."""
     lines = cut(_lines(docs))
-    keys = ["h1", "h2"]
+    keys, runs = ["h1", "h2"], ["a", "b", "c", "d"]
     pos = F.struct("doc_id", "text_hash", "line")
-    distinct = lines.groupBy(*keys).agg(F.min(pos).alias("pos"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
-    equal = lines.select(*keys, pos.alias("pos")).join(distinct.select(*keys, F.col("pos").alias("earlier")), keys).where(F.col("pos") != F.col("earlier")).select("pos.*", F.lit(False).alias("near"))
-    # either run that a single changed word leaves alone has to be shared; the two kinds are kept apart
-    ends = distinct.where(F.col("n") >= 2 * GATE + 1).select("pos", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("first").alias("h")), F.struct(F.lit(1).alias("end"), F.col("last").alias("h")))).alias("run")).select("pos", "run.*")
-    common = ends.groupBy("end", "h").agg(F.min("pos").alias("least"), F.max("pos").alias("most")).where(F.col("least") < F.col("most")).select("end", "h")
-    gated = ends.join(common, ["end", "h"], "left_semi").select("pos").union(distinct.where(F.col("n") < 2 * GATE + 1).select("pos")).distinct()
+    distinct = cut(lines.groupBy(*keys).agg(F.min(pos).alias("pos"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in runs]))
+    several = distinct.where("times > 1").select(*keys, F.col("pos").alias("earlier"))
+    equal = lines.select(*keys, pos.alias("pos")).join(small(several), keys).where(F.col("pos") != F.col("earlier")).select("pos.*", F.lit(False).alias("near"))
+    run = distinct.select(F.col("h1").alias("of"), "pos", F.explode(F.array(*runs)).alias("run"))
+    shared = cut(run.groupBy("run").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least < most").select("run"))
+    gated = run.join(small(shared), "run", "left_semi").select("pos").distinct()
     wanted = cut(gated.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_list("pos.line").alias("lines")))
     texts = cut(_texts(docs, small(wanted)))
-    variants = _variants(texts)
-    whole = (F.col("gone") < 0).cast("int")
+    variants = cut(_variants(texts))
+    whole = F.col("gone") < 0
     least = variants.groupBy(*keys, "gone").agg(F.min("pos").alias("least"), F.max("pos").alias("most"))
     # for each hash: the line that is it, and the earliest that becomes it by leaving out a word
-    by_hash = least.groupBy(*keys).agg(F.min(F.when(whole == 1, F.col("least"))).alias("line"), F.min(F.when(whole == 0, F.col("least"))).alias("longer"))
-    longer = by_hash.where("line is not null and longer is not null")
-    exchanged = least.where((F.col("gone") >= 0) & (F.col("least") < F.col("most")))
-    by_gone = variants.join(exchanged.select(*keys, "gone", F.col("least").alias("earlier")), [*keys, "gone"]).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
-    shorter = variants.where("gone >= 0").join(longer.select(*keys, F.col("line").alias("earlier")), keys).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
+    by_hash = least.groupBy(*keys).agg(F.min(F.when(whole, F.col("least"))).alias("line"), F.min(F.when(~whole, F.col("least"))).alias("longer"))
+    longer = cut(by_hash.where("line is not null and longer is not null"))
+    exchanged = cut(least.where(~whole & (F.col("least") < F.col("most"))).select(*keys, "gone", F.col("least").alias("earlier")))
+    by_gone = variants.join(small(exchanged), [*keys, "gone"]).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
+    shorter = variants.where(~whole).join(small(longer.select(*keys, F.col("line").alias("earlier"))), keys).where(F.col("earlier") < F.col("pos")).select("earlier", "pos")
     itself = longer.where(F.col("longer") < F.col("line")).select(F.col("longer").alias("earlier"), F.col("line").alias("pos"))
-    pairs = cut(by_gone.union(shorter).union(itself).distinct())
-    near = cut(_verify(pairs, texts).distinct())
+    pairs = by_gone.union(shorter).union(itself).distinct()
     # a distinct line that nearly repeats goes; its equals went already
+    near = _verify(pairs, texts).distinct()
     return equal.union(near.withColumn("near", F.lit(True)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text less the repeated lines, and n_lines, n_dropped and n_near, which replace columns of these names."""
-    gone = repeated_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "near")).alias("_gone"))
-    g = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
+    gone = cut(repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
     d = docs.drop("n_lines", "n_dropped", "n_near").withColumn("_text_hash", F.xxhash64("text"))
-    joined = d.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-
-    def run(text: pa.Array, gone: pa.Array) -> pa.Array:
-        out = []
-        for t, g in zip(text.to_pylist(), gone.to_pylist()):
-            if g and t is not None:
-                away = set(g)
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in away)
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.arrow_udf(run, "string")("text", F.coalesce("_gone.line", F.array().cast("array<int>"))))
+    joined = d.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone.line"))
+    rest = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), F.lit(0))
     counts = {
-        "n_lines": F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("int"),
+        "n_lines": F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("int"),
         "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("int"), "n_near": F.coalesce(F.size(F.filter("_gone", lambda x: x["near"])), F.lit(0)).cast("int"),
     }
-    out = joined.withColumns(counts).withColumn("text", text)
+    out = joined.withColumns(counts).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
     return out.drop("_text_hash", "_id", "_hash", "_gone")
