@@ -170,18 +170,24 @@ def language(path: Column) -> Column:
     )
 
 
-SUSPICIOUS = (
-    ("replacement", 0xFFFD, 0xFFFD), ("zero_width", 0x200B, 0x200F), ("bom", 0xFEFF, 0xFEFF), ("private_use", 0xE000, 0xF8FF),
-    ("surrogate", 0xD800, 0xDFFF), ("control", 0x0001, 0x0008), ("box", 0x25A0, 0x25A1),
-)
+#: Kinds of characters that fonts lack or that change how text reads, by code points. Fixed values.
+SUSPICIOUS = {
+    "notdef": (0x00,),
+    "control_char": (*range(0x01, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F),
+    "replacement_char": (0xFFFD,),
+    "zero_width": (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x034F),
+    "bidi_control": (0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069),
+    "variation_selector": tuple(range(0xFE00, 0xFE10)),
+}
+PRIVATE_USE = (0xE000, 0xF8FF)
 
 
 def code_point_kind(char: Column) -> Column:
     """Part of C21: the kind of a suspicious character, null for others."""
     c = F.ascii(char)
-    out = F.lit(None).cast("string")
-    for name, lo, hi in reversed(SUSPICIOUS):
-        out = F.when(c.between(lo, hi), F.lit(name)).otherwise(out)
+    out = F.when(c.between(*PRIVATE_USE), F.lit("private_use_area"))
+    for name, points in SUSPICIOUS.items():
+        out = F.when(c.isin(*points), F.lit(name)).otherwise(out)
     return out
 
 
@@ -195,4 +201,4 @@ def character_similarity(a: Column, b: Column) -> Column:
 def fuzzy_match(a: Column, b: Column, above: float = 0.6) -> Column:
     """One holds the other, or their characters are alike."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.contains(x, y) | F.contains(y, x) | (character_similarity(x, y) > above)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (character_similarity(x, y) > above))

@@ -166,11 +166,25 @@ def mode_share(df: DataFrame, value: str, limit: float = 0.2) -> DataFrame:
     return out.withColumn("warn", F.col("others") > limit)
 
 
-def audit(cells: DataFrame, by: list[str], errors: int = 50, zeros: int = 30) -> DataFrame:
-    """formulas, error cells and zero cells, with capped lists of the latter two."""
-    bad, zero = F.col("value").startswith("#"), F.col("value").try_cast("double") == 0
-    listed = lambda c, n: F.slice(F.array_sort(F.collect_list(F.when(F.coalesce(c, F.lit(False)), F.col("cell")))), 1, n)
-    return cells.groupBy(*by).agg(F.count_if(F.col("formula").isNotNull()).alias("formulas"), F.count_if(bad).alias("errors"), F.count_if(zero).alias("zeros"), listed(bad, errors).alias("error_cells"), listed(zero, zeros).alias("zero_cells"))
+#: Error values of cells, and formulas that only work as arrays. Fixed values.
+CELL_ERRORS = ("#VALUE!", "#DIV/0!", "#REF!", "#NAME?", "#NULL!", "#NUM!", "#N/A")
+IMPLICIT_ARRAYS = (r"(?i)MATCH\s*\(\s*TRUE\s*\(\s*\)", r"(?i)MATCH\s*\(\s*TRUE\s*,", r"(?i)MATCH\s*\([^,]+[<>=!]+[^,]+,")
+
+
+def audit(cells: DataFrame, by: list[str], errors: int = 50, zeros: int = 30, arrays: int = 20) -> DataFrame:
+    """of cells (cell, formula, value) with a formula: how many, errors, zeros and implicit arrays, each with a capped list."""
+    f = cells.where(F.col("formula").isNotNull())
+    bad, array = F.lit(False), F.lit(False)
+    for e in CELL_ERRORS:
+        bad = bad | F.contains("value", F.lit(e))
+    for p in IMPLICIT_ARRAYS:
+        array = array | F.col("formula").rlike(p)
+    kinds = {"error": (bad, errors), "zero": (F.col("value").try_cast("double") == 0, zeros), "array": (array, arrays)}
+    aggs = []
+    for name, (c, n) in kinds.items():
+        holds = F.coalesce(c, F.lit(False))
+        aggs += [F.count_if(holds).alias(f"{name}s"), F.slice(F.array_sort(F.collect_list(F.when(holds, F.col("cell")))), 1, n).alias(f"{name}_cells")]
+    return f.groupBy(*by).agg(F.count("*").alias("formulas"), *aggs)
 
 
 def sheet_summary(cells: DataFrame) -> DataFrame:

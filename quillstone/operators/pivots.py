@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.aggregates import numeric_aggregate
 
-#: Points of a rumor by its type. Fixed values.
-TYPE_POINTS = {"merger": 5, "insider": 4, "regulatory": 3, "analyst": 3, "supply_chain": 2, "social": 1}
-URGENT, ENGAGED = r"(?i)(breaking|urgent|just in|exclusive|confirmed)", 2
-#: Bounds of payout ratios, of safety ratings, and points of a safety score. Fixed values.
+#: Points of a rumor by its type (others: 1) and the words of urgent ones. Fixed values.
+TYPE_POINTS = {"ma": 5, "insider": 4, "analyst": 3, "regulatory": 3, "earnings": 2}
+URGENT, ENGAGED = r"(?i)breaking|just in|alert|urgent", 2
+#: Bounds of payout ratios in percent. Fixed values.
 PAYOUT = ((40, "safe"), (60, "moderate"), (80, "high"))
+#: Verdicts that count as buying, watching and selling. Fixed values.
+VERDICTS = {"buy": ("买入", "强烈买入"), "watch": ("观望",), "sell": ("卖出",)}
 
 
 def text_key(c: Column) -> Column:
@@ -41,11 +43,11 @@ def cross_tab(df: DataFrame, rows: list[str], col: str, value: str, method: str
 
 
 def payout_status(ratio: Column) -> Column:
-    """By the share of earnings paid out; null: none."""
-    out = F.lit("critical")
+    """By the share of earnings paid out; null: unknown."""
+    out = F.lit("unsustainable")
     for bound, name in reversed(PAYOUT):
         out = F.when(ratio < bound, name).otherwise(out)
-    return F.when(ratio.isNull(), F.lit("none")).otherwise(out)
+    return F.when(ratio.isNull(), F.lit("unknown")).otherwise(out)
 
 
 def payout_ratio(dividend: Column, eps: Column) -> Column:
@@ -54,11 +56,12 @@ def payout_ratio(dividend: Column, eps: Column) -> Column:
 
 
 def safety(payout: Column, growth: Column, years: Column, yield_: Column) -> dict[str, Column]:
-    """Score 0 to 100, the factors that moved it, and a rating."""
+    """Score 0 to 100, the factors behind it, and a rating. A null figure moves nothing."""
     rules = [
-        (payout < 40, 20, "low payout"), ((payout >= 40) & (payout < 60), 10, "moderate payout"), (payout >= 80, -20, "high payout"),
-        (growth > 5, 15, "growing"), (growth < 0, -15, "shrinking"),
-        (years >= 25, 15, "25 years"), ((years >= 10) & (years < 25), 10, "10 years"), ((years >= 5) & (years < 10), 5, "5 years"), (yield_ > 8, -10, "high yield"),
+        (payout < 40, 20, "payout healthy"), ((payout >= 40) & (payout < 60), 10, "payout moderate"), ((payout >= 60) & (payout < 80), -10, "payout high"), (payout >= 80, -20, "payout unsustainable"),
+        (growth > 10, 15, "growth strong"), ((growth > 5) & (growth <= 10), 10, "growth good"), ((growth > 0) & (growth <= 5), 5, "growth small"), (growth <= 0, -15, "shrinking"),
+        (years >= 25, 15, "aristocrat"), ((years >= 10) & (years < 25), 10, "long stable"), ((years >= 5) & (years < 10), 5, "stable"),
+        (yield_ > 8, -10, "yield very high"), (yield_ < 1, 0, "yield low"),
     ]
     total = F.lit(50)
     for c, points, _ in rules:
@@ -70,18 +73,19 @@ def safety(payout: Column, growth: Column, years: Column, yield_: Column) -> dic
 
 def impact_score(kind: Column, text: Column, engaged: Column) -> Column:
     """1, points of the type, 2 for urgent words, 2 for engagement; at most 10."""
-    points = F.lit(0)
+    points = F.lit(1)
     for name, p in TYPE_POINTS.items():
         points = F.when(kind == name, p).otherwise(points)
-    return F.least(F.lit(10), 1 + points + F.when(text.rlike(URGENT), 2).otherwise(0) + F.when(engaged, ENGAGED).otherwise(0))
+    extra = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    return F.least(F.lit(10), 1 + points + extra(text.rlike(URGENT), 2) + extra(engaged, ENGAGED))
 
 
 def alerts(watch: DataFrame) -> DataFrame:
-    """Up to three rows for an item: target reached, stop reached, signal changed."""
-    p = F.col("current_price")
+    """Up to three rows for an item: target reached, stop reached, signal changed; a price of 0 or null is not set."""
+    p, set_ = F.col("current_price"), lambda c: F.col(c) != 0
     kinds = F.array_compact(F.array(
-        F.when(p >= F.col("target_price"), F.lit("target_hit")), F.when(p <= F.col("stop_price"), F.lit("stop_hit")),
-        F.when(F.col("alert_on_signal") & F.col("current_signal").isNotNull() & F.col("last_signal").isNotNull() & (F.col("current_signal") != F.col("last_signal")), F.lit("signal_change")),
+        F.when(set_("target_price") & (p >= F.col("target_price")), F.lit("target_hit")), F.when(set_("stop_price") & (p <= F.col("stop_price")), F.lit("stop_hit")),
+        F.when(p.isNotNull() & F.col("alert_on_signal") & F.col("current_signal").isNotNull() & F.col("last_signal").isNotNull() & (F.col("current_signal") != F.col("last_signal")), F.lit("signal_change")),
     ))
     return watch.select("ticker", "current_price", F.explode(kinds).alias("alert"))
 
@@ -106,16 +110,16 @@ def remove(old: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 
 def validate_prices(stocks: DataFrame) -> DataFrame:
-    """What is missing or extreme about each row; 0 counts as missing."""
+    """What is missing or extreme about each row; 0 counts as missing; an error is the only warning of its row."""
     falsy = lambda c: F.coalesce(F.col(c), F.lit(0.0)) == 0
     w = F.array_compact(F.array(
-        F.when(falsy("price"), F.lit("price missing")), F.when(falsy("ma50") & falsy("ma200"), F.lit("moving averages missing")),
-        F.when(F.col("rsi") > 80, F.lit("overbought")), F.when(falsy("pe") & falsy("eps"), F.lit("fundamentals missing")),
+        F.when(falsy("price"), F.lit("price missing")), F.when(falsy("ma5") & falsy("ma20"), F.lit("moving averages missing")),
+        F.when(F.coalesce("overbought_warning", F.lit(False)), F.lit("overbought")), F.when(falsy("roe") & falsy("pe_ttm"), F.lit("fundamentals missing")),
     ))
-    return stocks.withColumns({"warnings": w, "valid": ~falsy("price")})
+    failed = F.coalesce("error", F.lit("")) != ""
+    return stocks.withColumns({"warnings": F.when(failed, F.array(F.concat(F.lit("fetch failed: "), "error"))).otherwise(w), "valid": ~failed & ~falsy("price")})
 
 
-def verdict_buckets(df: DataFrame, verdict: str = "verdict") -> DataFrame:
+def verdict_buckets(df: DataFrame, verdict: str = "verdict", names: dict[str, tuple[str, ...]] = VERDICTS) -> DataFrame:
     """How many to buy, watch and sell."""
-    v = F.lower(F.col(verdict))
-    return df.agg(F.count_if(v.isin("strong buy", "buy")).alias("buy"), F.count_if(v.isin("hold", "watch")).alias("watch"), F.count_if(v.isin("sell", "strong sell")).alias("sell"))
+    return df.agg(*[F.count_if(F.col(verdict).isin(*v)).alias(k) for k, v in names.items()])

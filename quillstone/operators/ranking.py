@@ -44,24 +44,30 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "t
 
 
 def find_rule(items: DataFrame, rules: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Of rules (ord, category, keywords) the one that is equal, else part of one another, else with a keyword; first declared among equals.
+    """Of rules (ord, category) the one that is equal, else part of one another, else with a word of its in the text; first declared among equals.
 
     Rules are a fixed table and are broadcast.
     """
     t, c = F.lower(F.trim(F.col(text))), F.lower(F.trim("category"))
-    level = F.when(t == c, 1).when(F.contains(t, c) | F.contains(c, t), 2).when(F.exists("keywords", lambda k: F.contains(t, F.lower(k))), 3)
+    level = F.when(t == c, 1).when(F.contains(t, c) | F.contains(c, t), 2).when(F.exists(F.split(c, r"[\s/-]+"), lambda k: (k != "") & F.contains(t, k)), 3)
     m = items.select(id_col, text).join(F.broadcast(rules)).withColumn("level", level).where("level is not null")
     best = m.groupBy(id_col).agg(F.min_by(F.struct("category", "level"), F.struct("level", "ord")).alias("_r"))
     return items.select(id_col, text).join(best, id_col, "left").select(id_col, text, F.col("_r.category").alias("category"), F.col("_r.level").alias("level"))
 
 
-def best_match(results: DataFrame, by: list[str], name: str, fields: list[str], keyword: str, order: str) -> DataFrame:
-    """An exact name first; else 10 for a keyword in the name, 3 in another field, 1 anywhere in the row; first among equals."""
-    n, k = F.lower(F.col(name)), F.lower(F.col(keyword))
-    inside = [F.when(F.contains(F.lower(F.col(f)), k), 3).otherwise(0) for f in fields]
-    score = F.when(F.contains(n, k), 10).otherwise(0) + sum(inside[1:], inside[0]) + F.when(F.contains(F.lower(F.concat_ws(" ", name, *fields)), k), 1).otherwise(0)
-    w = Window.partitionBy(*by).orderBy(F.desc(F.coalesce(n == k, F.lit(False))), F.desc("match_score"), order)
-    return results.withColumn("match_score", score).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def best_match(results: DataFrame, by: list[str], name: str, keywords_of: str, fields: list[str], wanted: str, order: str) -> DataFrame:
+    """Of each group's results one, by its wanted words (an array, most wanted first): the first whose name holds, or
+    is part of, the most wanted word that any name has; else the highest sum of 10 for a word in the name, 3 in its
+    keywords, 1 in another field; else the first."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    clean = lambda w: F.lower(F.trim(w))
+    rest = F.lower(F.concat_ws(" ", name, keywords_of, *fields))
+    hit = F.filter(F.sequence(F.lit(0), F.size(wanted) - 1), lambda i: F.contains(n, clean(F.get(wanted, i))) | F.contains(clean(F.get(wanted, i)), n))
+    first = F.when(F.size(wanted) > 0, F.get(hit, F.lit(0)))
+    one = lambda w: F.when(F.contains(n, w), 10).when(F.contains(F.lower(F.coalesce(keywords_of, F.lit(""))), w), 3).when(F.contains(rest, w), 1).otherwise(0)
+    score = F.aggregate(wanted, F.lit(0), lambda s, w: s + one(clean(w)))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("_first"), F.desc("match_score"), order)
+    return results.withColumns({"_first": first, "match_score": score}).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_first")
 
 
 def project(df: DataFrame, wanted: list[str]) -> DataFrame:

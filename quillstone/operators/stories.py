@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns whose first group is a point in time. Fixed values.
-TIME_MARKERS = (r"(?i)\b((?:day|week|month|year)\s+\d+)\b", r"(?i)\b(chapter\s+\d+)\b", r"\b(\d{4}-\d{2}-\d{2})\b", r"(?i)\b((?:next|last)\s+(?:day|week|month|year|morning|night))\b", r"(?i)\b(\d+\s+(?:hours?|days?|weeks?|months?|years?)\s+(?:later|ago))\b", r"(?i)\b(dawn|noon|dusk|midnight)\b")
-PROFILE = {"age": r"(?i)\bage\s*:\s*(\d+)", "hair": r"(?i)\bhair\s*:\s*(\w+)", "eyes": r"(?i)\beyes\s*:\s*(\w+)", "role": r"(?i)\brole\s*:\s*(.+)", "height": r"(?i)\bheight\s*:\s*(.+)", "aliases": r"(?i)\baliases\s*:\s*(.+)"}
+from quillstone.functions.text import code_point_kind
+
+#: Patterns whose first group is a point in time, or a list of characters; attributes of profiles; colours. Fixed values.
+TIME_MARKERS = (
+    r"(?i)(?:Day|Night)\s+(\d+)", r"(?i)(\d+)\s+(?:days?|weeks?|months?|years?)\s+(?:later|ago|after|before)", r"(?i)(?:Morning|Afternoon|Evening|Night)\s+of\s+(?:Day\s+)?(\d+)",
+    r"(?i)Chapter\s+(\d+)", r"(?i)\*\*(?:Timeline|Time|When):\*\*\s*(.+?)(?:\n|$)", r"(?i)\*\*Date:\*\*\s*(.+?)(?:\n|$)",
+)
+CHARACTERS = (r"(?i)\*\*Characters?:\*\*\s*(.+?)(?:\n|$)", r"(?i)\*\*(?:POV|Perspective):\*\*\s*(.+?)(?:\n|$)")
+PROFILE = {
+    "age": r"(?i)\*\*Age:\*\*\s*(.+?)(?:\n|$)", "appearance": r"(?i)\*\*Appearance:\*\*\s*(.+?)(?:\n|$)", "hair": r"(?i)hair[\s:]+([^,\n]+)",
+    "eyes": r"(?i)eyes[\s:]+([^,\n]+)", "height": r"(?i)\*\*Height:\*\*\s*(.+?)(?:\n|$)", "role": r"(?i)\*\*Role:\*\*\s*(.+?)(?:\n|$)",
+}
+ALIASES, NAME = r"(?i)\*\*(?:Nicknames?|Aliases?):\*\*\s*(.+?)(?:\n|$)", r"(?m)^#\s+(.+?)$"
+COLOURS = r"(?i)\b(black|brown|blonde|red|auburn|white|gray|grey|blue|green|hazel)\b"
 
 
 def _places(text: Column, pattern: str) -> Column:
     """(pos, marker) of a pattern's matches. The parts between the matches tell where each one is."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(hits, lambda h, k: F.struct((total(gaps, k + 1) + total(hits, k)).alias("pos"), F.regexp_extract(h, pattern, 1).alias("marker")))
+    return F.transform(hits, lambda h, k: F.struct((total(gaps, k + 1) + total(hits, k)).alias("pos"), F.trim(F.regexp_extract(h, pattern, 1)).alias("marker")))
 
 
 def time_markers(text: Column) -> Column:
@@ -23,10 +34,10 @@ def time_markers(text: Column) -> Column:
 
 
 def listed_names(text: Column) -> Column:
-    """Names given as Characters: a, b & c."""
-    lines = F.regexp_extract_all(text, F.lit(r"(?i)characters?\s*:\s*([^\n]+)"), F.lit(1))
+    """Names given on lines of characters or of perspective: a, b & c and d."""
+    lines = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CHARACTERS])
     names = F.flatten(F.transform(lines, lambda x: F.split(x, r"[,&]|\sand\s")))
-    return F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""))
+    return F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def mentions(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,13 +64,32 @@ def profile(text: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def contradictions(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc_id, name, attribute, said, known) where a mentioned age, hair or eye colour is another than the profile's."""
-    m = mentions(docs, profiles.select(F.col("name").alias("term"))).join(profiles, F.col("term") == F.col("name")).join(docs.select("doc_id", "text"), "doc_id")
-    near = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    said = {"age": near(r"(?i)(\d+)[- ]years?[- ]old"), "hair": near(r"(?i)(\w+) hair"), "eyes": near(r"(?i)(\w+) eyes")}
-    rows = F.array(*[F.struct(F.lit(k).alias("attribute"), F.lower(v).alias("said"), F.lower(F.try_element_at("profile", F.lit(k))).alias("known")) for k, v in said.items()])
-    return m.select("doc_id", "name", F.inline(rows)).where("said is not null and known is not null and said != known")
+def profiles(files: DataFrame) -> DataFrame:
+    """C17: name (the first title), profile and aliases of each file (path, text) that has a title."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    listed = F.filter(F.transform(F.split(F.regexp_extract("text", ALIASES, 1), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    return files.select("path", some(F.regexp_extract("text", NAME, 1)).alias("name"), profile(F.col("text")).alias("profile"), listed.alias("aliases")).where("name is not null")
+
+
+def contradictions(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, name, attribute, said, known) of known profiles (name, profile): an age in a sentence on a name
+    that is not the profile's, or hair or eyes in such a sentence with a colour and without the profile's words."""
+    m = mentions(docs, known.select(F.col("name").alias("term"))).join(known, F.col("term") == F.col("name")).join(docs.select("doc_id", "text"), "doc_id")
+    on = lambda rest: F.concat(F.lit(r"(?i)\b\Q"), F.col("name"), F.lit(r"\E\b" + rest))
+    of = lambda k: F.try_element_at("profile", F.lit(k))
+    age = F.nullif(F.regexp_extract(of("age"), r"\d+", 0), F.lit(""))
+    ages = F.transform(F.regexp_extract_all("text", on(r"[^.!?]*\b(\d+)[\s-](?:year|yr)"), F.lit(1)), lambda x: F.struct(F.lit("age").alias("attribute"), x.alias("said"), age.alias("known")))
+    rows = [F.filter(ages, lambda x: x["known"].isNotNull() & (x["said"] != x["known"]))]
+    for k in ("hair", "eyes"):
+        said = F.regexp_extract_all("text", on(rf"[^.!?]*\b{k}\b[^.!?]*"), F.lit(0))
+        rows.append(_odd(said, k, of(k)))
+    return m.select("doc_id", "name", F.explode(F.concat(*rows)).alias("r")).select("doc_id", "name", "r.*")
+
+
+def _odd(said: Column, attribute: str, known: Column) -> Column:
+    """Of sentences on an attribute those with a colour that lack the profile's words."""
+    bad = F.filter(said, lambda x: known.isNotNull() & ~F.contains(F.lower(x), F.lower(known)) & x.rlike(COLOURS))
+    return F.transform(bad, lambda x: F.struct(F.lit(attribute).alias("attribute"), x.alias("said"), known.alias("known")))
 
 
 def name_variants(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -76,10 +106,8 @@ def first_facts(facts: DataFrame, key: list[str], value: str, order: str) -> Dat
 
 
 def suspicious_characters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", around: int = 10) -> DataFrame:
-    """Position, kind and surroundings of characters that fonts lack."""
-    from quillstone.functions.text import code_point_kind
-
-    chars = docs.select(id_col, text, F.posexplode(F.split(text, "")).alias("pos", "char")).where(F.ascii("char") > 0)
-    kind = code_point_kind(F.col("char"))
+    """Position, character, kind and surroundings of characters that fonts lack; of equal kinds and surroundings the first."""
+    chars = docs.select(id_col, text, F.posexplode(F.split(text, "")).alias("pos", "ch")).where(F.col("ch") != "").withColumn("kind", code_point_kind(F.col("ch"))).where("kind is not null")
     start = F.greatest(F.lit(1), F.col("pos") + 1 - around)
-    return chars.withColumn("kind", kind).where("kind is not null").select(id_col, "pos", "kind", F.col(text).substr(start, F.lit(2 * around + 1)).alias("context"))
+    found = chars.select(id_col, "pos", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("ch")), 4, "0")).alias("char"), "kind", F.col(text).substr(start, F.col("pos") + 2 + around - start).alias("context"))
+    return found.groupBy(id_col, "kind", "context").agg(F.min(F.struct("pos", "char")).alias("_f")).select(id_col, "_f.pos", "_f.char", "kind", "context")

@@ -169,11 +169,13 @@ def f24_f30_keyword_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.keyword_votes(table(spark, sf_dir, "documents"), "doc_id", "text", words, "unknown")
 
 
-@query("""SELECT l_returnflag AS sheet, count(*) FILTER (l_linenumber = 1) AS formulas, count(*) FILTER (l_linestatus = 'F') AS errors, count(*) FILTER (l_linestatus <> 'F' AND l_discount = 0) AS zeros,
-  list_sort(list(l_orderkey) FILTER (l_linestatus = 'F'))[1:50] AS error_cells, list_sort(list(l_orderkey) FILTER (l_linestatus <> 'F' AND l_discount = 0))[1:30] AS zero_cells FROM lineitem GROUP BY 1""")
+@query("""WITH f AS (SELECT *, l_linestatus = 'F' AS e, l_linestatus <> 'F' AND l_discount = 0 AS z FROM lineitem WHERE l_linenumber <= 2)
+SELECT l_returnflag AS sheet, count(*) AS formulas, count(*) FILTER (e) AS errors, count(*) FILTER (z) AS zeros, count(*) FILTER (l_linenumber = 2) AS arrays,
+  list_sort(list(l_orderkey) FILTER (e))[1:50] AS error_cells, list_sort(list(l_orderkey) FILTER (z))[1:30] AS zero_cells, list_sort(list(l_orderkey) FILTER (l_linenumber = 2))[1:20] AS array_cells FROM f GROUP BY 1""")
 def f25_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    cells = rows.select(F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("cell"), F.when(F.col("l_linenumber") == 1, "=A1").alias("formula"), F.when(F.col("l_linestatus") == "F", "#REF!").otherwise(F.col("l_discount").cast("string")).alias("value"))
+    rows, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    formula = F.when(n == 1, "=A1").when(n == 2, "=match( true, A1:A9)")
+    cells = rows.select(F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("cell"), formula.alias("formula"), F.when(F.col("l_linestatus") == "F", "x #REF!").otherwise(F.col("l_discount").cast("string")).alias("value"))
     return A.audit(cells, ["sheet"])
 
 

@@ -25,24 +25,25 @@ def x3_t9_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cross_tab(table(spark, sf_dir, "orders").join(c, "o_custkey"), ["c_mktsegment"], "o_orderstatus", "o_totalprice")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size * 2 < 40 THEN 'safe' WHEN p_size * 2 < 60 THEN 'moderate' WHEN p_size * 2 < 80 THEN 'high' ELSE 'critical' END AS status, CASE WHEN p_size > 25 THEN round(p_size / (p_size - 25) * 100.0, 1) END AS ratio FROM (SELECT p_partkey, p_size::DOUBLE AS p_size FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_size * 2 < 40 THEN 'safe' WHEN p_size * 2 < 60 THEN 'moderate' WHEN p_size * 2 < 80 THEN 'high' ELSE 'unsustainable' END AS status, CASE WHEN p_size > 25 THEN round(p_size / (p_size - 25) * 100.0, 1) END AS ratio FROM (SELECT p_partkey, p_size::DOUBLE AS p_size FROM part)")
 def x4_x10_payout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", P.payout_status(s * 2).alias("status"), P.payout_ratio(s, s - 25).alias("ratio"))
 
 
-@query("""WITH s AS (SELECT c_custkey, c_nationkey * 4 AS payout, c_acctbal / 1000 AS growth, c_nationkey AS years, c_custkey % 12 AS y FROM customer),
-t AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN payout < 40 THEN 20 WHEN payout < 60 THEN 10 WHEN payout >= 80 THEN -20 ELSE 0 END + CASE WHEN growth > 5 THEN 15 WHEN growth < 0 THEN -15 ELSE 0 END
+@query("""WITH s AS (SELECT c_custkey, c_nationkey * 4 AS payout, c_acctbal / 500 AS growth, c_nationkey AS years, c_custkey % 12 AS y FROM customer),
+t AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN payout < 40 THEN 20 WHEN payout < 60 THEN 10 WHEN payout < 80 THEN -10 ELSE -20 END + CASE WHEN growth > 10 THEN 15 WHEN growth > 5 THEN 10 WHEN growth > 0 THEN 5 ELSE -15 END
   + CASE WHEN years >= 25 THEN 15 WHEN years >= 10 THEN 10 WHEN years >= 5 THEN 5 ELSE 0 END + CASE WHEN y > 8 THEN -10 ELSE 0 END)) AS score FROM s)
-SELECT c_custkey, score::INT AS score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'moderate' ELSE 'poor' END AS rating FROM t""")
+SELECT c_custkey, score::INT AS score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'moderate' ELSE 'poor' END AS rating,
+  2 + (years >= 5)::INT + (y > 8 OR y < 1)::INT AS n_factors FROM t""")
 def x5_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = P.safety(F.col("c_nationkey") * 4, F.col("c_acctbal") / 1000, F.col("c_nationkey"), F.col("c_custkey") % 12)
-    return table(spark, sf_dir, "customer").select("c_custkey", s["score"].cast("int").alias("score"), s["rating"].alias("rating"))
+    s = P.safety(F.col("c_nationkey") * 4, F.col("c_acctbal") / 500, F.col("c_nationkey"), F.col("c_custkey") % 12)
+    return table(spark, sf_dir, "customer").select("c_custkey", s["score"].cast("int").alias("score"), s["rating"].alias("rating"), F.size(s["factors"]).alias("n_factors"))
 
 
-@query("""SELECT event_id, least(10, 1 + CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 1 ELSE 0 END + CASE WHEN event_type = 'error' THEN 2 ELSE 0 END + CASE WHEN value > 400 THEN 2 ELSE 0 END)::INT AS impact FROM events""")
+@query("""SELECT event_id, least(10, 1 + CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 2 ELSE 1 END + CASE WHEN event_type = 'error' THEN 2 ELSE 0 END + CASE WHEN value > 400 THEN 2 ELSE 0 END)::INT AS impact FROM events""")
 def x6_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "merger").when(F.col("event_type") == "signup", "social")
+    kind = F.when(F.col("event_type") == "purchase", "ma").when(F.col("event_type") == "signup", "earnings")
     text = F.when(F.col("event_type") == "error", "Urgent: x").otherwise("calm")
     return table(spark, sf_dir, "events").select("event_id", P.impact_score(kind, text, F.col("value") > 400).cast("int").alias("impact"))
 
@@ -82,16 +83,16 @@ def x9_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.remove(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k", table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
 
 
-@query("""SELECT s_suppkey, s_acctbal <> 0 AS valid, list_filter([CASE WHEN s_acctbal = 0 THEN 'price missing' END, CASE WHEN s_nationkey % 2 = 0 THEN 'moving averages missing' END, CASE WHEN s_nationkey * 4 > 80 THEN 'overbought' END], lambda x: x IS NOT NULL) AS warnings FROM supplier""")
+@query("""SELECT s_suppkey, s_acctbal <> 0 AS valid, list_filter([CASE WHEN s_acctbal = 0 THEN 'price missing' END, CASE WHEN s_nationkey % 2 = 0 THEN 'moving averages missing' END, CASE WHEN s_nationkey > 20 THEN 'overbought' END], lambda x: x IS NOT NULL) AS warnings FROM supplier""")
 def p13_validate_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("price"), (F.col("s_nationkey") % 2).cast("double").alias("ma50"), F.lit(None).cast("double").alias("ma200"), (F.col("s_nationkey") * 4).alias("rsi"), F.lit(1.0).alias("pe"), F.lit(1.0).alias("eps"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("price"), (F.col("s_nationkey") % 2).cast("double").alias("ma5"), F.lit(None).cast("double").alias("ma20"), (F.col("s_nationkey") > 20).alias("overbought_warning"), F.lit(1.0).alias("roe"), F.lit(1.0).alias("pe_ttm"), F.lit("").alias("error"))
     return P.validate_prices(s).select("s_suppkey", "valid", "warnings")
 
 
 @query("SELECT count(*) FILTER (event_type IN ('purchase', 'signup')) AS buy, count(*) FILTER (event_type = 'view') AS watch, count(*) FILTER (event_type = 'error') AS sell FROM events")
 def p14_verdict_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
-    return P.verdict_buckets(table(spark, sf_dir, "events").select(F.when(t == "purchase", "Strong Buy").when(t == "signup", "buy").when(t == "view", "hold").when(t == "error", "sell").alias("verdict")))
+    return P.verdict_buckets(table(spark, sf_dir, "events").select(F.when(t == "purchase", "强烈买入").when(t == "signup", "买入").when(t == "view", "观望").when(t == "error", "卖出").alias("verdict")))
 
 
 @query("""WITH h AS (SELECT p_partkey, sha1('6ba7b810-9dad-11d1-80b4-00c04fd430c8' || p_brand || '::' || p_name) AS h FROM part)
@@ -131,3 +132,11 @@ def v8_delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v7_search_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return V.top_k_of_text(V.embed(docs, V.hashed_embedding), "the and of").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT p_brand || '::' || p_name) AS ids FROM part WHERE p_partkey % 10 > 1")
+def p1_v3_v4_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.plans.graphs import symbols
+
+    points = V.embed(V.assemble(symbols(spark, sf_dir)), V.hashed_embedding)
+    return V.valid_points(points, 64).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))

@@ -151,15 +151,15 @@ def x1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), q, "doc_id").withColumn("score", F.round("score", 6))
 
 
-_RULES = [(0, "economy steel", ["steel"]), (1, "standard", ["brass", "tin"]), (2, "promo", ["copper"])]
+_RULES = [(0, "economy/steel"), (1, "standard"), (2, "promo-copper"), (3, "BRUSHED")]
 
 
-@query("""WITH r(ord, category, keywords) AS (VALUES (0, 'economy steel', ['steel']), (1, 'standard', ['brass', 'tin']), (2, 'promo', ['copper'])),
-m AS (SELECT p_partkey, category, ord, CASE WHEN lower(p_type) = category THEN 1 WHEN contains(lower(p_type), category) OR contains(category, lower(p_type)) THEN 2 WHEN len(list_filter(keywords, lambda k: contains(lower(p_type), k))) > 0 THEN 3 END AS level FROM part, r),
+@query(f"""WITH r(ord, category) AS (VALUES {', '.join(map(str, _RULES))}), c AS (SELECT ord, category, lower(category) AS l, string_split_regex(lower(category), '[ /-]+') AS words FROM r),
+m AS (SELECT p_partkey, category, ord, CASE WHEN lower(p_type) = l THEN 1 WHEN contains(lower(p_type), l) OR contains(l, lower(p_type)) THEN 2 WHEN len(list_filter(words, lambda k: contains(lower(p_type), k))) > 0 THEN 3 END AS level FROM part, c),
 b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY level, ord) AS n FROM m WHERE level IS NOT NULL)
 SELECT p.p_partkey, p.p_type, b.category, b.level::INT AS level FROM part p LEFT JOIN b ON b.p_partkey = p.p_partkey AND n = 1""")
 def j11_find_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.find_rule(table(spark, sf_dir, "part"), spark.createDataFrame(_RULES, "ord int, category string, keywords array<string>"), "p_partkey", "p_type")
+    return R.find_rule(table(spark, sf_dir, "part"), spark.createDataFrame(_RULES, "ord int, category string"), "p_partkey", "p_type")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size > 10")
@@ -180,18 +180,67 @@ def c22_u4_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c15_time_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("Day 3 at dawn, "), "source", F.lit(" two days later: 2024-01-05. "), "text")
+    t = F.concat(F.lit("Day 3, "), "source", F.lit(" and 2 days later. **Date:** 2024-01-05\n"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", S.time_markers(t).alias("markers"))
 
 
 @query("SELECT doc_id, [source, lang] AS names FROM documents")
 def c16_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("Characters: "), "source", F.lit(" and "), "lang", F.lit("\n"))
+    t = F.concat(F.lit("**Characters:** "), "source", F.lit(" and "), "lang", F.lit("\n"))
     return table(spark, sf_dir, "documents").select("doc_id", S.listed_names(t).alias("names"))
 
 
 @query("SELECT doc_id, pos::INT AS pos, 'zero_width' AS kind FROM (SELECT doc_id, doc_id % 50 AS pos FROM documents)")
 def c21_suspicious_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("doc_id") % 50).cast("int")
-    t = F.concat(F.repeat(F.lit("a"), at), F.lit("​"), F.lit("tail"))
+    t = F.concat(F.repeat(F.lit("a"), at), F.lit("\u200b"), F.lit("tail"))
     return S.suspicious_characters(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", "pos", "kind")
+
+
+@query("SELECT p_partkey, 'Ann' || p_partkey AS name, 'age' AS attribute, (p_size + 1)::VARCHAR AS said, p_size::VARCHAR AS known FROM part")
+def c17_c18_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size")
+    docs = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Here Ann"), k, F.lit(" is "), (n + 1).cast("string"), F.lit(" years old. Ann"), k, F.lit(" sleeps.")).alias("text"))
+    sheets = p.select(F.concat(F.lit("p/"), k).alias("path"), F.concat(F.lit("# Ann"), k, F.lit("\n**Age:** "), n.cast("string"), F.lit("\n")).alias("text"))
+    return S.contradictions(docs, S.profiles(sheets)).withColumnRenamed("doc_id", "p_partkey")
+
+
+@query("SELECT doc_id, 'The' AS name, list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?i)\\bthe\\b'), lambda x: x <> 'The'))) AS variants FROM documents WHERE lang = 'en' AND regexp_matches(regexp_replace(text, '\\bThe\\b', '', 'g'), '(?i)\\bthe\\b')")
+def c19_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.name_variants(table(spark, sf_dir, "documents").where("lang = 'en'"), spark.createDataFrame([("The",)], "name string"))
+
+
+@query("SELECT source, lang, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1, 2")
+def c20_first_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.first_facts(table(spark, sf_dir, "documents"), ["source", "lang"], "n_chars", "doc_id")
+
+
+@query("""SELECT p_brand, min_by(p_partkey, {'f': -s, 'k': p_partkey}) AS p_partkey FROM (SELECT *, CASE WHEN contains(lower(p_type), 'tin') THEN 3 ELSE 0 END + CASE WHEN contains(lower(p_type), 'promo') THEN 3 ELSE 0 END AS s FROM part) GROUP BY 1""")
+def c28_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.lit("~").alias("name"), "p_type", F.array(F.lit("tin"), F.lit(" PROMO ")).alias("want"))
+    return R.best_match(p, ["p_brand"], "name", "p_type", [], "want", "p_partkey").select("p_brand", "p_partkey")
+
+
+@query("SELECT doc_id, ['a/' || source, 'b/' || source] AS paths FROM documents")
+def p2_changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.concat(F.lit("--- a/"), "source", F.lit("\n+++ b/"), "source", F.lit("\n+x\n"), F.regexp_replace("text", "(?m)^[-+]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", D.changed_paths(d).alias("paths"))
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey > 0 AND n_nationkey < 12")
+def p16_valid_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.operators import joins as J
+
+    k = F.col("n_nationkey").cast("double")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), k.alias("left"), F.lit(0.0).alias("top"), k.alias("width"), F.lit(1.0).alias("height"))
+    return J.valid_shapes(n, 12.0, 5.0).select("id")
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'agreed' ELSE 'disputed' END AS status, toxic = 1 OR quality = 0 AS escalate, (CASE WHEN quality = 1 THEN 0.8 ELSE 0.5 END)::DOUBLE AS confidence, substr(sha256('i' || '|' || 'a,b'), 1, 12) AS id FROM labels""")
+def k1_normalised_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.operators import findings as N
+
+    q = F.col("quality") == 1
+    raw = table(spark, sf_dir, "labels").select("doc_id", F.when(q, "AGREED").otherwise("contested").alias("status"), F.lit("i").alias("issue"), F.array(F.lit("s")).alias("sources"), F.array(F.lit("a"), F.lit("b")).alias("locations"), F.when(q, "0.8").alias("confidence"), (F.col("toxic") == 1).alias("escalate"), F.lit("").alias("reason"))
+    return N.normalise_consensus(raw).select("doc_id", "status", "escalate", "confidence", "id")

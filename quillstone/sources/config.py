@@ -7,9 +7,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 #: Steps with their tiers, and tiers with their answer sizes. Fixed values.
-DEFAULT_TIERS = {"landscape": "cheap", "riskMap": "cheap", "logic": "base", "risk": "base", "consistency": "base", "consensus": "frontier", "cove": "frontier", "report": "base"}
+DEFAULT_TIERS = {
+    "landscapeScan": "cheap", "riskMap": "base", "reviewLogic": "frontier", "reviewRisk": "frontier",
+    "reviewConsistency": "base", "consensus": "frontier", "coveVerify": "base", "report": "base",
+}
 MAX_TOKENS = {"cheap": 2048, "base": 4096, "frontier": 8192, "embedding": 8192}
-TIERS = ("cheap", "base", "frontier")
+TIERS = ("cheap", "base", "frontier", "embedding")
 
 
 @dataclass(frozen=True)

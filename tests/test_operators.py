@@ -249,15 +249,19 @@ def test_statistics_of_few_rows(spark):
 
 
 def test_best_match(spark):
-    df = spark.createDataFrame([(1, 0, "Dark theme", "minimal", "dark"), (1, 1, "dark", "x", "dark"), (2, 0, "a", "dark", "dark"), (2, 1, "b", "y", "dark")], "q int, ord int, name string, field string, kw string")
-    assert {r["q"]: r["name"] for r in R.best_match(df, ["q"], "name", ["field"], "kw", "ord").collect()} == {1: "dark", 2: "a"}
+    df = spark.createDataFrame([(1, 0, "Minimal", "dark", ["Dark"]), (1, 1, "dark theme", "x", ["Dark"]), (2, 0, "qq", "y", ["dark"]), (2, 1, "zz", "dark", ["dark"]), (3, 0, "c", "x", []), (3, 1, "d", "x", [])], "q int, ord int, name string, kw string, want array<string>")
+    assert {r["q"]: r["name"] for r in R.best_match(df, ["q"], "name", "kw", [], "want", "ord").collect()} == {1: "dark theme", 2: "zz", 3: "c"}
 
 
 def test_stories(spark):
-    assert one(spark, S.time_markers(F.lit("At dawn on Day 3; 2 days later."))) == [(3, "dawn"), (11, "Day 3"), (18, "2 days later")]
-    docs = spark.createDataFrame([(1, "ann met Bob. Ann has red hair, 30 years old")], "doc_id int, text string")
-    prof = spark.createDataFrame([("Ann", "Age: 31\nHair: red\n")], "name string, text string").select("name", S.profile(F.col("text")).alias("profile"))
-    assert [tuple(r) for r in S.contradictions(docs, prof).collect()] == [(1, "Ann", "age", "30", "31")]
+    assert one(spark, S.time_markers(F.lit("At dawn on Day 3; 2 days later. **Date:** May 1\nx"))) == [(11, "3"), (18, "2"), (32, "May 1")]
+    assert one(spark, S.listed_names(F.lit("**Characters:** Ann, Bob & Cy and Di\n**POV:** Ann"))) == ["Ann", "Bob", "Cy", "Di", "Ann"]
+    docs = spark.createDataFrame([(1, "ann met Bob. Ann is a 30 year old with brown hair. Ann has eyes.")], "doc_id int, text string")
+    sheets = spark.createDataFrame([("p", "# Ann\n**Age:** 31 years\nHair: red\nEyes: blue\n**Aliases:** A; Annie"), ("q", "no title")], "path string, text string")
+    prof = S.profiles(sheets)
+    assert [(r["name"], r["aliases"]) for r in prof.collect()] == [("Ann", ["A", "Annie"])]
+    got = sorted((r["attribute"], r["known"]) for r in S.contradictions(docs, prof).collect())
+    assert got == [("age", "31"), ("hair", "red")]
     assert [tuple(r) for r in S.name_variants(docs, prof).collect()] == [(1, "Ann", ["ann"])]
 
 
@@ -304,6 +308,49 @@ def test_config():
     assert s.max_llm_calls == 3 and s.enable_cove is False
     with pytest.raises(ValueError):
         config.Settings.of({"PORT": "-1"})
-    m = config.parse_model_map('{"logic": "frontier", "x": "base", "risk": "odd"}')
-    assert m["logic"] == "frontier" and m["risk"] == "base" and len(m) == 8 and config.parse_model_map("{") == config.DEFAULT_TIERS
+    m = config.parse_model_map('{"report": "frontier", "x": "base", "riskMap": "odd"}')
+    assert m["report"] == "frontier" and m["riskMap"] == "base" and len(m) == 8 and config.parse_model_map("{") == config.DEFAULT_TIERS
     assert [config.max_tokens(t) for t in ("cheap", "base", "frontier", "embedding")] == [2048, 4096, 8192, 8192]
+
+
+# review --------------------------------------------------------------------------------------
+def test_review_and_tools(spark):
+    from quillstone import api, models
+    from quillstone.plans import review
+
+    diff = "diff --git a/x.ts b/x.ts\n+++ b/x.ts\n@@ -1 +1 @@\n+// TODO check null user input\n+ok"
+    changes = spark.createDataFrame([(1, diff), (2, "diff --git a/y b/y\n+fine")], "mr_iid int, diff string")
+    none = spark.createDataFrame([], "pattern string, count long")
+    out = review.review(changes, none)
+    rows = out["consensus"].collect()
+    assert [(r["mr_iid"], r["status"], len(r["sources"])) for r in rows] == [(1, "agreed", 3)]
+    gated = review.review(changes, spark.createDataFrame([("check null input", 3)], "pattern string, count long"))["consensus"].first()
+    assert gated["confidence"] == 0.4 and "FEEDBACK" in gated["reason"]
+    edges = spark.createDataFrame([("a.ts", "a.ts::f", "CONTAINS"), ("b.ts::g", "a.ts::f", "CALLS"), ("c.ts::h", "b.ts::g", "CALLS"), ("d.ts", "a.ts", "IMPORTS")], "src string, dst string, rel string")
+    nodes = spark.createDataFrame([("a.ts::f", "f"), ("b.ts::g", "g")], "qualified_name string, name string")
+    tool = api.CodeReview(edges, nodes)
+    r = tool.check_risk(["a.ts", "z.ts"]).orderBy("root").collect()
+    assert (r[0]["direct"], r[0]["indirect"], r[0]["risk"]) == (["b.ts::g", "d.ts"], ["c.ts::h"], 0.25) and r[1]["risk"] == 0.0
+    assert [x["node"] for x in tool.query_graph("f").collect()] == ["b.ts::g", "c.ts::h"]
+    assert tool.explain_symbol("f").first()["callers"] == ["b.ts::g"] and tool.review_snippet(diff).count() == 1 and tool.find_patterns("x").count() == 0
+    assert models.stub("base", "", "+ TODO a") == models.stub("base", "", "+ TODO a")
+
+
+def test_budget_and_retries():
+    from quillstone import models
+
+    b, waits, fails = models.Budget(max_calls=2), [], [models.Transient(), models.Transient()]
+
+    def fn(tier, system, prompt):
+        if fails:
+            raise fails.pop()
+        return "ok"
+
+    call = models.with_budget(fn, b, wait=waits.append)
+    assert call("base", "", "x") == "ok" and waits == [1.0, 2.0]
+    call("cheap", "", "x")
+    with pytest.raises(models.BudgetExceeded):
+        call("base", "", "x")
+    assert b.calls == {"base": 1, "cheap": 1}
+    b.reset()
+    assert b.cost == 0 and b.calls == {}
