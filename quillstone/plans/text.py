@@ -244,3 +244,19 @@ def k1_normalised_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality") == 1
     raw = table(spark, sf_dir, "labels").select("doc_id", F.when(q, "AGREED").otherwise("contested").alias("status"), F.lit("i").alias("issue"), F.array(F.lit("s")).alias("sources"), F.array(F.lit("a"), F.lit("b")).alias("locations"), F.when(q, "0.8").alias("confidence"), (F.col("toxic") == 1).alias("escalate"), F.lit("").alias("reason"))
     return N.normalise_consensus(raw).select("doc_id", "status", "escalate", "confidence", "id")
+
+
+@query(f"""WITH t AS (SELECT lang, doc_id, {_TOKENS.format('text')} AS w FROM documents WHERE lang IN ('en', 'de')), x AS (SELECT lang, doc_id, len(w) AS dl, unnest(w) AS term FROM t),
+tf AS (SELECT lang, doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), d AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL), m AS (SELECT lang, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, lang, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN d USING (term) JOIN tf USING (lang, term) JOIN m USING (lang) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+c AS (SELECT item_id, CASE WHEN contains(lower(text), 'the') THEN 'the' WHEN contains(lower(text), 'und') THEN 'und' END AS category FROM benchmark)
+SELECT item_id AS query_id, lang AS domain, doc_id AS id, round(score, 6) AS score, rank::INT AS rank, category FROM r JOIN c USING (item_id) WHERE rank <= CASE lang WHEN 'en' THEN 3 ELSE 1 END""")
+def x11_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.operators.composition import compose
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    rules = spark.createDataFrame([(0, "the"), (1, "und")], "ord int, category string")
+    return compose({"en": (docs.where("lang = 'en'"), 3), "de": (docs.where("lang = 'de'"), 1)}, q, rules).withColumn("score", F.round("score", 6))
