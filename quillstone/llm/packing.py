@@ -32,10 +32,12 @@ END_ID = 2
 GROUP_SEQUENCES = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids are remembered in each worker, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _COMBINING = re.compile("[̀-ͯ]")
+#: Letters and at most one mark after them: the tokenizer takes both apart, so the letters' ids serve all such words.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,]?)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -43,7 +45,8 @@ class WordEncoder:
     """Ids of whole texts, through a bounded memory of the ids of their words.
 
     The vocabulary's words end at white space, so a text's ids are its words' ids one after the
-    other. Words not seen before are encoded together in one call and told apart by their offsets.
+    other. Words not seen before are encoded together in one call and told apart by the tokens that
+    end a word.
     ASCII letters are lowered first, as the tokenizer does it, unless a combining mark could join
     with one. Texts with a special token's opening are encoded whole.
     """
@@ -52,19 +55,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.direct(m) if m else b"" for m in ("", ".", ",")}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn_mixed(self, words: list[str]) -> None:
+        """Any words without white space or combining marks, told apart by where their tokens begin."""
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
             ends = np.cumsum([len(w) + 1 for w in some])
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), ends)
-            for w, a, b in zip(some, np.concatenate(([0], cuts[:-1])).tolist(), cuts.tolist()):
-                self.cache[w] = ids[a:b].tobytes()
+            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), ends).tolist()
+            raw = np.array(e.ids, "<u4").tobytes()
+            self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cuts[:-1]], cuts))
+
+    def learn(self, words: list[str]) -> None:
+        """Words of letters: each is one run of tokens of which only the last is an end of a word."""
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cuts[:-1]], cuts))
+            else:
+                self.cache.update((w, self.direct(w)) for w in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:  # the older half goes; words in use come back at once
@@ -79,11 +98,16 @@ class WordEncoder:
                 t = t.encode().lower().decode()
             split.append(t.replace("\n", " ").split(" "))
         new = [w for w in set(chain.from_iterable(s for s in split if s)) if w not in self.cache]
-        # words on which an offset may not mean one place are encoded alone
-        plain = [w for w in new if len(w) <= CACHE_CHARS and w.isprintable() and not _COMBINING.search(w)]
-        self.learn(plain)
-        odd = {w: self.direct(w) for w in set(new).difference(plain)}
-        known = self.cache
+        known, odd = self.cache, {}
+        found = [(w, _PLAIN.fullmatch(w) if len(w) <= CACHE_CHARS else None) for w in new]
+        self.learn([x for x in {m[1] for _, m in found if m} if x not in known])
+        mixed = [w for w, m in found if not m and len(w) <= CACHE_CHARS and w.isprintable() and not _COMBINING.search(w)]
+        self.learn_mixed(mixed)
+        for w, m in found:
+            if m:
+                known[w] = known[m[1]] + self.marks[m[2]]
+            elif w not in known:
+                odd[w] = self.direct(w)
         get = (lambda w: odd[w] if w in odd else known[w]) if odd else known.__getitem__
         return [self.direct(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
