@@ -232,7 +232,7 @@ def test_overlaps_match_all_pairs(spark):
 
 def test_pivots_skip_and_fill(spark):
     df = spark.createDataFrame([(None, "x", "1"), ("a", "x", "2.005"), ("a", "y", "text"), ("b", "y", "n/a")], "r string, c string, v string")
-    assert sorted(tuple(r) for r in P.flat_pivot(df, ["r"], [("v", "sum"), ("v", "count")]).collect()) == [("None", 1.0, 1.0), ("a", 2.01, 1.0)] or True
+    assert sorted((r["r"], r["v_count"]) for r in P.flat_pivot(df, ["r"], [("v", "sum"), ("v", "count")]).collect()) == [("None", 1.0), ("a", 1.0)]
     assert {r["r"] for r in P.flat_pivot(df, ["r"], [("v", "sum")]).collect()} == {"None", "a"}
     assert {tuple(r) for r in P.cross_tab(df, ["r"], "c", "v").collect()} >= {("None", 1.0, 0.0), ("b", 0.0, 0.0)}
 
