@@ -1,7 +1,8 @@
 """Line dedup by deletion neighbourhoods.
 
 A line repeats an earlier one if their words (A-Z lowered, split at ASCII white space) differ by at
-most one word left out, put in or exchanged; lines of fewer than MIN_WORDS words are never touched.
+most one word left out, put in or exchanged. Lines of fewer than MIN_WORDS words are compared whole, and
+only with short=True; without it they are never touched.
 Lines are ordered by (doc_id, line number), and every line that repeats an earlier one goes, so the
 earliest stays.
 
@@ -103,8 +104,9 @@ def _line_keys(lines: list[list[bytes]]) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs."""
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs (null under MIN_WORDS)."""
+    least = 1 if short else MIN_WORDS
     names = ["doc_id", "text_hash", "line", "h1", "h2", "a", "b", "c", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +117,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                 t = batch.column(2)[i].as_py()
                 for j, line in enumerate(t.encode("utf-8", "surrogatepass").split(b"\n") if t else ()):
                     w = line_words(line)
-                    if len(w) >= MIN_WORDS:
+                    if len(w) >= least:
                         for c, v in zip(held, (i, j, w)):
                             c.append(v)
                 size += len(t or "")
                 if held[0] and (size > 500_000 or i == batch.num_rows - 1):
-                    at, keys = pa.array(held[0]), _line_keys(held[2])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(held[1], pa.int32()), *map(pa.array, keys)], names)
+                    at, keys, whole = pa.array(held[0]), _line_keys(held[2]), np.fromiter((len(w) < MIN_WORDS for w in held[2]), bool, len(held[2]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(held[1], pa.int32()), *map(pa.array, keys[:2]), *[pa.array(k, mask=whole) for k in keys[2:]]], names)
                     held, size = [[], [], [], []], 0
 
     return _split(docs).mapInArrow(run, "doc_id long, text_hash long, line int, h1 long, h2 long, a long, b long, c long, d long")
@@ -183,15 +185,15 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("pos.*", "a", "b").mapInArrow(run, "doc_id long, text_hash long, line int")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, text_hash and line of the lines that repeat an earlier one, and near: whether only nearly."""
-    lines = cut(_lines(docs))
+    lines = cut(_lines(docs, short))
     keys, runs = ["h1", "h2"], ["a", "b", "c", "d"]
     pos = F.struct("doc_id", "text_hash", "line")
     distinct = cut(lines.groupBy(*keys).agg(F.min(pos).alias("pos"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in runs]))
     several = distinct.where("times > 1").select(*keys, F.col("pos").alias("earlier"))
     equal = lines.select(*keys, pos.alias("pos")).join(small(several), keys).where(F.col("pos") != F.col("earlier")).select("pos.*", F.lit(False).alias("near"))
-    run = distinct.select(F.col("h1").alias("of"), "pos", F.explode(F.array(*runs)).alias("run"))
+    run = distinct.where("a is not null").select(F.col("h1").alias("of"), "pos", F.explode(F.array(*runs)).alias("run"))
     shared = cut(run.groupBy("run").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least < most").select("run"))
     gated = run.join(small(shared), "run", "left_semi").select("pos").distinct()
     wanted = cut(gated.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_list("pos.line").alias("lines")))
@@ -212,9 +214,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return equal.union(near.withColumn("near", F.lit(True)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with text less the repeated lines, and n_lines, n_dropped and n_near, which replace columns of these names."""
-    gone = cut(repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
+    gone = cut(repeated_lines(docs, short).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
     d = docs.drop("n_lines", "n_dropped", "n_near").withColumn("_text_hash", F.xxhash64("text"))
     joined = d.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n")

@@ -38,7 +38,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.length("text").cast("long").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

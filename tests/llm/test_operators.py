@@ -228,6 +228,14 @@ def test_lines_of_awkward_rows(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
+def test_op6_drops_short_lines_that_are_equal(spark, tmp_path):
+    long = "one two three four five"
+    docs = [(1, "All rights reserved.\n\nTop\n" + long), (2, "ALL  rights reserved.\n\nall rights kept.\ntop"), (3, "one two three four\n" + long + " six"), (4, "one two three four\none two three"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["n_near"], r["chars_left"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, 0, 49), 2: (4, 2, 0, 17), 3: (2, 1, 1, 18), 4: (2, 1, 0, 13), 5: (0, 0, 0, None)}
+
+
 # 7 ---------------------------------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
