@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import findings as N
 from quillstone.operators import joins as J
 from quillstone.operators import stories as S
-from quillstone.registry import query, table
+from quillstone.registry import SQL, query, table
 
 
 @query("SELECT d.doc_id AS id, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 'rejected' ELSE 'confirmed' END AS verdict FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -51,13 +51,22 @@ SELECT a.l_orderkey, a.id AS a, b.id AS b, round((least(a."left" + a.width, b."l
 FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.id < b.id
 WHERE least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left") > 0.05 AND least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top) > 0.05""")
 def j12_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.overlaps(_shapes(table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")), ["l_orderkey"])
+
+
+@query(SQL["j12_overlaps"].replace(" WHERE l_orderkey % 7 = 0", ""))
+def j12_overlaps_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.overlaps(_shapes(table(spark, sf_dir, "lineitem")), ["l_orderkey"])
+
+
+def _shapes(lineitem: DataFrame) -> DataFrame:
+    """Boxes of the lines of each order."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    s = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(
+    return lineitem.select(
         "l_orderkey", F.row_number().over(w).cast("long").alias("id"), (F.col("l_quantity") % 10).alias("left"), (F.col("l_discount") * 100).alias("top"), (1 + F.col("l_linenumber") % 3).cast("double").alias("width"), (1 + F.col("l_tax") * 20).alias("height")
     )
-    return J.overlaps(s, ["l_orderkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -85,7 +94,16 @@ def j15_with_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS run_id, coalesce(said, '') AS feedback, CASE WHEN d.doc_id IS NULL THEN []::VARCHAR[] ELSE [d.source] END AS outputs
 FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, 'q' || quality AS said FROM labels WHERE toxic = 0) l ON l.doc_id = d.doc_id""")
 def j16_runs_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("run_id"), F.array("source").alias("outputs"))
+    return _with_feedback(spark, sf_dir, table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"))
+
+
+@query(SQL["j16_runs_with_feedback"].replace("(SELECT * FROM documents WHERE doc_id % 3 <> 0)", "documents"))
+def j16_all_runs_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_feedback(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def _with_feedback(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    runs = docs.select(F.col("doc_id").alias("run_id"), F.array("source").alias("outputs"))
     said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_id"), F.when(F.col("toxic") == 0, F.concat(F.lit("q"), "quality")).otherwise("  ").alias("feedback"))
     return J.runs_with_feedback(runs, said)
 
