@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import graph as G
-from quillstone.registry import query, table
+from quillstone.registry import SQL, query, table
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,29 @@ def g8_direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(edges(spark, sf_dir), seeds(spark, sf_dir), 1).select("root", "node")
 
 
+_SOME = " WHERE s_suppkey % 25 = 1"
+
+
+def all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+
+
+@query(SQL["g7_dependents"].replace(_SOME, ""))
+def g7_dependents_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reach(edges(spark, sf_dir), all_seeds(spark, sf_dir), 3).select("root", "node", "depth")
+
+
+@query(SQL["g9_risk_map"].replace(_SOME, ""))
+def g9_risk_map_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = all_seeds(spark, sf_dir)
+    return G.risk_map(G.reach(edges(spark, sf_dir), s, 3), s)
+
+
+@query(SQL["g8_direct_dependents"].replace(_SOME, ""))
+def g8_direct_dependents_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reach(edges(spark, sf_dir), all_seeds(spark, sf_dir), 1).select("root", "node")
+
+
 @query("SELECT DISTINCT p_brand AS path FROM part")
 def g1_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.file_nodes(symbols(spark, sf_dir))

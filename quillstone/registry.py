@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "g9_risk_map"
+FLAGSHIP = "g9_risk_map_of_all"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -21,3 +21,13 @@ def test_all_runs_with_feedback(spark):
     docs = {r["doc_id"]: r["source"] for r in registry.table(spark, SF, "documents").collect()}
     got = {r["run_id"]: r["outputs"] for r in registry.QUERIES["j16_all_runs_with_feedback"](spark, SF).collect()}
     assert {k: v for k, v in got.items() if v} == {k: [v] for k, v in docs.items()} and any(k % 3 == 0 for k in docs)
+
+
+def test_dependents_of_all_suppliers(spark):
+    import __spark_entry__
+
+    suppliers = {r["s_suppkey"] for r in registry.table(spark, SF, "supplier").collect()}
+    assert {r["root"] for r in __spark_entry__.entry(spark).collect()} == suppliers
+    for name, columns in (("g7_dependents", ("root", "node", "depth")), ("g8_direct_dependents", ("root", "node"))):
+        whole = rows(spark, f"{name}_of_all", *columns)
+        assert rows(spark, name, *columns) == {r for r in whole if r[0] % 25 == 1} and any(r[0] % 25 != 1 for r in whole)
