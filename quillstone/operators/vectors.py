@@ -13,6 +13,8 @@ from quillstone.functions.text import deterministic_id, embedding_text
 #: Fixed value: the text before a name whose hash is its id.
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 EMBED_BATCH = 50
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,16 +79,27 @@ def delete_by_file(points: DataFrame, file: str) -> DataFrame:
     return points.where(~F.col("payload.file").eqNullSafe(F.lit(file)))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector: str = "vector", where: Column | None = None) -> DataFrame:
-    """V6, T4: for each of a few queries (query_id, query_vector) the k points of the highest cosine, ties by id.
+def top_k(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector: str = "vector", where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """V6, T4: for each query (query_id, query_vector) the k points of the highest cosine, ties by id.
 
-    The stated queries are broadcast after their number was checked; each task keeps k rows a query.
+    Queries are counted and dealt by a hash of their id into blocks of about the given size; one block
+    is broadcast at a time, and each task keeps k rows a query.
     """
-    if queries.count() > 10_000:
-        raise ValueError("too many queries for one broadcast: ask in blocks")
     p = points if where is None else points.where(where)
-    scored = p.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("_v"), F.col("query_vector")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    p = p.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).withColumn("_n", norm("_v"))
+    q = queries.select("query_id", "query_vector").withColumn("_m", norm("query_vector"))
+    both = F.col("_n") * F.col("_m")
+    score = F.when((F.size("_v") == F.size("query_vector")) & (both > 0), dot(F.col("_v"), F.col("query_vector")) / both).otherwise(F.lit(0.0))
+    blocks = max(1, -(-queries.count() // block))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    out = None
+    for b in range(blocks):
+        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = p.join(F.broadcast(some)).select("query_id", "id", score.alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def top_k_of_text(points: DataFrame, text: str, fn: Callable = hashed_embedding, k: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import deterministic_id
 from quillstone.operators import pivots as P
 from quillstone.operators import vectors as V
-from quillstone.registry import query, table
+from quillstone.registry import SQL, query, table
 
 
 @query("""SELECT coalesce(CASE WHEN c_nationkey <> 3 THEN c_mktsegment END, 'None') AS segment, round(sum(o_totalprice), 2) AS o_totalprice_sum, round(avg(o_totalprice), 2) AS o_totalprice_average, count(*)::DOUBLE AS o_orderkey_count
@@ -111,6 +111,13 @@ def v6_t4_p8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_k(e, q, 10, "vec_id", "embedding", F.col("label") < 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(SQL["v6_t4_p8_top_k"].replace("vec_id IN (3, 77, 205)", "vec_id % 20 = 0"))
+def v6_t4_p8_top_k_of_every_20th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return V.top_k(e, q, 10, "vec_id", "embedding", F.col("label") < 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE len(embedding) = 64")
 def v1_valid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.valid_points(table(spark, sf_dir, "embeddings"), 64, "embedding").select("vec_id", "label")

@@ -271,6 +271,16 @@ def test_vectors(spark):
     assert [(r["id"], round(r["score"], 6)) for r in V.top_k(p, q, 3).orderBy("rank").collect()] == [("a", 1.0), ("d", 1.0), ("c", 0.707107)]
 
 
+def test_top_k_in_blocks(spark):
+    rng = random.Random(9)
+    p = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(40)], "id int, vector array<double>")
+    q = p.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    at_once, dealt = ({tuple(r) for r in V.top_k(p, q, 5, block=n).collect()} for n in (40, 7))
+    assert dealt == at_once and len(dealt) == 200
+    many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("query_vector"))
+    assert V.top_k(p, many, 1).count() == 10_001
+
+
 # sources -------------------------------------------------------------------------------------
 def test_files(spark, tmp_path):
     for f, t in {"a/x.py": "x = 1", "a/node_modules/y.py": "y", "b.ts": "let z = 1", "c.txt": "no", "n/r.md": "# t", ".h/s.md": "# s"}.items():

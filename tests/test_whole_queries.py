@@ -31,3 +31,8 @@ def test_dependents_of_all_suppliers(spark):
     for name, columns in (("g7_dependents", ("root", "node", "depth")), ("g8_direct_dependents", ("root", "node"))):
         whole = rows(spark, f"{name}_of_all", *columns)
         assert rows(spark, name, *columns) == {r for r in whole if r[0] % 25 == 1} and any(r[0] % 25 != 1 for r in whole)
+
+
+def test_top_k_of_every_20th(spark):
+    ids = {r["vec_id"] for r in registry.table(spark, SF, "embeddings").collect()}
+    assert {r[0] for r in rows(spark, "v6_t4_p8_top_k_of_every_20th", "query_id")} == {i for i in ids if i % 20 == 0}
