@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import findings as N
@@ -20,8 +20,8 @@ def j7_with_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATTERNS = [("the rain ending there", 9), ("letztes wort lich keit", 5), ("tion thon than thing", 4), ("rare only twice", 2)]
 
 
-def _gate_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("issue"), (F.col("doc_id") % 10 / 10).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("escalate"), F.lit("r").alias("reason"))
+def _gate_input(spark: SparkSession, sf_dir: str, issue: Column) -> tuple[DataFrame, DataFrame]:
+    f = table(spark, sf_dir, "documents").select("doc_id", issue.alias("issue"), (F.col("doc_id") % 10 / 10).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("escalate"), F.lit("r").alias("reason"))
     return f, spark.createDataFrame(_PATTERNS, "pattern string, count long")
 
 
@@ -33,7 +33,12 @@ b AS (SELECT doc_id, min_by(pattern, rank) AS matched, min_by(count, rank) AS co
 SELECT f.doc_id, b.matched, (CASE WHEN matched IS NULL THEN confidence ELSE least(confidence, 0.4) END)::DOUBLE AS confidence, escalate AND matched IS NULL AS escalate,
   CASE WHEN matched IS NULL THEN 'r' ELSE 'r [FEEDBACK: similar pattern dismissed ' || count || 'x]' END AS reason FROM f LEFT JOIN b ON b.doc_id = f.doc_id""")
 def j8_k3_feedback_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.feedback_gate(*_gate_input(spark, sf_dir)).select("doc_id", "matched", "confidence", "escalate", "reason")
+    return N.feedback_gate(*_gate_input(spark, sf_dir, F.substring("text", 1, 400))).select("doc_id", "matched", "confidence", "escalate", "reason")
+
+
+@query(SQL["j8_k3_feedback_gate"].replace("left(text, 400) AS issue", "text AS issue"))
+def j8_k3_feedback_gate_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.feedback_gate(*_gate_input(spark, sf_dir, F.col("text"))).select("doc_id", "matched", "confidence", "escalate", "reason")
 
 
 @query("SELECT DISTINCT l_partkey % 3000 AS k FROM lineitem WHERE l_partkey % 3000 NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")

@@ -36,3 +36,11 @@ def test_dependents_of_all_suppliers(spark):
 def test_top_k_of_every_20th(spark):
     ids = {r["vec_id"] for r in registry.table(spark, SF, "embeddings").collect()}
     assert {r[0] for r in rows(spark, "v6_t4_p8_top_k_of_every_20th", "query_id")} == {i for i in ids if i % 20 == 0}
+
+
+def test_feedback_gate_of_whole_texts(spark, tmp_path):
+    texts = [(1, "a " * 300 + "The rain was ending there"), (2, "a " * 300 + "the rain")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["j8_k3_feedback_gate_of_whole_texts"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["matched"] for r in got} == {1: "the rain ending there", 2: None}
+    assert registry.SQL["j8_k3_feedback_gate_of_whole_texts"] != registry.SQL["j8_k3_feedback_gate"]
