@@ -107,7 +107,9 @@ def first_facts(facts: DataFrame, key: list[str], value: str, order: str) -> Dat
 
 def suspicious_characters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", around: int = 10) -> DataFrame:
     """Position, character, kind and surroundings of characters that fonts lack; of equal kinds and surroundings the first."""
-    chars = docs.select(id_col, text, F.posexplode(F.split(text, "")).alias("pos", "ch")).where(F.col("ch") != "").withColumn("kind", code_point_kind(F.col("ch"))).where("kind is not null")
+    # printable ASCII has no kind; the rest is few, so that a text is not carried along with each of its characters
+    rare = F.filter(F.transform(F.split(text, ""), lambda ch, i: F.when(~F.ascii(ch).between(0x20, 0x7E), F.struct(i.alias("pos"), ch.alias("ch")))), lambda x: x.isNotNull())
+    chars = docs.select(id_col, text, F.explode(rare).alias("_x")).select(id_col, text, "_x.*").where(F.col("ch") != "").withColumn("kind", code_point_kind(F.col("ch"))).where("kind is not null")
     start = F.greatest(F.lit(1), F.col("pos") + 1 - around)
     found = chars.select(id_col, "pos", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("ch")), 4, "0")).alias("char"), "kind", F.col(text).substr(start, F.col("pos") + 2 + around - start).alias("context"))
     return found.groupBy(id_col, "kind", "context").agg(F.min(F.struct("pos", "char")).alias("_f")).select(id_col, "_f.pos", "_f.char", "kind", "context")

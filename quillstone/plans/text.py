@@ -197,6 +197,12 @@ def c21_suspicious_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.suspicious_characters(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", "pos", "kind")
 
 
+@query()
+def c21_suspicious_characters_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("\u200b"), "text")
+    return S.suspicious_characters(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", "pos", "char", "kind", "context")
+
+
 @query("SELECT p_partkey, 'Ann' || p_partkey AS name, 'age' AS attribute, (p_size + 1)::VARCHAR AS said, p_size::VARCHAR AS known FROM part")
 def c17_c18_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstone import plans, registry  # noqa: F401
+from quillstone.functions import text as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,20 @@ def test_feedback_gate_of_whole_texts(spark, tmp_path):
     got = registry.QUERIES["j8_k3_feedback_gate_of_whole_texts"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["matched"] for r in got} == {1: "the rain ending there", 2: None}
     assert registry.SQL["j8_k3_feedback_gate_of_whole_texts"] != registry.SQL["j8_k3_feedback_gate"]
+
+
+def test_suspicious_characters_of_whole_texts(spark, tmp_path):
+    odd = [chr(c) for points in T.SUSPICIOUS.values() for c in points] + [chr(T.PRIVATE_USE[0]), chr(T.PRIVATE_USE[1])]
+    texts = [(r["doc_id"], r["text"]) for r in registry.table(spark, SF, "documents").collect()]
+    texts += [(-1, "x" * 5000 + "".join(c + "é😀 word " for c in odd) + "\n"), (-2, None), (-3, ""), (-4, odd[0] * 30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kinds = {c: k for k, points in reversed(T.SUSPICIOUS.items()) for c in points}
+    want = {}
+    for d, t in texts:
+        s = None if t is None else "\u200b" + t
+        for i, c in enumerate(s or ""):
+            kind = kinds.get(ord(c)) or ("private_use_area" if T.PRIVATE_USE[0] <= ord(c) <= T.PRIVATE_USE[1] else None)
+            if kind:
+                want.setdefault((d, kind, s[max(0, i - 10) : i + 11]), (i, f"U+{ord(c):04X}"))
+    got = {(r["doc_id"], r["kind"], r["context"]): (r["pos"], r["char"]) for r in registry.QUERIES["c21_suspicious_characters_of_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == want and any(i >= 5000 for i, _ in got.values())
