@@ -94,15 +94,16 @@ def scan(docs: DataFrame, base: tuple = BASE, templates: tuple = TEMPLATES, slac
         hits.join(F.broadcast(table), ["h", "gram"], "left")
         .withColumn("diagonal", F.col("pos") - F.col("offset"))
         .groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "diagonal")
-        .agg(F.count_distinct("offset").alias("votes"), F.min("pos").alias("from"), (F.max("pos") + K).alias("to"))
+        .agg(F.collect_set("offset").alias("offsets"), F.min("pos").alias("from"), (F.max("pos") + K).alias("to"))
     )
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > slack)
     spans = (
         votes.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
         .withColumn("span", F.sum("new").over(order))
+        .withColumn("offset", F.explode_outer("offsets"))
         .groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("from").alias("from"), F.max("to").alias("to"))
+        .agg(F.count_distinct("offset").alias("votes"), F.min("from").alias("from"), F.max("to").alias("to"))
         .withColumn("share", F.least(F.col("votes") / (F.col("size") - (K - 1)), F.lit(1.0)))
     )
     good = F.col("template").isNotNull() & F.coalesce(F.when(F.col("base"), F.col("votes") == F.col("size") - (K - 1)).otherwise(F.col("share") >= cover), F.lit(False))

@@ -104,6 +104,14 @@ def test_license_templates_with_changes(spark):
     assert got == {1: "mit-text", 2: "mit-text", 3: "", 4: ""}
 
 
+def test_license_template_is_not_covered_by_one_repeated_gram(spark):
+    text = next(p for p, x in licenses.TEMPLATES if x == "cc-by-nc-4.0")
+    docs = spark.createDataFrame([(1, "cc by " * 5), (2, text), (3, "x " + text + " y " + "cc by " * 5)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert got[1][0] == "cc-by"  # a base phrase
+    assert all("cc-by-nc-4.0" in got[d][0].split(",") and got[d][1] == 1.0 for d in (2, 3))
+
+
 # 3 ---------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\b#c<d"), (1, 1, "assistant", "### user: x</turn>\n\\h"), (1, 2, None, None), (2, 5, "a: b", ": "), (2, 5, "a: b", ": "), (None, 0, "user", "null id"), (3, 1, "assistant", "é😀")]
