@@ -93,15 +93,15 @@ def windows(docs: DataFrame, bench: DataFrame, share: float = SIMILARITY, limit:
     """doc_id, start, n and grams of the item-sized windows that can match."""
     known = cut(bench.select("n", F.explode("grams").alias("g")).distinct())
     shingles = known.select("g").distinct()
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     if (n := shingles.count()) <= limit:  # a bounded set of hashes, looked up in place
         listed = [r["g"] for r in shingles.collect()]
         hits = base.select("doc_id", "w", let(F.col("w"), lambda w: F.filter(positions(w), lambda i: shingle(w, i).isin(listed) if n else F.lit(False))).alias("hits"))
     else:
-        rows = base.withColumn("row", F.monotonically_increasing_id())
-        flat = rows.select("row", F.posexplode(let(F.col("w"), lambda w: F.transform(positions(w), lambda i: shingle(w, i)))).alias("pos", "g"))
-        at = flat.join(shingles, "g", "left_semi").groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("hits"))
-        hits = rows.join(at, "row").select("doc_id", "w", "hits")
+        # rows of equal doc_id and text have equal hits
+        flat = base.select("doc_id", "text_hash", F.posexplode(let(F.col("w"), lambda w: F.transform(positions(w), lambda i: shingle(w, i)))).alias("pos", "g"))
+        at = flat.join(shingles, "g", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        hits = base.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "w", "hits")
     hits = hits.where(F.size("hits") > 0)
     start = hits.select("doc_id", "w", "hits", F.posexplode("hits").alias("j", "start"))
     sized = start.withColumn("g", shingle(F.col("w"), F.col("start"))).join(small(known), "g")
@@ -136,5 +136,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SIMILARITY) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that hold a benchmark item, told apart by doc_id and text, so that null ids are no one document."""
+    key = F.xxhash64("doc_id", "text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, key == F.col("_leak"), "left_anti").select(*docs.columns)

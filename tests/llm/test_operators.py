@@ -83,6 +83,16 @@ def test_blocks_find_every_fingerprint_in_the_radius():
         assert any((a >> 8 * i & 255) ^ (b >> 8 * i & 255) in flips for i in range(8))
 
 
+def test_decontamination_of_null_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so " + item), (None, "nothing of that kind is in here at all"), (1, item), (2, "kept"), (None, None)], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in decontam.decontaminate(docs, bench).collect()}
+    assert kept == {(None, "nothing of that kind is in here at all"), (2, "kept"), (None, None)}
+    joined = decontam.windows(docs.union(docs), decontam.items(bench), limit=0)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, decontam.windows(docs.union(docs), decontam.items(bench)).collect()))
+
+
 # 2 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("source", [documents, awkward])
 def test_licenses(spark, source):
