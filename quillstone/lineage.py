@@ -1,4 +1,4 @@
-"""Materialising a step of an iteration."""
+"""Materialising a step of a plan."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder, so that losing an executor loses no part of it.
 
-    The cluster names the folder in spark.checkpoint.dir; only where it names none (as in tests)
-    is a local one set.
+    The cluster names the folder in spark.checkpoint.dir; only on a local master (as in tests) is one
+    set where it names none, as other machines would each write to a folder of their own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
     return df.checkpoint()
