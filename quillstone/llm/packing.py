@@ -4,7 +4,8 @@ Attention over a piece of n tokens costs about LINEAR * n + QUADRATIC * n * n. P
 descending order and each goes to the lowest-cost sequence that still has room for it; what fits in
 no sequence whole is cut to fill the roomiest ones. Tokenising and packing happen in one pass over
 each input partition, in groups of a bounded number of tokens, so nothing is shuffled, memory does
-not grow with the data, and a lost executor repeats only its own partition with the same result.
+not grow with the data (a worker holds one group, one run of texts of bounded size and the ids of a
+bounded number of words, and drops all of it at the end of a task), and a lost executor repeats only its own partition with the same result.
 
 Every group has exactly as much room as tokens: full sequences of max_tokens, and for the rest
 sequences whose lengths are powers of two, which take no padding.
@@ -23,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,18 +33,20 @@ END_ID = 2
 #: Sequences in one packing group; a group holds about 4 MB of ids.
 GROUP_SEQUENCES = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words whose ids are remembered in each worker, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+#: Words whose ids are remembered in each worker, in each of two halves (some 130 bytes a word), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: Characters whose words are looked up at once.
+PART_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _COMBINING = re.compile("[̀-ͯ]")
-#: Letters and at most one mark after them: the tokenizer takes both apart, so the letters' ids serve all such words.
-_PLAIN = re.compile(r"([^\W\d_]+)([.,]?)")
+#: One of these after letters is a token of its own, so the letters' ids serve words with and without it.
+_MARKS = frozenset(".,")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts, through a bounded memory of the ids of their words.
+    """Ids of whole texts, through a memory of the ids of their words, of two halves of a bounded size.
 
     The vocabulary's words end at white space, so a text's ids are its words' ids one after the
     other. Words not seen before are encoded together in one call and told apart by the tokens that
@@ -54,11 +58,12 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self.direct(m) if m else b"" for m in ("", ".", ",")}
+        self.marks = {m: self.direct(m) for m in _MARKS}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,31 +90,77 @@ class WordEncoder:
             else:
                 self.cache.update((w, self.direct(w)) for w in some)
 
+    def remember(self, words: set[str]) -> None:
+        """Brings the words' ids into the younger half of the memory; the older half goes when the younger is full."""
+        known = self.cache
+        new = words.difference(known)
+        self.recall(new)
+        new.difference_update(known)
+        short = [w for w in new if len(w) <= CACHE_CHARS]
+        plain = [w for w in short if w.isalpha()]
+        marked = [w for w in short if w[-1:] in _MARKS and w[:-1].isalpha()]
+        stems = {w[:-1] for w in marked}.union(plain).difference(known)
+        self.recall(stems)
+        self.learn([w for w in stems if w not in known])
+        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        mixed = [w for w in short if w not in known and w.isprintable() and not _COMBINING.search(w)]
+        self.learn_mixed(mixed)
+        self.odd.update((w, self.direct(w)) for w in new.difference(known))
+
+    def recall(self, words: set[str]) -> None:
+        """Brings what the older half knows of the words into the younger one."""
+        older = self.older
+        self.cache.update([(w, older[w]) for w in words if w in older])
+
+    def forget(self) -> None:
+        """Ends a task: nothing is held for the next one."""
+        self.cache, self.older, self.odd = {}, {}, {}
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, of bounded parts of it at a time."""
+        if len(text) <= PART_CHARS:
+            yield text.split(" ")
+            return
+        at = 0
+        while at < len(text):
+            end = len(text) if at + PART_CHARS >= len(text) else text.rfind(" ", at, at + PART_CHARS)
+            end = end if end > at else text.find(" ", at + PART_CHARS)
+            end = end if end > 0 else len(text)
+            yield text[at:end].split(" ")
+            at = end + 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:  # the older half goes; words in use come back at once
-            for w in list(self.cache)[: CACHE_WORDS // 2]:
-                del self.cache[w]
-        split: list[list[str] | None] = []
-        for t in texts:
+        """The ids of each text, as unsigned little-endian 32-bit numbers. Texts of some PART_CHARS at once are best."""
+        out: list[bytes | None] = []
+        split: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def join() -> None:
+            self.remember(set(chain.from_iterable(s for _, s in split)))
+            get = (lambda w: self.odd[w] if w in self.odd else self.cache[w]) if self.odd else self.cache.__getitem__
+            for i, s in split:
+                ids = b"".join(map(get, s))
+                out[i] = ids if out[i] is None else out[i] + ids
+            split.clear()
+            self.odd = {}
+            if len(self.cache) > CACHE_WORDS:
+                self.older, self.cache = self.cache, {}
+
+        for i, t in enumerate(texts):
+            out.append(None)
             if "<|" in t:
-                split.append(None)
+                out[i] = self.direct(t)
                 continue
             if t.isascii() or not _COMBINING.search(t):
                 t = t.encode().lower().decode()
-            split.append(t.replace("\n", " ").split(" "))
-        new = [w for w in set(chain.from_iterable(s for s in split if s)) if w not in self.cache]
-        known, odd = self.cache, {}
-        found = [(w, _PLAIN.fullmatch(w) if len(w) <= CACHE_CHARS else None) for w in new]
-        self.learn([x for x in {m[1] for _, m in found if m} if x not in known])
-        mixed = [w for w, m in found if not m and len(w) <= CACHE_CHARS and w.isprintable() and not _COMBINING.search(w)]
-        self.learn_mixed(mixed)
-        for w, m in found:
-            if m:
-                known[w] = known[m[1]] + self.marks[m[2]]
-            elif w not in known:
-                odd[w] = self.direct(w)
-        get = (lambda w: odd[w] if w in odd else known[w]) if odd else known.__getitem__
-        return [self.direct(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+            for words in self.parts(t.replace("\n", " ")):
+                split.append((i, words))
+                size += min(len(t), PART_CHARS)
+                if size > PART_CHARS:
+                    join()
+                    size = 0
+        join()
+        return [x if x is not None else b"" for x in out]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -118,6 +169,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about PART_CHARS bytes of text each, or of one longer text."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, done + PART_CHARS, side="right")))
+        yield batch.slice(at, to - at)
+        at, done = to, int(size[to - 1])
+
+
 def powers(n: int) -> list[int]:
     """The powers of two that sum to n, descending."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -165,8 +226,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
                     held.append((doc_id, ids + end))
                     tokens += len(ids) // 4 + 1
@@ -175,5 +235,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
                         tokens = 0
         if held:
             yield flush()
+        enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
