@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of two or three longs that may be broadcast; measured by a count before each broadcast.
-BROADCAST_ROWS = 1_000_000
+from quillstone.lineage import cut
+
+__all__ = ["ascii_lower", "connected_components", "cut", "join_hubs", "small", "table", "with_rest"]
+
+#: Bytes of values that may be broadcast; they are summed over the materialised rows before each broadcast.
+BROADCAST_BYTES = 32 << 20
+#: A node of more links than this, or than one in HUB_SHARE of all, is joined apart.
+HUB, HUB_SHARE = 1_000, 100_000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -23,49 +31,92 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that losing an executor loses no part of it.
+def with_rest(df: DataFrame, used: tuple[str, ...], apply: Callable[[DataFrame], DataFrame], added: tuple[str, ...] = ()) -> DataFrame:
+    """apply() to the used columns alone, while the others travel packed in one, so that no name can clash.
+
+    The result has df's columns in their order, and then the added ones, which replace columns of these names.
+    """
+    names = [c for c in df.columns if c not in added]
+    rest = [c for c in names if c not in used]
+    if not rest:
+        return apply(df.select(*used)).select(*[f"`{c}`" for c in (*names, *added)])
+    pack = "_rest"
+    while pack in used or pack in added:
+        pack += "_"
+    out = apply(df.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest]).alias(pack)))
+    return out.select(*[F.col(f"{pack}.`{c}`") if c in rest else F.col(f"`{c}`") for c in names], *added)
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    zero = F.lit(0).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c).cast("long") + 8
+    elif isinstance(kind, T.ArrayType):
+        size = 16 + F.aggregate(c, zero, lambda n, x: n + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = 8 + reduce(lambda n, f: n + _bytes(c[f.name], f.dataType), kind.fields, zero)
+    else:
+        size = F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(8).cast("long"))
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Marks an already materialised df for broadcast if its values sum up to few bytes, else leaves the join to shuffle."""
+    size = reduce(lambda n, f: n + _bytes(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(16).cast("long"))
+    total = df.select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
+
 
-    The cluster names the folder in spark.checkpoint.dir; only where it names none (as in tests)
-    is a local one set.
+def join_hubs(rows: DataFrame, side: DataFrame, key: str, counted: DataFrame) -> DataFrame:
+    """rows joined with side on a key that may be very frequent in rows.
+
+    The rows of a hub, a key of very many rows, would meet in one task. There are few hubs, at most HUB_SHARE
+    of them however many rows there are, so what side has for these is broadcast and their rows stay where
+    they are. counted: a materialised table whose keys are as frequent as those of rows.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
-    return df.checkpoint()
+    columns = [*rows.columns, *[c for c in side.columns if c != key]]
+    hubs = cut(counted.groupBy(key).count().where(F.col("count") > max(HUB, counted.count() // HUB_SHARE)).select(key))
+    if not hubs.count():
+        return rows.join(side, key).select(*columns)
+    few = small(cut(side.join(small(hubs), key, "left_semi")))
+    rest = rows.join(small(hubs), key, "left_anti").join(side, key)
+    return rows.join(few, key).select(*columns).union(rest.select(*columns))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks an already materialised df for broadcast if it is counted to be small, else leaves the join to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _with_least(edges: DataFrame, least: DataFrame, bound: int, hubs: bool) -> DataFrame:
+    """edges (u, v) with the m that least (u, m, n: its edges) has for u; hubs as in join_hubs."""
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u")
+    some = F.broadcast(least.where(F.col("n") > bound).select("u", "m"))
+    rest = edges.join(some, "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return edges.join(some, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(a, b) links, longs, to (node, root): root is the smallest node reachable.
 
     Alternates large-star and small-star steps, whose edges never outnumber the nodes' links; every
-    step is two aggregations with map-side combine and a join on the node, so that a component of
-    any size is never gathered in one task. Self-links are allowed; null ends are dropped.
+    step is two aggregations with map-side combine and a join on the node in which hubs are told apart, so
+    that a component of any size is never gathered in one task. Nodes without a link to another one are
+    not part of the result; null ends are dropped.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct())
+    u, v = F.col("u"), F.col("v")
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
     for _ in range(max_rounds):
         # large star: every neighbour above the node hangs on the node's smallest neighbour
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.union(e.where("u = v")).distinct()
+        both = e.select("u", "v").union(e.select(v.alias("u"), u.alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), F.count("*").alias("n"), F.count_if(v < u).alias("below")))
+        # settled: each node is a root, or hangs on one node alone and none hangs on it
+        ends, most, open_ = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if((F.col("below") > 0) & (F.col("n") > 1))).first()
+        if not open_:
+            return least.select(u.alias("node"), F.col("m").alias("root"))
+        bound = max(HUB, ends // HUB_SHARE)
+        large = _with_least(both, least, bound, most > bound).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         # small star: every neighbour below the node, and the node, hang on the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        nxt = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = cut(nxt)
-        # settled: all hang on roots, and no root hangs on another node
-        open_ = nxt.join(nxt.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        multi = 0 if open_ else nxt.groupBy("u").count().where("count > 1").limit(1).count()
-        e = nxt
-        if not open_ and not multi:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        large = cut(large) if most > bound else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = cut(least) if most > bound else least
+        joined = _with_least(large, least, bound, most > bound)
+        e = cut(joined.select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+    raise RuntimeError("components did not settle")
