@@ -1,8 +1,9 @@
 """Line dedup by deletion neighbourhoods.
 
 A line repeats an earlier one if their words (A-Z lowered, split at ASCII white space) differ by at
-most one word left out, put in or exchanged. Lines of fewer than MIN_WORDS words are compared whole, and
-only with short=True; without it they are never touched.
+most one word left out, put in or exchanged. Of a line of fewer than MIN_WORDS words one word is too large
+a share (any two lines of one word would be alike), so the bound is zero for these: they repeat a line
+that has just their words. Lines without words, such as blank ones, are never touched.
 Lines are ordered by (doc_id, line number), and every line that repeats an earlier one goes, so the
 earliest stays.
 
@@ -20,7 +21,8 @@ another distinct line, for N its own number of words or one more.
 
 Cases: null or empty text has no lines to touch and stays as it is; rows with equal doc_id and text are
 one document and get the same result; null ids order first; a document whose lines all go is left with
-an empty text; an empty table stays empty; other columns are carried along.
+an empty text; an empty table stays empty; other columns are carried along, of whatever names, but for
+n_lines, n_dropped and n_near, which the result replaces.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, small
+from quillstone.llm.common import cut, small, with_rest
 from quillstone.llm.wordhash import mix, word_hashes
 
+#: Lines of fewer words have to be equal.
 MIN_WORDS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_M), -1, 2**64))
@@ -104,9 +107,8 @@ def _line_keys(lines: list[list[bytes]]) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
-def _lines(docs: DataFrame, short: bool) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs (null under MIN_WORDS)."""
-    least = 1 if short else MIN_WORDS
     names = ["doc_id", "text_hash", "line", "h1", "h2", "a", "b", "c", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def _lines(docs: DataFrame, short: bool) -> DataFrame:
                 t = batch.column(2)[i].as_py()
                 for j, line in enumerate(t.encode("utf-8", "surrogatepass").split(b"\n") if t else ()):
                     w = line_words(line)
-                    if len(w) >= least:
+                    if w:
                         for c, v in zip(held, (i, j, w)):
                             c.append(v)
                 size += len(t or "")
@@ -185,9 +187,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("pos.*", "a", "b").mapInArrow(run, "doc_id long, text_hash long, line int")
 
 
-def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and line of the lines that repeat an earlier one, and near: whether only nearly."""
-    lines = cut(_lines(docs, short))
+    lines = cut(_lines(docs))
     keys, runs = ["h1", "h2"], ["a", "b", "c", "d"]
     pos = F.struct("doc_id", "text_hash", "line")
     distinct = cut(lines.groupBy(*keys).agg(F.min(pos).alias("pos"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in runs]))
@@ -214,10 +216,14 @@ def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     return equal.union(near.withColumn("near", F.lit(True)))
 
 
-def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """docs with text less the repeated lines, and n_lines, n_dropped and n_near, which replace columns of these names."""
-    gone = cut(repeated_lines(docs, short).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
-    d = docs.drop("n_lines", "n_dropped", "n_near").withColumn("_text_hash", F.xxhash64("text"))
+    return with_rest(docs, ("doc_id", "text"), _dedup, ("n_lines", "n_dropped", "n_near"))
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    gone = cut(repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
+    d = docs.withColumn("_text_hash", F.xxhash64("text"))
     joined = d.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone.line"))
