@@ -4,9 +4,11 @@ Texts become words (A-Z lowered; runs of ASCII letters, digits and everything be
 rolling K-gram of words is hashed, a gram that occurs in no template is left out at once, and Spark
 joins the rest to the template positions of the same gram (the templates are a fixed list, so that
 side is broadcast). A match votes for its diagonal, the text position less the template position;
-votes are counted for each diagonal with partial aggregation, neighbouring diagonals of a template
-(words left out or put in) are merged, and spans are verified: grams are compared as text, not only
-by hash; a base phrase needs every gram on one diagonal, a longer template most of its grams.
+votes are counted for each diagonal with partial aggregation. Neighbouring diagonals of a template (words
+left out or put in) are merged, as far as SLACK from one of them, so that a span is no longer than its
+template and SLACK words; and spans are verified: grams are compared as text, not only by hash; a base
+phrase needs every gram on one diagonal, a longer template COVER of its grams, each counted once however
+often the text repeats it. Overlapping spans of a template are one.
 
 Cases: null text is empty: no words, no labels, score 0; places of a repeated phrase all count; rows
 repeated in the input are scanned and returned once each; an empty table stays empty; other columns
@@ -97,16 +99,19 @@ def scan(docs: DataFrame, base: tuple = BASE, templates: tuple = TEMPLATES, slac
         .agg(F.collect_set("offset").alias("offsets"), F.min("pos").alias("from"), (F.max("pos") + K).alias("to"))
     )
     order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > slack)
-    spans = (
-        votes.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(order))
-        .withColumn("offset", F.explode_outer("offsets"))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "span")
-        .agg(F.count_distinct("offset").alias("votes"), F.min("from").alias("from"), F.max("to").alias("to"))
-        .withColumn("share", F.least(F.col("votes") / (F.col("size") - (K - 1)), F.lit(1.0)))
-    )
+    near = order.rangeBetween(0, slack)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("offsets").over(near))))
+    merged = votes.withColumn("votes", F.when(F.col("base"), F.size("offsets")).otherwise(covered).cast("long"))
+    merged = merged.withColumns({"from": F.when(F.col("base"), F.col("from")).otherwise(F.min("from").over(near)), "to": F.when(F.col("base"), F.col("to")).otherwise(F.max("to").over(near))})
+    merged = merged.withColumn("share", F.col("votes") / (F.col("size") - (K - 1)))
     good = F.col("template").isNotNull() & F.coalesce(F.when(F.col("base"), F.col("votes") == F.col("size") - (K - 1)).otherwise(F.col("share") >= cover), F.lit(False))
+    # of a template's good diagonals, one for each run of neighbours
+    merged = merged.withColumn("good", good)
+    last = F.max(F.when(F.col("good"), F.col("diagonal"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("base") | F.coalesce(F.col("diagonal") - last > slack, F.lit(True))
+    merged = merged.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    spans = merged.groupBy("row", "doc_id", "n_words", "template", "label", "base", "good", "span").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.max("share").alias("share"))
+    good = F.col("good")
     of_base = good & F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = spans.groupBy("row", "doc_id", "n_words").agg(
