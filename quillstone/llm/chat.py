@@ -4,7 +4,8 @@ A log has one event a row: conv_id, seq, message_id, kind, role, text. Kinds are
 regenerate and edit (replace what it said so far) and delta (appends to it). Events are ordered by
 (seq, kind in that order, role, text). A message's text is that of its last event that is no delta,
 followed by the deltas after that; its place in the conversation is that of the event that opened it,
-and its role the last one given. Events on a message that nothing opened open it themselves.
+and its role the last one given. Events on a message that nothing opened open it themselves. Events of
+any other kind, or of none, are no part of a message and are left out.
 
 Folding is done per message, before the conversation is put together, so only what belongs to one
 message or, last, to one rendered conversation meets in one row (an output value is one row's by
@@ -55,9 +56,9 @@ def as_events(conversations: DataFrame) -> DataFrame:
 def fold(events: DataFrame) -> DataFrame:
     """The log as final messages: conv_id, seq, role, text, with tie, which orders messages of one seq."""
     e = events.select(
-        "conv_id", "message_id", "seq", F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(1)).cast("int").alias("rank"),
+        "conv_id", "message_id", "seq", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank"),
         F.coalesce("role", F.lit("")).alias("role"), F.col("role").isNotNull().alias("has_role"), F.coalesce("text", F.lit("")).alias("text"),
-    )
+    ).where("rank > 0")
     order = Window.partitionBy("conv_id", "message_id").orderBy("seq", "rank", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("nth", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(order))
     e = e.withColumn("at", F.struct("seq", "rank", "role", "text"))
