@@ -4,20 +4,21 @@ A list of keys (a host, or a host and the beginning of a path) is encoded as a c
 filter holds the listed keys, the second those keys of the corpus that pass the first without being
 listed, the third the listed keys that pass the second, and so on until none is left over. As the
 levels are built against every candidate key of the corpus (its complete key universe), asking them
-in turn gives exact membership, and judging a URL needs no join: each filter is a literal of a size
-set by the list. Building reads the universe once per level, keeps what passes the earlier levels,
-and gathers filter words (64 bits each), never keys.
+in turn gives exact membership, and judging a URL needs no join: each filter is one array literal of a
+size set by the list. Building reads the universe once per level, keeps what passes the earlier levels,
+and gathers filter words (64 bits each), never keys. Lists may be tables of any length up to MAX_WORDS words
+of a filter; a key's shape (labels of the host, characters of the path) has to be one of MAX_SHAPES.
 
 Cases: a null URL, or one without ://, has an empty host and path, which fit no rule; hosts compare
 without regard to the case of A-Z, all else literally; repeated rows are judged once each; an empty
-table stays empty. The columns host, path, rule and verdict replace any of these names.
+table stays empty; rules without a verdict or host count for nothing, and a null path is an empty one.
+The columns host, path, rule and verdict replace any of these names; other columns are carried along.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ BITS_PER_KEY, HASHES = 12, 6
 #: Longest filter that becomes a literal, in 64-bit words (8 MB).
 MAX_WORDS = 1 << 20
 MAX_LEVELS = 40
+MAX_SHAPES = 200
 _END = "\u0000"
 
 
@@ -50,10 +52,6 @@ def candidate(host: Column, path: Column, labels: int, chars: int) -> Column:
     return F.when(enough, F.concat(suffix, F.lit(_END), F.substring(path, 1, chars) if chars else F.lit("")))
 
 
-def rule_key(host: str, path: str) -> str:
-    return f"{host}{_END}{path}"
-
-
 @dataclass
 class Filter:
     bits: int
@@ -64,10 +62,9 @@ class Filter:
         return [F.pmod(a.bitwiseXOR(F.shiftright(b, i) if i else F.lit(0).cast("long")).bitwiseXOR(F.shiftleft(b, 7 * i + 1)), F.lit(self.bits)) for i in range(HASHES)]
 
     def passes(self, key: Column) -> Column:
-        n = (self.bits + 63) // 64
-        words = F.array(*[F.lit(self.words.get(i, 0)).cast("long") for i in range(n)])
-        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in self.positions(key)]
-        return reduce(lambda x, y: x & y, tests)
+        # of constants alone, so the optimizer makes one literal of it
+        words = F.split(F.lit(",".join(str(self.words.get(i, 0)) for i in range(self.bits // 64))), ",").cast("array<bigint>")
+        return F.forall(F.array(*self.positions(key)), lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
 
 
 def build_filter(keys: DataFrame, n: int) -> Filter:
@@ -112,38 +109,43 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple | DataFrame = RULES, blocked_hosts: tuple[str, ...] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
     """pages (url, ...) with host, path, rule and verdict: that of the longest rule that fits, else the block list's.
 
-    Of rules of equal length that both fit, block goes before allow.
+    rules: tuples or a table (verdict, host, path); blocked_hosts: names or a table (host). Of rules of
+    equal length that both fit, block goes before allow.
     """
     spark: SparkSession = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([*rules], "verdict string, host string, path string")
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
     host, path = host_and_path(F.col("url"))
     pages = pages.drop("host", "path", "rule", "verdict")
     df = pages.withColumns({"host": host, "path": path})
-    lists = {
-        "block": [(h, p) for v, h, p in rules if v == "block"],
-        "allow": [(h, p) for v, h, p in rules if v == "allow"],
-        "listed": [(h.lower(), "") for h in blocked_hosts],
-    }
-    shapes = {k: sorted({(h.count(".") + 1, len(p)) for h, p in x}) for k, x in lists.items()}
+    r = rules.where("host is not null").select("verdict", ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    lists = {"block": r.where("verdict = 'block'"), "allow": r.where("verdict = 'allow'"), "listed": blocked_hosts.where("host is not null").select(ascii_lower(F.col("host")).alias("host"), F.lit("").alias("path"))}
     found: list[Column] = []
     listed = F.lit(False)
     parts = df.select("host", "path")
     for name, keys in lists.items():
-        if not keys:
+        shapes = keys.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().limit(MAX_SHAPES + 1).collect()
+        if len(shapes) > MAX_SHAPES:
+            raise ValueError(f"keys of the list {name!r} have more than {MAX_SHAPES} shapes")
+        if not shapes:
             continue
-        candidates = [candidate(F.col("host"), F.col("path"), *s) for s in shapes[name]]
+        candidates = [candidate(F.col("host"), F.col("path"), *s) for s in sorted(tuple(s) for s in shapes)]
         universe = parts.select(F.explode(F.array(*candidates)).alias("key"))
-        cascade = build_cascade(spark.createDataFrame([(rule_key(*k),) for k in keys], "key string"), universe)
+        cascade = build_cascade(keys.select(F.concat("host", F.lit(_END), "path").alias("key")), universe)
         for c in candidates:
             if name == "listed":
                 listed = listed | cascade.contains(c)
             else:
                 found.append(F.when(cascade.contains(c), F.struct(F.length(c).alias("n"), F.lit(name).alias("verdict"), F.replace(c, F.lit(_END), F.lit("")).alias("rule"))))
     best = F.greatest(*found, F.lit(None).cast(_RULE), F.lit(None).cast(_RULE))
-    df = df.withColumn("_best", best)
-    return df.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.when(listed, "block").otherwise("allow"))}).drop("_best")
+    df = df.select("*", F.struct(best.alias("best"), listed.alias("listed")).alias("_best_of_rules"))
+    out = df.withColumns({"rule": F.col("_best_of_rules.best.rule"), "verdict": F.coalesce(F.col("_best_of_rules.best.verdict"), F.when(F.col("_best_of_rules.listed"), "block").otherwise("allow"))})
+    return out.drop("_best_of_rules")
 
 
 _RULE = "struct<n:int,verdict:string,rule:string>"
