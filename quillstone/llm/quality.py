@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import with_rest
+
 #: Labelled rows that are gathered for fitting, at most.
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
@@ -189,7 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score double and predicted int, which replace columns of these names."""
-    with_stats = docs.drop("score", "predicted").withColumn("_stats", statistics_column(F.col("text")))
-    scored = with_stats.withColumn("score", model.column(F.col("_stats"))).drop("_stats")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """docs with score double and predicted int, which replace columns of these names; no other name can clash."""
+
+    def add(d: DataFrame) -> DataFrame:
+        scored = d.withColumn("_stats", statistics_column(F.col("text"))).withColumn("score", model.column(F.col("_stats")))
+        return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+    return with_rest(docs, ("text",), add, ("score", "predicted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -41,6 +42,7 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
     """(doc_id, item_id) where a window as long as the item (or a shorter one at the end) is similar enough."""
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
     grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    short = [(i, words(t)) for i, t in items if 0 < len(words(t)) < 5]
     bench = [(i, len(words(t)), Counter(grams(words(t)))) for i, t in items if len(words(t)) >= 5]
     having: dict = {}
     for x in bench:
@@ -48,7 +50,9 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
             having.setdefault(g, []).append(x)
     out = set()
     for d, text in docs:
-        g = grams(words(text))
+        w = words(text)
+        g = grams(w)
+        out |= {(d, i) for i, item in short if any(w[p : p + len(item)] == item for p in range(len(w)))}
         for x in {id(x): x for y in set(g) for x in having.get(y, ())}.values():
             item, n, want = x
             for p in range(len(g)):
@@ -68,6 +72,34 @@ def licenses(docs: list[tuple[int, str | None]], base: tuple) -> dict[int, tuple
     return out
 
 
+def license_labels(text: str | None, base: tuple, templates: tuple, slack: int, cover: float) -> tuple[str, float]:
+    """Labels and score: base phrases exactly, templates by the pairs of words found near one place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_UP))
+    labels = {x for p, x in base if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+    score = float(bool(labels))
+    for phrase, label in templates:
+        t = phrase.split()
+        for d in range(-len(t), len(w)):
+            seen = {o for o in range(len(t) - 1) for e in range(slack + 1) if o + d + e >= 0 and w[o + d + e : o + d + e + 2] == t[o : o + 2]}
+            if len(seen) / (len(t) - 1) >= cover:
+                labels.add(label)
+                score = max(score, len(seen) / (len(t) - 1))
+    return ",".join(sorted(labels)), score
+
+
+def shard_of(key: object, shards: int, size: int) -> tuple[int, int]:
+    """Slot and shard by simulating the turns from the definition."""
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    prefers = [[(number(f"shard-{i}|offset") % size + j * (1 + number(f"shard-{i}|skip") % (size - 1))) % size for j in range(size)] for i in range(shards)]
+    owner: dict[int, int] = {}
+    turn = 0
+    while len(owner) < size:
+        owner[next(s for s in prefers[turn % shards] if s not in owner)] = turn % shards
+        turn += 1
+    slot = number("" if key is None else str(key)) % size
+    return slot, owner[slot]
+
+
 def nearest(rows: list[tuple[int, list | None]], k: int, every: int) -> list[tuple[int, int, int, float]]:
     fine = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None for c in v) and np.isfinite(np.array(v, float)).all() and any(v)]
     out = []
@@ -85,14 +117,14 @@ def nearest(rows: list[tuple[int, list | None]], k: int, every: int) -> list[tup
     return sorted(out)
 
 
-def kept_lines(docs: list[tuple[int, str | None]], min_words: int = 5) -> dict[int, str | None]:
-    """Texts less every line that repeats, within one word, an earlier one."""
+def kept_lines(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
+    """Texts less every line that repeats an earlier one: within one word, or, under five words, exactly."""
     lines = [(d, n, x, x.translate(_UP).split()) for d, t in sorted(docs, key=lambda x: x[0]) if t for n, x in enumerate(t.split("\n"))]
     seen, gone = [], set()
     for d, n, _, w in lines:
-        if len(w) < min_words:
+        if not w:
             continue
-        if any(_within_one(w, v) for v in seen):
+        if any(_within_one(w, v) if min(len(w), len(v)) >= 5 else w == v for v in seen):
             gone.add((d, n))
         seen.append(w)
     return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) if t else t for d, t in docs}

@@ -74,13 +74,42 @@ def test_decontamination_of_empty_tables(spark):
 
 
 def test_blocks_find_every_fingerprint_in_the_radius():
-    rng, flips = random.Random(1), set(decontam.flips())
+    rng, widths = random.Random(1), decontam.WIDTHS
+    assert sum(widths) == 64 * decontam.PRINTS and 64 in [sum(widths[:i]) for i in range(len(widths))]
+    flips, starts = [set(decontam.flips(w)) for w in widths], [sum(widths[:i]) for i in range(len(widths))]
     for _ in range(500):
-        a = rng.getrandbits(64)
-        b = a
-        for i in rng.sample(range(64), decontam.RADIUS):
+        a = b = rng.getrandbits(64 * decontam.PRINTS)
+        for i in rng.sample(range(64 * decontam.PRINTS), decontam.RADIUS):
             b ^= 1 << i
-        assert any((a >> 8 * i & 255) ^ (b >> 8 * i & 255) in flips for i in range(8))
+        assert any((a >> s ^ b >> s) % (1 << w) in f for s, w, f in zip(starts, widths, flips))
+
+
+def test_fingerprints_recall_and_prune(spark):
+    """Of windows just similar enough nearly all are found; of unlike pairs few become candidates."""
+    rng = random.Random(9)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(150)]
+    edited = []
+    for w in items:
+        v = list(w)
+        for i in rng.sample(range(6, 54), 1):  # five of 56 shingles: similarity 51 / 61
+            v[i] = "other"
+        edited.append(v)
+    bench = decontam.items(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    prints = decontam.items(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(edited)], "item_id long, text string")).select("n", F.col("item_id").alias("window"), "simhash", F.col("simhash").alias("of"))
+    pairs = decontam.candidates(prints, bench)
+    assert pairs.where("window <> item_id").count() < 0.2 * 150 * 149
+    near = pairs.where("window = item_id").join(bench.select("item_id", F.col("simhash").alias("of_item")), "item_id")
+    assert near.where(decontam.distance(F.col("of_window"), F.col("of_item")) <= decontam.RADIUS).count() >= 0.95 * 150
+
+
+def test_decontamination_of_short_and_null_items(spark):
+    bench = [(1, "Alpha beta"), (2, "gamma"), (None, "one two three four five six"), (3, "alpha  beta!"), (4, "a b c d e"), (5, " .. "), (6, None)]
+    docs = [(1, "so alpha, beta it is"), (2, "alpha x beta"), (3, "Gamma"), (4, "zero one two three four five six seven"), (5, "a b c d"), (6, "x a b c d e y " + "z " * 50_000), (3, "gamma")]
+    d, b = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b).collect()}
+    assert got == brute.leaks(docs, bench) == {(1, 1), (1, 3), (3, 2), (4, None), (6, 4)}
+    flat = rows_of(decontam.windows(d, decontam.items(b), limit=0), "doc_id", "start", "n")
+    assert flat == rows_of(decontam.windows(d, decontam.items(b)), "doc_id", "start", "n")
 
 
 def test_decontamination_of_null_ids(spark):
@@ -175,6 +204,33 @@ def test_neighbours_recall_over_blocks(spark, monkeypatch):
     assert len(got) == 4000 and len(got & want) >= 0.97 * len(want)
 
 
+def test_codes_tell_which_vectors_are_scored():
+    """Estimates come from packed bits, their bounds hold, and few vectors are scored exactly."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64)) + 0.2
+    centre = x.mean(0)
+    codes, length, along = ann.encode(x, centre)
+    assert codes.dtype == np.uint64 and codes.shape == (6000, 1)
+    ids = np.arange(6000)
+    block = ann.Block(ids, ids, x, codes, length, along, centre, 20)
+    e, bound = block.estimates(x[7])
+    assert np.mean(np.abs(e - x @ x[7]) <= bound) > 0.93
+    rows, queries, near, _ = block.nearest(ids[:100], ids[:100], x[:100], 20)
+    s = x[:100] @ x.T
+    s[np.arange(100), np.arange(100)] = -np.inf
+    want = {(q, int(i)) for q in range(100) for i in np.argsort(-s[q])[:20]}
+    assert len(want & set(zip(np.concatenate(queries).tolist(), np.concatenate(near).tolist()))) >= 0.97 * len(want)
+    assert block.scored < 0.25 * 100 * 6000
+
+
+def test_neighbours_with_one_id(spark):
+    """Rows that share an id are candidates of each other, and queries of their own."""
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(df, "id % 20 = 0").collect())
+    one = [(20, 1, 3, 1.0), (20, 2, 20, 1.0), (20, 3, 20, 0.0)]
+    assert got == sorted(one + one + [(20, 1, 3, 2.0), (20, 2, 20, 0.0), (20, 3, 20, 0.0)])
+
+
 # 5 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, percent):
