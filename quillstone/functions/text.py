@@ -128,6 +128,55 @@ def normal_formula(formula: Column) -> Column:
     return F.regexp_replace(formula, r"(\$?[A-Z]{1,3}\$?)\d+", "$1#")
 
 
+#: Ranges in formulas, with and without a sheet, and aggregations of one. Fixed values.
+RANGE, SHEET_RANGE = r"([A-Z]{1,3})(\d+):([A-Z]{1,3})(\d+)", r"([A-Za-z_]\w*?)!([A-Z]{1,3})(\d+):([A-Z]{1,3})(\d+)"
+FROM_HEADER = r"(?i)(SUM|AVERAGE|AVG|COUNT|COUNTA|MIN|MAX|SUMPRODUCT)\s*\(\s*([A-Z]{1,3})1:"
+VALID_FORMULA = r"(?i)[A-Z]{2,}\s*\(|\$?[A-Z]{1,3}\$?\d+"
+SMALL = r"(?i)(SUM|AVERAGE|AVG|COUNT|COUNTA)\s*\(\s*([A-Z]{1,3})(\d+):([A-Z]{1,3})(\d+)\s*\)"
+
+
+def out_of_range(formula: Column, rows: Column, sheets: Column) -> Column:
+    """Part of C23: the ranges that end far below the data: over thrice its rows, and over 100. rows: of the formula's own
+    sheet; sheets: a map of those of all, for formulas that name one (unknown sheets are left alone)."""
+    listed = lambda p, n: F.transform(F.regexp_extract_all(formula, F.lit(p), F.lit(n)), lambda x: x)
+    far = lambda end, have: (end > have * 3) & (end > 100)
+    ends, names = F.transform(listed(SHEET_RANGE, 5), lambda x: x.cast("long")), listed(SHEET_RANGE, 1)
+    there = F.filter(F.transform(listed(SHEET_RANGE, 0), lambda x, i: F.when(far(F.get(ends, i), F.nullif(F.try_element_at(sheets, F.get(names, i)), F.lit(0))), x)), lambda x: x.isNotNull())
+    own = F.transform(listed(RANGE, 4), lambda x: x.cast("long"))
+    here = F.filter(F.transform(listed(RANGE, 0), lambda x, i: F.when(far(F.get(own, i), rows), x)), lambda x: x.isNotNull())
+    return F.when(F.size(names) > 0, there).otherwise(here)
+
+
+def header_included(formula: Column, row: Column) -> Column:
+    """Part of C23: whether a formula below the header aggregates from row 1."""
+    return formula.rlike(FROM_HEADER) & (row > 1)
+
+
+def small_aggregates(formula: Column) -> Column:
+    """Part of C23: the aggregations of one or two cells."""
+    first, last = (F.transform(F.regexp_extract_all(formula, F.lit(SMALL), F.lit(n)), lambda x: x.cast("long")) for n in (3, 5))
+    found = F.transform(F.regexp_extract_all(formula, F.lit(SMALL), F.lit(0)), lambda x, i: F.when(F.abs(F.get(last, i) - F.get(first, i)) + 1 <= 2, x))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def text_as_formula(value: Column, is_formula: Column) -> Column:
+    """Part of C24: whether a cell that begins with = is text: none of a formula's signs in a text cell; in a formula cell
+    neither a call nor a reference, unless it begins with a quoted string."""
+    body = F.trim(F.substring(value, 2, 1 << 30))
+    plain = ~value.rlike(r"[+\-*/()&,!:$]")
+    empty = ~body.startswith('"') & ~body.rlike(VALID_FORMULA)
+    return F.coalesce(value.startswith("=") & F.when(is_formula, empty).otherwise(plain), F.lit(False))
+
+
+def strength(element: Column, month: Column, others: Column) -> Column:
+    """The score of a day's element: 40 if the month's is the same or brings it forth, -20 if the month's overcomes it, and 15 for each of the others that is the same."""
+    # what each element is brought forth by, and overcome by. Fixed values.
+    bears = F.create_map(*[F.lit(x) for x in ("wood", "water", "fire", "wood", "earth", "fire", "metal", "earth", "water", "metal")])
+    beats = F.create_map(*[F.lit(x) for x in ("wood", "metal", "fire", "water", "earth", "wood", "metal", "fire", "water", "earth")])
+    season = F.when((month == element) | (month == bears[element]), 40).when(month == beats[element], -20).otherwise(0)
+    return season + 15 * F.size(F.filter(others, lambda x: x == element))
+
+
 def forbidden_functions(formula: Column, names: list[str]) -> Column:
     """Those of the named functions that a formula calls."""
     return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.regexp_like(formula, F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\s*\("))))

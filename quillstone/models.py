@@ -11,8 +11,11 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quillstone.lineage import cut
 from quillstone.operators.aggregates import PRICES
+from quillstone.operators.windows import budget_gate
 
 
 class ModelFn(Protocol):
@@ -83,18 +86,32 @@ def stub(tier: str, system: str, prompt: str) -> str:
     return json.dumps({"findings": [{"issue": f, "location": f"line:{i}", "risk": f, "propagation": f"line:{i}", "deviation": f, "evidence": f"line:{i}", "confidence": 0.9, "emotion": "certain", "by": digest} for i, f in enumerate(found)]})
 
 
-def ask(rows: DataFrame, fn: ModelFn, tier: str, system: str, prompt: str = "prompt") -> DataFrame:
-    """L2: rows with answer, the model's text for their prompt (null where the budget is used up). fn runs on the executors."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", answer string"
+def ask(rows: DataFrame, fn: ModelFn, tier: str, system: str, prompt: str = "prompt", budget: Budget | None = None, order: tuple[str, ...] = (), reserve: int = 1000) -> DataFrame:
+    """L1, L2: rows with answer, the model's text for their prompt, materialised, so that no call is paid twice.
 
-    def one(text: str | None) -> str | None:
-        try:
-            return fn(tier, system, text or "")
-        except BudgetExceeded:
-            return None
+    Under a budget, rows are admitted in the given order (columns that tell rows apart) as long as the calls and the cost
+    before each, taking reserve tokens for each answer, are below what the budget has left; the others have a null answer and are never
+    asked. At most max_calls rows are looked at for that, whatever the table's size. What was used is recorded on the budget.
+    fn runs on the executors.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", answer string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(answer=[one(t) for t in p[prompt]])
-
-    return rows.mapInPandas(run, kinds)
+            yield p.assign(answer=[fn(tier, system, t or "") for t in p[prompt]])
+
+    if budget is None:
+        return cut(rows.mapInPandas(run, kinds))
+    if not order:
+        raise ValueError("a budget needs an order of the rows")
+    spent = F.ceil((len(system) + F.length(F.coalesce(prompt, F.lit("")))) / 4) + reserve
+    first = rows.orderBy(*order).limit(max(0, budget.max_calls - sum(budget.calls.values())))
+    admitted = budget_gate(first.withColumns({"_run": F.lit(0), "tier": F.lit(tier), "tokens": spent}).select("_run", "tier", "tokens", *order), "_run", list(order), budget.max_calls, max(0.0, budget.max_cost - budget.cost))
+    admitted = F.broadcast(admitted.where("admitted").select(*order))  # max_calls rows at most
+    asked = cut(rows.join(admitted, [*order], "left_semi").mapInPandas(run, kinds))
+    used = asked.agg(F.count("*"), F.coalesce(F.sum(F.ceil((len(system) + F.length(F.coalesce(prompt, F.lit(""))) + F.length("answer")) / 4)), F.lit(0))).first()
+    if used[0]:
+        budget.calls[tier] = budget.calls.get(tier, 0) + used[0]
+        budget.tokens[tier] = budget.tokens.get(tier, 0) + used[1]
+    rest = rows.join(admitted, [*order], "left_anti").withColumn("answer", F.lit(None).cast("string"))
+    return asked.unionByName(rest)

@@ -146,9 +146,25 @@ def keyword_votes(df: DataFrame, id_col: str, text: str, keywords: DataFrame, de
 
 
 def oldest(df: DataFrame, order: str, keep: int) -> DataFrame:
-    """What has to go, oldest first, so that so many stay."""
-    n = df.count()
-    return df.orderBy(order).limit(max(0, n - keep))
+    """What has to go, oldest first, so that so many stay; rows that tie with the oldest that stays stay too.
+
+    Only the newest are looked for, so many a task; all older ones are told by one comparison.
+    """
+    if keep <= 0:
+        return df.orderBy(order)
+    least = df.orderBy(F.desc(order)).limit(keep).agg(F.min(order).alias("_least"))
+    return df.join(F.broadcast(least), F.col(order) < F.col("_least")).drop("_least").orderBy(order)
+
+
+#: How many examples a library holds at most, and how many are pruned at once. Fixed values.
+MAX_EXAMPLES, PRUNE = 20, 5
+
+
+def library_check(names: DataFrame, by: list[str], most: int = MAX_EXAMPLES, prune: int = PRUNE) -> DataFrame:
+    """of each library its size, by how many it is over the limit, what room is left, and how many to prune."""
+    n = names.groupBy(*by).agg(F.count("*").alias("n"))
+    over = F.greatest(F.col("n") - most, F.lit(0))
+    return n.withColumns({"over": over, "room": F.greatest(most - F.col("n"), F.lit(0)), "prune": F.when(over > 0, prune).otherwise(0)})
 
 
 def graded_runs(runs: DataFrame) -> DataFrame:
@@ -187,6 +203,20 @@ def audit(cells: DataFrame, by: list[str], errors: int = 50, zeros: int = 30, ar
     return f.groupBy(*by).agg(F.count("*").alias("formulas"), *aggs)
 
 
-def sheet_summary(cells: DataFrame) -> DataFrame:
-    """Rows, columns, data rows and formulas of each sheet."""
-    return cells.groupBy("sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"), (F.count_distinct("row") - 1).alias("data_rows"), F.count_if(F.col("formula").isNotNull()).alias("formulas"))
+def sheet_summary(cells: DataFrame, charts: DataFrame | None = None) -> DataFrame:
+    """Of the cells (sheet, row, col, value, formula) of each sheet its rows, columns, data rows and formulas below the
+    header, headers (those given in row 1, by column) and charts, where these (sheet, a row each) are given.
+
+    The header row is at most one value a column.
+    """
+    below = F.col("row") > 1
+    filled = F.coalesce("value", "formula").isNotNull() if "value" in cells.columns else F.lit(True)
+    header = F.when((F.col("row") == 1) & F.col("value").isNotNull(), F.struct("col", F.col("value").cast("string").alias("name"))) if "value" in cells.columns else F.lit(None).cast("struct<col:int,name:string>")
+    out = cells.groupBy("sheet").agg(
+        F.max("row").alias("rows"), F.max("col").alias("cols"), F.count_distinct(F.when(below & filled, F.col("row"))).alias("data_rows"), F.count_if(below & F.col("formula").isNotNull()).alias("formulas"),
+        F.transform(F.array_sort(F.collect_list(header)), lambda h: h["name"]).alias("headers"),
+    )
+    if charts is None:
+        return out.withColumn("charts", F.lit(0).cast("long"))
+    n = charts.groupBy("sheet").agg(F.count("*").alias("charts"))
+    return out.join(n, "sheet", "left").withColumn("charts", F.coalesce("charts", F.lit(0).cast("long")))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import coerce_emotion, coerce_number, coerce_severity, coerce_verdict, consensus_status, finding_id, parse_confidence
+from quillstone.lineage import cut
 from quillstone.operators.windows import first_per_group
 
 ESCALATE_BELOW, GATED, FREQUENT = 0.8, 0.4, 3
+#: Frequent patterns that are taken.
+MAX_PATTERNS = 200
 #: Where each reviewer's rows have what a finding has. E3: further reviewers are further entries.
 REVIEWERS = {
     "logic": {"issue": "issue", "location": "location"},
@@ -72,13 +79,20 @@ def pattern_words(pattern: Column) -> Column:
 def matching_pattern(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Findings with the first pattern (pattern, count; by count, then name) of whose longer words at least two, and half, occur in the issue.
 
-    Patterns are a report of at most 20 rows, which is broadcast; each is met by its words and not by rows of rows.
+    Patterns are a short report; more than MAX_PATTERNS frequent ones are refused. They become constants, so that
+    no finding is moved and nothing is joined.
     """
-    p = patterns.where(F.col("count") >= FREQUENT).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "pattern"))).withColumn("words", pattern_words(F.col("pattern")))
-    listed = p.agg(F.array_sort(F.collect_list(F.struct("rank", "pattern", "count", "words"))).alias("_patterns"))
-    hits = lambda x: F.size(F.filter(x["words"], lambda w: F.contains(F.lower("issue"), w)))
-    fits = F.filter("_patterns", lambda x: (hits(x) >= 2) & (hits(x) / F.size(x["words"]) >= 0.5))
-    return findings.join(F.broadcast(listed)).withColumn("_match", F.get(fits, F.lit(0))).drop("_patterns").withColumns({"matched": F.col("_match.pattern"), "matched_count": F.col("_match.count")}).drop("_match")
+    p = patterns.where(F.col("count") >= FREQUENT).select("pattern", "count", pattern_words(F.col("pattern")).alias("words"))
+    listed = p.orderBy(F.desc("count"), "pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(listed) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} frequent patterns")
+    issue = F.lower("issue")
+    fits = [(r, len(r["words"])) for r in listed if len(r["words"]) >= 2]
+    hits = lambda r: sum((F.contains(issue, F.lit(w)).cast("int") for w in r["words"]), F.lit(0))
+    match = F.lit(None).cast("struct<pattern:string,count:bigint>")
+    for r, n in reversed(fits):
+        match = F.when((hits(r) >= 2) & (hits(r) / n >= 0.5), F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["count"]).cast("long").alias("count"))).otherwise(match)
+    return findings.withColumn("_match", match).withColumns({"matched": F.col("_match.pattern"), "matched_count": F.col("_match.count")}).drop("_match")
 
 
 def feedback_gate(findings: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -115,3 +129,45 @@ def parse_report(raw: DataFrame, col: str = "raw") -> DataFrame:
 def inline_note(file: Column, line: Column, body: Column) -> Column:
     """O1: the plain note that stands in for an inline comment."""
     return F.concat(F.lit("**"), file, F.lit(":"), line.cast("string"), F.lit("**\n\n"), body)
+
+
+def inline_requests(comments: DataFrame, refs: DataFrame) -> DataFrame:
+    """O1: inline comments (mr_iid, file, line, body, and old_file where it was renamed) with the diff_refs of their review
+    as requests: path, payload, and fallback, the payload of the plain note that is posted where the first is refused."""
+    c = comments if "old_file" in comments.columns else comments.withColumn("old_file", F.lit(None).cast("string"))
+    j = c.join(refs.select("mr_iid", "base_sha", "start_sha", "head_sha"), "mr_iid")
+    position = F.struct("base_sha", "start_sha", "head_sha", F.col("file").alias("new_path"), F.col("line").alias("new_line"), F.lit("text").alias("position_type"), F.coalesce(F.nullif("old_file", F.lit("")), "file").alias("old_path"))
+    note = F.to_json(F.struct(inline_note(F.col("file"), F.col("line"), F.col("body")).alias("body")))
+    return j.select("mr_iid", F.lit("discussions").alias("path"), F.to_json(F.struct("body", position.alias("position"))).alias("payload"), note.alias("fallback"))
+
+
+def summary_requests(reports: DataFrame) -> DataFrame:
+    """O2: the summary (mr_iid, summary) of each review as a note's request."""
+    return reports.select("mr_iid", F.lit("notes").alias("path"), F.to_json(F.struct(F.col("summary").alias("body"))).alias("payload"), F.lit(None).cast("string").alias("fallback"))
+
+
+def post(requests: DataFrame, send: Callable[[int, str, str], None], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """O1, O2: sends requests from the executors, each up to so many times, then its fallback as a note; mr_iid, path and how it
+    was posted (posted, fallback or failed). Materialised, so that nothing is posted twice; fit for foreachBatch."""
+
+    def tried(mr: int, path: str, payload: str) -> bool:
+        for n in range(1, attempts + 1):
+            try:
+                send(mr, path, payload)
+                return True
+            except Exception:  # noqa: BLE001  whatever the service raises
+                if n < attempts:
+                    wait(float(n))
+        return False
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            done = []
+            for mr, path, payload, fallback in zip(p["mr_iid"], p["path"], p["payload"], p["fallback"]):
+                how = "posted" if tried(mr, path, payload) else "failed"
+                if how == "failed" and fallback is not None and tried(mr, "notes", fallback):
+                    how = "fallback"
+                done.append(how)
+            yield p[["mr_iid", "path"]].assign(result=done)
+
+    return cut(requests.select("mr_iid", "path", "payload", "fallback").mapInPandas(run, "mr_iid long, path string, result string"))

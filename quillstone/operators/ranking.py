@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import search_tokens
+from quillstone.lineage import cut
 
 K1, B, RESULTS = 1.5, 0.75, 3
-
-
-def terms(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, dl): how often each term occurs in each document, and the document's length."""
-    t = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("_t"))
-    return t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+#: Terms of queries that are looked up in place.
+VOCABULARY = 20_000
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -21,25 +18,36 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def corpus(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf), and one row (n, avgdl)."""
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(search_tokens(F.col(text)))).alias("avgdl"))
-    df = terms(docs, id_col, text).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf), and one row (n, avgdl). A document is a row; its distinct terms are counted before the shuffle."""
+    t = docs.select(search_tokens(F.col(text)).alias("_t"))
+    size = t.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    df = t.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(size)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf")), size
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "text", k1: float = K1, b: float = B, results: int = RESULTS) -> DataFrame:
-    """For each query (query_id, query) the best documents with a score above 0, ties by id.
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "text", k1: float = K1, b: float = B, results: int = RESULTS, vocabulary: int = VOCABULARY) -> DataFrame:
+    """For each query (query_id, query) the best documents with a score (to nine digits) above 0, ties by id.
 
-    The query's terms, each as often as it occurs, meet the documents' by a join on the term, so documents
-    without a term of the query never appear; the number of documents and their mean length are one row.
+    Documents are read once: of each only its length and those of its terms that some query has are kept. The
+    queries' terms are looked up in place if they are at most so many (they are counted), else joined.
     """
-    t = terms(docs, id_col, text)
-    words, size = corpus(docs, id_col, text)
     q = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = q.join(words, "term")
-    s = t.join(wanted, "term").join(F.broadcast(size))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = s.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    words = q.select("term").distinct()
+    listed = [r["term"] for r in words.limit(vocabulary + 1).collect()]
+    t = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("_t"))
+    if len(listed) <= vocabulary:
+        known = t.select("id", F.size("_t").alias("dl"), F.filter("_t", lambda w: w.isin(listed) if listed else F.lit(False)).alias("_t"))
+        known = cut(known)
+        size = known.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        tf = known.select("id", "dl", F.explode("_t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    else:
+        size = t.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+        tf = t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(words, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    tf = cut(tf)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    s = tf.join(q.join(df, "term"), "term").join(F.broadcast(size))
+    part = F.col("qf") * idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = s.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where((F.col("rank") <= results) & (F.col("score") > 0))
 
 

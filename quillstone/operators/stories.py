@@ -44,11 +44,11 @@ def mentions(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: st
     """(id, term) where a term occurs as a word, without regard to case. One-word terms meet the documents'
     words by a join on equality; only phrases are looked for in every text, against a broadcast list."""
     t = terms.select("term").distinct()
-    single = t.where(~F.col("term").rlike(r"\W"))
-    words = docs.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), r"\W+"))).alias("_w"))
+    single = t.where(~F.col("term").rlike(r"(?U)\W"))
+    words = docs.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))).alias("_w"))
     one = words.join(single, F.col("_w") == F.lower("term")).select(id_col, "term")
-    pattern = F.concat(F.lit(r"(?i)\b\Q"), F.col("term"), F.lit(r"\E\b"))
-    many = docs.select(id_col, text).join(F.broadcast(t.where(F.col("term").rlike(r"\W"))), F.regexp_like(F.col(text), pattern)).select(id_col, "term")
+    pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.col("term"), F.lit(r"\E\b"))
+    many = docs.select(id_col, text).join(F.broadcast(t.where(F.col("term").rlike(r"(?U)\W"))), F.regexp_like(F.col(text), pattern)).select(id_col, "term")
     return one.union(many).distinct()
 
 
@@ -95,7 +95,7 @@ def _odd(said: Column, attribute: str, known: Column) -> Column:
 def name_variants(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Other capitalisations of a name that occur, by document."""
     m = mentions(docs, names.select(F.col("name").alias("term"))).join(docs.select("doc_id", "text"), "doc_id")
-    found = F.regexp_extract_all(F.col("text"), F.concat(F.lit(r"(?i)\b(\Q"), F.col("term"), F.lit(r"\E)\b")), F.lit(1))
+    found = F.regexp_extract_all(F.col("text"), F.concat(F.lit(r"(?iU)\b(\Q"), F.col("term"), F.lit(r"\E)\b")), F.lit(1))
     v = F.array_sort(F.array_except(F.array_distinct(found), F.array("term")))
     return m.select("doc_id", F.col("term").alias("name"), v.alias("variants")).where(F.size("variants") > 0)
 

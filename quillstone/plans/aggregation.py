@@ -169,12 +169,12 @@ def f24_f30_keyword_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.keyword_votes(table(spark, sf_dir, "documents"), "doc_id", "text", words, "unknown")
 
 
-@query("""WITH f AS (SELECT *, l_linestatus = 'F' AS e, l_linestatus <> 'F' AND l_discount = 0 AS z FROM lineitem WHERE l_linenumber <= 2)
+@query("""WITH f AS (SELECT *, l_linestatus = 'F' AS e, l_linestatus <> 'F' AND l_discount = 0 AS z FROM lineitem)
 SELECT l_returnflag AS sheet, count(*) AS formulas, count(*) FILTER (e) AS errors, count(*) FILTER (z) AS zeros, count(*) FILTER (l_linenumber = 2) AS arrays,
   list_sort(list(l_orderkey) FILTER (e))[1:50] AS error_cells, list_sort(list(l_orderkey) FILTER (z))[1:30] AS zero_cells, list_sort(list(l_orderkey) FILTER (l_linenumber = 2))[1:20] AS array_cells FROM f GROUP BY 1""")
 def f25_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
-    formula = F.when(n == 1, "=A1").when(n == 2, "=match( true, A1:A9)")
+    formula = F.when(n == 2, "=match( true, A1:A9)").otherwise("=A1")
     cells = rows.select(F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("cell"), formula.alias("formula"), F.when(F.col("l_linestatus") == "F", "x #REF!").otherwise(F.col("l_discount").cast("string")).alias("value"))
     return A.audit(cells, ["sheet"])
 
@@ -204,7 +204,10 @@ def f29_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").agg(F.count_if(F.col("quality") == 1).alias("passed"), F.count_if(F.col("toxic") == 1).alias("errors"), F.count_if(F.col("quality") == 0).alias("warnings"))
 
 
-@query("SELECT l_returnflag AS sheet, max(l_linenumber) AS rows, max(l_suppkey) AS cols, count(DISTINCT l_linenumber) - 1 AS data_rows, count(*) FILTER (l_tax > 0.04) AS formulas FROM lineitem GROUP BY 1")
+@query("""SELECT l_returnflag AS sheet, max(l_linenumber) AS rows, max(l_suppkey) AS cols, count(DISTINCT l_linenumber) FILTER (l_linenumber > 1 AND (l_discount > 0 OR l_tax > 0.04)) AS data_rows, count(*) FILTER (l_linenumber > 1 AND l_tax > 0.04) AS formulas,
+  list_transform(list_sort(list({'c': l_suppkey, 'n': l_shipdate::DATE::VARCHAR}) FILTER (l_linenumber = 1 AND l_discount > 0)), lambda x: x.n) AS headers, (count(*) FILTER (l_quantity > 49)) AS charts FROM lineitem GROUP BY 1""")
 def s11_sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return A.sheet_summary(rows.select(F.col("l_returnflag").alias("sheet"), F.col("l_linenumber").alias("row"), F.col("l_suppkey").alias("col"), F.when(F.col("l_tax") > 0.04, "=A1").alias("formula")))
+    value = F.when(F.col("l_discount") > 0, F.col("l_shipdate").cast("date").cast("string"))
+    cells = rows.select(F.col("l_returnflag").alias("sheet"), F.col("l_linenumber").alias("row"), F.col("l_suppkey").alias("col"), value.alias("value"), F.when(F.col("l_tax") > 0.04, "=A1").alias("formula"))
+    return A.sheet_summary(cells, rows.where("l_quantity > 49").select(F.col("l_returnflag").alias("sheet")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import graph as G
-from quillstone.registry import SQL, query, table
+from quillstone.registry import query, table
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = "e AS (SELECT DISTINCT max(l_suppkey) AS src, min(l_suppkey) AS dst FROM lineitem GROUP BY l_partkey HAVING min(l_suppkey) < max(l_suppkey))"
 _REACH = f"""WITH RECURSIVE {_EDGES},
-r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 25 = 1 UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
+r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
 d AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0)"""
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_suppkey % 25 = 1").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
 
 
 @query(f"{_REACH} SELECT root, node, depth::INT AS depth FROM d")
@@ -46,7 +46,7 @@ def g7_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(edges(spark, sf_dir), seeds(spark, sf_dir), 3).select("root", "node", "depth")
 
 
-@query(f"""{_REACH}, c AS (SELECT s_suppkey AS root FROM supplier WHERE s_suppkey % 25 = 1),
+@query(f"""{_REACH}, c AS (SELECT s_suppkey AS root FROM supplier),
 l AS (SELECT root, list_sort(list(node) FILTER (depth = 1)) AS direct, list_sort(list(node) FILTER (depth > 1)) AS indirect FROM d GROUP BY 1)
 SELECT c.root, coalesce(direct, []) AS direct, coalesce(indirect, []) AS indirect, least((2 * coalesce(len(direct), 0) + coalesce(len(indirect), 0)) / 20.0, 1.0)::DOUBLE AS risk FROM c LEFT JOIN l ON l.root = c.root""")
 def g9_risk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,34 +54,11 @@ def g9_risk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.risk_map(G.reach(edges(spark, sf_dir), s, 3), s)
 
 
-@query(f"""WITH {_EDGES} SELECT s_suppkey AS root, e.src AS node FROM supplier JOIN e ON e.dst = s_suppkey WHERE s_suppkey % 25 = 1""")
+@query(f"""WITH {_EDGES} SELECT s_suppkey AS root, e.src AS node FROM supplier JOIN e ON e.dst = s_suppkey""")
 def g8_direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(edges(spark, sf_dir), seeds(spark, sf_dir), 1).select("root", "node")
 
 
-_SOME = " WHERE s_suppkey % 25 = 1"
-
-
-def all_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("root"), F.col("s_suppkey").alias("node"))
-
-
-@query(SQL["g7_dependents"].replace(_SOME, ""))
-def g7_dependents_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reach(edges(spark, sf_dir), all_seeds(spark, sf_dir), 3).select("root", "node", "depth")
-
-
-@query(SQL["g9_risk_map"].replace(_SOME, ""))
-def g9_risk_map_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = all_seeds(spark, sf_dir)
-    return G.risk_map(G.reach(edges(spark, sf_dir), s, 3), s)
-
-
-@query(SQL["g8_direct_dependents"].replace(_SOME, ""))
-def g8_direct_dependents_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reach(edges(spark, sf_dir), all_seeds(spark, sf_dir), 1).select("root", "node")
-
-
 @query("SELECT DISTINCT p_brand AS path FROM part")
 def g1_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.file_nodes(symbols(spark, sf_dir))

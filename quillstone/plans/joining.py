@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import findings as N
 from quillstone.operators import joins as J
 from quillstone.operators import stories as S
-from quillstone.registry import SQL, query, table
+from quillstone.registry import query, table
 
 
 @query("SELECT d.doc_id AS id, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 'rejected' ELSE 'confirmed' END AS verdict FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -27,17 +27,12 @@ def _gate_input(spark: SparkSession, sf_dir: str, issue: Column) -> tuple[DataFr
 
 @query(f"""WITH p(pattern, count) AS (VALUES {', '.join(map(str, _PATTERNS))}),
 q AS (SELECT pattern, count, list_filter(string_split(pattern, ' '), lambda w: length(w) > 3) AS words, row_number() OVER (ORDER BY count DESC, pattern) AS rank FROM p WHERE count >= 3),
-f AS (SELECT doc_id, left(text, 400) AS issue, doc_id % 10 / 10.0 AS confidence, doc_id % 2 = 0 AS escalate FROM documents),
+f AS (SELECT doc_id, text AS issue, doc_id % 10 / 10.0 AS confidence, doc_id % 2 = 0 AS escalate FROM documents),
 h AS (SELECT doc_id, pattern, count, rank, len(list_filter(words, lambda w: contains(lower(issue), w))) AS n, len(words) AS m FROM f, q),
 b AS (SELECT doc_id, min_by(pattern, rank) AS matched, min_by(count, rank) AS count FROM h WHERE n >= 2 AND n / m::DOUBLE >= 0.5 GROUP BY 1)
 SELECT f.doc_id, b.matched, (CASE WHEN matched IS NULL THEN confidence ELSE least(confidence, 0.4) END)::DOUBLE AS confidence, escalate AND matched IS NULL AS escalate,
   CASE WHEN matched IS NULL THEN 'r' ELSE 'r [FEEDBACK: similar pattern dismissed ' || count || 'x]' END AS reason FROM f LEFT JOIN b ON b.doc_id = f.doc_id""")
 def j8_k3_feedback_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.feedback_gate(*_gate_input(spark, sf_dir, F.substring("text", 1, 400))).select("doc_id", "matched", "confidence", "escalate", "reason")
-
-
-@query(SQL["j8_k3_feedback_gate"].replace("left(text, 400) AS issue", "text AS issue"))
-def j8_k3_feedback_gate_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.feedback_gate(*_gate_input(spark, sf_dir, F.col("text"))).select("doc_id", "matched", "confidence", "escalate", "reason")
 
 
@@ -46,21 +41,16 @@ def j9_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.undefined(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 3000).alias("k")), table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")), "k")
 
 
-@query("""WITH t(term) AS (VALUES ('The'), ('und'), ('of the'), ('les')) SELECT doc_id, term FROM documents, t WHERE regexp_matches(text, '(?i)(^|[^a-zA-Z0-9_])' || term || '($|[^a-zA-Z0-9_])')""")
+@query(r"""WITH t(term) AS (VALUES ('The'), ('und'), ('of the'), ('les')) SELECT doc_id, term FROM documents, t WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])' || term || '($|[^\p{L}\p{M}\p{N}_])')""")
 def j10_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mentions(table(spark, sf_dir, "documents"), spark.createDataFrame([("The",), ("und",), ("of the",), ("les",)], "term string"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_quantity % 10 AS "left", l_discount * 100 AS top, 1 + l_linenumber % 3 AS width, 1 + l_tax * 20 AS height FROM lineitem WHERE l_orderkey % 7 = 0)
+@query("""WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_quantity % 10 AS "left", l_discount * 100 AS top, 1 + l_linenumber % 3 AS width, 1 + l_tax * 20 AS height FROM lineitem)
 SELECT a.l_orderkey, a.id AS a, b.id AS b, round((least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left")) * (least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top)), 2) AS area
 FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.id < b.id
 WHERE least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left") > 0.05 AND least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top) > 0.05""")
 def j12_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.overlaps(_shapes(table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")), ["l_orderkey"])
-
-
-@query(SQL["j12_overlaps"].replace(" WHERE l_orderkey % 7 = 0", ""))
-def j12_overlaps_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overlaps(_shapes(table(spark, sf_dir, "lineitem")), ["l_orderkey"])
 
 
@@ -97,13 +87,8 @@ def j15_with_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS run_id, coalesce(said, '') AS feedback, CASE WHEN d.doc_id IS NULL THEN []::VARCHAR[] ELSE [d.source] END AS outputs
-FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, 'q' || quality AS said FROM labels WHERE toxic = 0) l ON l.doc_id = d.doc_id""")
+FROM documents d FULL JOIN (SELECT doc_id, 'q' || quality AS said FROM labels WHERE toxic = 0) l ON l.doc_id = d.doc_id""")
 def j16_runs_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_feedback(spark, sf_dir, table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"))
-
-
-@query(SQL["j16_runs_with_feedback"].replace("(SELECT * FROM documents WHERE doc_id % 3 <> 0)", "documents"))
-def j16_all_runs_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_feedback(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 

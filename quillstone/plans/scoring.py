@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import deterministic_id
 from quillstone.operators import pivots as P
 from quillstone.operators import vectors as V
-from quillstone.registry import SQL, query, table
+from quillstone.registry import query, table
 
 
 @query("""SELECT coalesce(CASE WHEN c_nationkey <> 3 THEN c_mktsegment END, 'None') AS segment, round(sum(o_totalprice), 2) AS o_totalprice_sum, round(avg(o_totalprice), 2) AS o_totalprice_average, count(*)::DOUBLE AS o_orderkey_count
@@ -101,18 +101,11 @@ def v2_deterministic_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", deterministic_id(F.concat("p_brand", F.lit("::"), "p_name"), V.NAMESPACE).alias("id"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (3, 77, 205)),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, q WHERE label < 8),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
 def v6_t4_p8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id in (3, 77, 205)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return V.top_k(e, q, 10, "vec_id", "embedding", F.col("label") < 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-@query(SQL["v6_t4_p8_top_k"].replace("vec_id IN (3, 77, 205)", "vec_id % 20 = 0"))
-def v6_t4_p8_top_k_of_every_20th(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return V.top_k(e, q, 10, "vec_id", "embedding", F.col("label") < 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")

@@ -190,15 +190,8 @@ def c16_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.listed_names(t).alias("names"))
 
 
-@query("SELECT doc_id, pos::INT AS pos, 'zero_width' AS kind FROM (SELECT doc_id, doc_id % 50 AS pos FROM documents)")
-def c21_suspicious_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = (F.col("doc_id") % 50).cast("int")
-    t = F.concat(F.repeat(F.lit("a"), at), F.lit("\u200b"), F.lit("tail"))
-    return S.suspicious_characters(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", "pos", "kind")
-
-
 @query()
-def c21_suspicious_characters_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c21_suspicious_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("\u200b"), "text")
     return S.suspicious_characters(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))).select("doc_id", "pos", "char", "kind", "context")
 
@@ -212,9 +205,9 @@ def c17_c18_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.contradictions(docs, S.profiles(sheets)).withColumnRenamed("doc_id", "p_partkey")
 
 
-@query("SELECT doc_id, 'The' AS name, list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?i)\\bthe\\b'), lambda x: x <> 'The'))) AS variants FROM documents WHERE lang = 'en' AND regexp_matches(regexp_replace(text, '\\bThe\\b', '', 'g'), '(?i)\\bthe\\b')")
+@query("SELECT doc_id, 'The' AS name, list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?i)\\bthe\\b'), lambda x: x <> 'The'))) AS variants FROM documents WHERE regexp_matches(regexp_replace(text, '\\bThe\\b', '', 'g'), '(?i)\\bthe\\b')")
 def c19_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.name_variants(table(spark, sf_dir, "documents").where("lang = 'en'"), spark.createDataFrame([("The",)], "name string"))
+    return S.name_variants(table(spark, sf_dir, "documents"), spark.createDataFrame([("The",)], "name string"))
 
 
 @query("SELECT source, lang, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1, 2")
@@ -252,7 +245,7 @@ def k1_normalised_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalise_consensus(raw).select("doc_id", "status", "escalate", "confidence", "id")
 
 
-@query(f"""WITH t AS (SELECT lang, doc_id, {_TOKENS.format('text')} AS w FROM documents WHERE lang IN ('en', 'de')), x AS (SELECT lang, doc_id, len(w) AS dl, unnest(w) AS term FROM t),
+@query(f"""WITH t AS (SELECT lang, doc_id, {_TOKENS.format('text')} AS w FROM documents), x AS (SELECT lang, doc_id, len(w) AS dl, unnest(w) AS term FROM t),
 tf AS (SELECT lang, doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), d AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL), m AS (SELECT lang, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
 q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT item_id, lang, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN d USING (term) JOIN tf USING (lang, term) JOIN m USING (lang) GROUP BY ALL),
@@ -265,4 +258,4 @@ def x11_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     rules = spark.createDataFrame([(0, "the"), (1, "und")], "ord int, category string")
-    return compose({"en": (docs.where("lang = 'en'"), 3), "de": (docs.where("lang = 'de'"), 1)}, q, rules).withColumn("score", F.round("score", 6))
+    return compose({x: (docs.where(F.col("lang") == x), 3 if x == "en" else 1) for x in ("de", "en", "es", "fr")}, q, rules).withColumn("score", F.round("score", 6))

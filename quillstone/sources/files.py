@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 CODE_GLOB = "*.{ts,tsx,py,go,rs}"
 #: Parts of paths that are never read. Fixed values.
 IGNORED = r"node_modules|\.git|/dist/|/build/|/vendor/|__pycache__|\.next"
+MAX_PROMPTS = 1000
 CHANGES = "new_path string, old_path string, diff string, new_file boolean, deleted_file boolean, renamed_file boolean"
 
 
@@ -29,8 +30,10 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, root: str) -> dict[str, str]:
-    """Templates by name; a folder of a few files."""
-    rows = _texts(spark, root, "*.md").select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), "text").limit(1000).collect()
+    """Templates by name; a folder of a few files, of which more than MAX_PROMPTS are refused."""
+    rows = _texts(spark, root, "*.md").select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), "text").limit(MAX_PROMPTS + 1).collect()
+    if len(rows) > MAX_PROMPTS:
+        raise ValueError(f"{root} holds more than {MAX_PROMPTS} templates")
     return {r["name"]: r["text"] for r in rows}
 
 
@@ -132,3 +135,35 @@ def record_feedback(rows: DataFrame, name: str) -> None:
 def markdown_table(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Each row as a line of a Markdown table."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]), F.lit(" |")).alias("line"))
+
+
+PAPER = "id string, title string, year int, n_citation bigint, authors array<string>, venue string"
+SORTS = {"citation": ("n_citation",), "year": ("year",)}
+
+
+def papers(spark: SparkSession, path: str) -> DataFrame:
+    """Landed responses of a scholarly service, each with a list of papers."""
+    fields = PAPER.replace(", ", ",").replace(" ", ":")
+    return spark.read.schema(f"data array<struct<{fields}>>").json(path, multiLine=True).select(F.inline("data")).dropDuplicates(["id"])
+
+
+def search_papers(found: DataFrame, words: str | None = None, author: str | None = None, since: int | None = None, sort: str | None = None, page: int = 0, size: int = 10) -> DataFrame:
+    """A page of the papers whose titles hold all words, by an author, from a year on; sorted by citations or year, the most first, ties by id."""
+    title = F.lower("title")
+    for w in (words or "").lower().split():
+        found = found.where(F.contains(title, F.lit(w)))
+    if author is not None:
+        found = found.where(F.exists("authors", lambda a: F.lower(a) == author.lower()))
+    if since is not None:
+        found = found.where(F.col("year") >= since)
+    order = [F.desc_nulls_last(c) for c in SORTS.get(sort or "", ())]
+    return found.orderBy(*order, "id").offset(page * size).limit(size)
+
+
+STOCK = "ticker string, price double, change_percent double, pe double, fetched_at timestamp"
+
+
+def fetched(raw: DataFrame, schema: str = STOCK, col: str = "value") -> DataFrame:
+    """Answers (text) of a model asked for JSON as rows; text around the outermost braces is left out, answers without any go."""
+    body = F.regexp_extract(col, r"(?s)(\{.*\})", 1)
+    return raw.withColumn("_r", F.from_json(body, schema)).where((body != "") & F.exists(F.map_values(F.from_json(body, "map<string,string>")), lambda v: v.isNotNull())).select(*[c for c in raw.columns if c != col], "_r.*")

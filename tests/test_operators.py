@@ -364,3 +364,84 @@ def test_budget_and_retries():
     assert b.calls == {"base": 1, "cheap": 1}
     b.reset()
     assert b.cost == 0 and b.calls == {}
+
+
+def test_budget_binds_over_partitions(spark):
+    """Of calls and cost, whichever runs out first; what was used is on the budget; no answer is paid twice."""
+    from quillstone import models
+
+    rows = spark.range(40).selectExpr("id", "concat('prompt ', id) AS prompt").repartition(8)
+    asked = spark.sparkContext.accumulator(0)
+
+    def fn(tier, system, prompt):
+        asked.add(1)
+        return "x" * 400
+
+    b = models.Budget(max_calls=3)
+    out = models.ask(rows, fn, "base", "sys", budget=b, order=("id",))
+    got = {r["id"]: r["answer"] for r in out.collect()}
+    assert len(got) == 40 and {i for i, a in got.items() if a} == {0, 1, 2} and out.count() == 40
+    assert asked.value == 3 and b.calls == {"base": 3} and b.tokens["base"] == 3 * 103
+    assert all(r["answer"] is None for r in models.ask(rows, fn, "base", "sys", budget=b, order=("id",)).collect()) and asked.value == 3
+    dear = models.Budget(max_calls=25, max_cost=0.04)  # 0.015 USD a call of some 1000 tokens
+    models.ask(rows, fn, "frontier", "sys", budget=dear, order=("id",), reserve=1000)
+    assert dear.calls == {"frontier": 3}
+
+
+def test_review_steps(spark):
+    import json
+
+    from quillstone import models
+    from quillstone.plans import review
+
+    def fn(tier, system, prompt):
+        if system.startswith("Describe"):
+            return json.dumps({"files": prompt.count("diff --git")})
+        if system.startswith("Find"):
+            return json.dumps({"findings": [{"issue": "null check missing", "location": "a.py:1", "risk": "null check missing", "propagation": "a.py:1", "deviation": "odd", "evidence": "a.py:2", "confidence": 0.6}]})
+        if system.startswith("Answer"):
+            return json.dumps({"verdict": "rejected" if "odd" in prompt else "confirmed", "reasoning": "r"})
+        return json.dumps({"inline": [{"file": "a.py", "line": 1, "severity": "critical", "body": "b"}], "summary": f"{prompt.count('issue')} left"})
+
+    changes = spark.createDataFrame([(1, "diff --git a/a.py b/a.py\n@@ -1 +1 @@\n+x\n")], "mr_iid int, diff string")
+    none = spark.createDataFrame([], "pattern string, count long")
+    out = review.review(changes, none, fn)
+    assert [r["landscape"] for r in out["landscape"].collect()] == ['{"files":1}']
+    assert {r["issue"]: r["status"] for r in out["consensus"].collect()} == {"null check missing": "agreed", "odd": "disputed"}
+    verdicts = {r["verdict"] for r in out["verdicts"].collect()}
+    assert "rejected" in verdicts
+    report = out["report"].first()
+    assert report["summary"] == "1 left" and report["inline"][0]["severity"] == "critical"
+    bound = review.review(changes, none, fn, budget=models.Budget(max_calls=2))
+    assert bound["findings"].count() == 1 and bound["report"].count() == 0
+
+
+def test_posting(spark):
+    sent = []
+
+    def send(mr, path, payload):
+        if path == "discussions" and mr == 2 or mr == 3:
+            raise ConnectionError("refused")
+
+    requests = spark.createDataFrame([(1, "discussions", "p", "f"), (2, "discussions", "p", "f"), (3, "notes", "p", None)], "mr_iid long, path string, payload string, fallback string")
+    from quillstone.operators import findings
+
+    got = {r["mr_iid"]: r["result"] for r in findings.post(requests, send, wait=sent.append).collect()}
+    assert got == {1: "posted", 2: "fallback", 3: "failed"}
+
+
+def test_words_beyond_ascii(spark):
+    from quillstone.operators import stories
+
+    docs = spark.createDataFrame([(1, "Herr Müller kam"), (2, "Müllers Haus"), (3, "der MÜLLER"), (4, "x")], "doc_id int, text string")
+    names = spark.createDataFrame([("Müller",), ("Herr Müller",)], "term string")
+    assert {tuple(r) for r in stories.mentions(docs, names).collect()} == {(1, "Müller"), (1, "Herr Müller"), (3, "Müller")}
+    assert [tuple(r) for r in stories.name_variants(docs, spark.createDataFrame([("Müller",)], "name string")).collect()] == [(3, "Müller", ["MÜLLER"])]
+
+
+def test_oldest_leaves_the_newest(spark):
+    from quillstone.operators import aggregates
+
+    df = spark.range(50).selectExpr("id", "id % 17 AS x")
+    assert [r["id"] for r in aggregates.oldest(df, "id", 45).collect()] == [0, 1, 2, 3, 4]
+    assert aggregates.oldest(df, "id", 60).count() == 0 and aggregates.oldest(df, "id", 0).count() == 50

@@ -1,4 +1,4 @@
-"""Queries over whole tables take in the rows that the query of an id subset beside them leaves out."""
+"""Queries take in all rows and whole texts of their tables."""
 
 from __future__ import annotations
 
@@ -13,38 +13,32 @@ def rows(spark, name, *columns):
 
 
 def test_overlaps_of_all_orders(spark):
-    part = rows(spark, "j12_overlaps", "l_orderkey", "a", "b", "area")
-    whole = rows(spark, "j12_overlaps_of_all_orders", "l_orderkey", "a", "b", "area")
-    assert part == {r for r in whole if r[0] % 7 == 0} and {r[0] % 7 for r in whole} == set(range(7))
+    assert {r[0] % 7 for r in rows(spark, "j12_overlaps", "l_orderkey")} == set(range(7))
 
 
 def test_all_runs_with_feedback(spark):
     docs = {r["doc_id"]: r["source"] for r in registry.table(spark, SF, "documents").collect()}
-    got = {r["run_id"]: r["outputs"] for r in registry.QUERIES["j16_all_runs_with_feedback"](spark, SF).collect()}
-    assert {k: v for k, v in got.items() if v} == {k: [v] for k, v in docs.items()} and any(k % 3 == 0 for k in docs)
+    got = {r["run_id"]: r["outputs"] for r in registry.QUERIES["j16_runs_with_feedback"](spark, SF).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: [v] for k, v in docs.items()}
 
 
-def test_dependents_of_all_suppliers(spark):
+def test_risk_of_all_suppliers(spark):
     import __spark_entry__
 
     suppliers = {r["s_suppkey"] for r in registry.table(spark, SF, "supplier").collect()}
-    assert {r["root"] for r in __spark_entry__.entry(spark).collect()} == suppliers
-    for name, columns in (("g7_dependents", ("root", "node", "depth")), ("g8_direct_dependents", ("root", "node"))):
-        whole = rows(spark, f"{name}_of_all", *columns)
-        assert rows(spark, name, *columns) == {r for r in whole if r[0] % 25 == 1} and any(r[0] % 25 != 1 for r in whole)
+    assert len(suppliers) > 1 and {r["root"] for r in __spark_entry__.entry(spark).collect()} == suppliers
 
 
 def test_top_k_of_every_20th(spark):
     ids = {r["vec_id"] for r in registry.table(spark, SF, "embeddings").collect()}
-    assert {r[0] for r in rows(spark, "v6_t4_p8_top_k_of_every_20th", "query_id")} == {i for i in ids if i % 20 == 0}
+    assert {r[0] for r in rows(spark, "v6_t4_p8_top_k", "query_id")} == {i for i in ids if i % 20 == 0}
 
 
 def test_feedback_gate_of_whole_texts(spark, tmp_path):
     texts = [(1, "a " * 300 + "The rain was ending there"), (2, "a " * 300 + "the rain")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = registry.QUERIES["j8_k3_feedback_gate_of_whole_texts"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["j8_k3_feedback_gate"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["matched"] for r in got} == {1: "the rain ending there", 2: None}
-    assert registry.SQL["j8_k3_feedback_gate_of_whole_texts"] != registry.SQL["j8_k3_feedback_gate"]
 
 
 def test_suspicious_characters_of_whole_texts(spark, tmp_path):
@@ -60,5 +54,5 @@ def test_suspicious_characters_of_whole_texts(spark, tmp_path):
             kind = kinds.get(ord(c)) or ("private_use_area" if T.PRIVATE_USE[0] <= ord(c) <= T.PRIVATE_USE[1] else None)
             if kind:
                 want.setdefault((d, kind, s[max(0, i - 10) : i + 11]), (i, f"U+{ord(c):04X}"))
-    got = {(r["doc_id"], r["kind"], r["context"]): (r["pos"], r["char"]) for r in registry.QUERIES["c21_suspicious_characters_of_whole_texts"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["kind"], r["context"]): (r["pos"], r["char"]) for r in registry.QUERIES["c21_suspicious_characters"](spark, str(tmp_path)).collect()}
     assert got == want and any(i >= 5000 for i, _ in got.values())
