@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import search_tokens
-from quillstone.lineage import cut
+from quillstone.lineage import cut, small
 
 K1, B, RESULTS = 1.5, 0.75, 3
 #: Terms of queries that are looked up in place.
@@ -36,8 +36,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "t
     listed = [r["term"] for r in words.limit(vocabulary + 1).collect()]
     t = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("_t"))
     if len(listed) <= vocabulary:
-        known = t.select("id", F.size("_t").alias("dl"), F.filter("_t", lambda w: w.isin(listed) if listed else F.lit(False)).alias("_t"))
-        known = cut(known)
+        # one array of arrays, so that a text is taken apart once for both
+        both = F.get(F.transform(F.array("_t"), lambda x: F.struct(F.size(x).alias("dl"), F.filter(x, lambda w: w.isin(listed) if listed else F.lit(False)).alias("_t"))), F.lit(0))
+        known = cut(t.select("id", both.alias("_k")).select("id", "_k.dl", "_k._t"))
         size = known.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         tf = known.select("id", "dl", F.explode("_t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     else:
@@ -45,7 +46,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "t
         tf = t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(words, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     tf = cut(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(q.join(df, "term"), "term").join(F.broadcast(size))
+    s = tf.join(small(cut(q.join(df, "term"))), "term").join(F.broadcast(size))
     part = F.col("qf") * idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = s.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where((F.col("rank") <= results) & (F.col("score") > 0))
