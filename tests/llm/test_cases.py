@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillstone import lineage
 from quillstone.llm import chat, common, licenses, lines, near, packing, quality, sharding, stages, urls
 from tests.llm import brute
 
@@ -166,7 +167,7 @@ def test_broadcasts_are_bounded_by_bytes(spark):
 
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_results_do_not_depend_on_broadcasts(spark, monkeypatch, limit):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(lineage, "BROADCAST_BYTES", limit)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert {r["doc_id"]: r["text"] for r in lines.dedup(docs).collect()} == brute.kept_lines(pairs)
