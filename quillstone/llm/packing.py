@@ -5,7 +5,7 @@ descending order and each goes to the lowest-cost sequence that still has room f
 no sequence whole is cut to fill the roomiest ones. Tokenising and packing happen in one pass over
 each input partition, in groups of a bounded number of tokens, so nothing is shuffled, memory does
 not grow with the data (a worker holds one group, one run of texts of bounded size and the ids of a
-bounded number of words, and drops all of it at the end of a task), and a lost executor repeats only its own partition with the same result.
+bounded number of words, some 80 MB at most, which serve its next task too), and a lost executor repeats only its own partition with the same result.
 
 Every group has exactly as much room as tokens: full sequences of max_tokens, and for the rest
 sequences whose lengths are powers of two, which take no padding.
@@ -34,7 +34,7 @@ END_ID = 2
 GROUP_SEQUENCES = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids are remembered in each worker, in each of two halves (some 130 bytes a word), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 150_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: Characters whose words are looked up at once.
 PART_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,7 +59,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.cache, self.older, self.odd = {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -112,10 +112,6 @@ class WordEncoder:
         older = self.older
         self.cache.update([(w, older[w]) for w in words if w in older])
 
-    def forget(self) -> None:
-        """Ends a task: nothing is held for the next one."""
-        self.cache, self.older, self.odd = {}, {}, {}
-
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, of bounded parts of it at a time."""
         if len(text) <= PART_CHARS:
@@ -235,6 +231,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
                         tokens = 0
         if held:
             yield flush()
-        enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
