@@ -1,9 +1,9 @@
 """Line dedup by deletion neighbourhoods.
 
 A line repeats an earlier one if their words (A-Z lowered, split at ASCII white space) differ by at
-most one word left out, put in or exchanged. Of a line of fewer than MIN_WORDS words one word is too large
-a share (any two lines of one word would be alike), so the bound is zero for these: they repeat a line
-that has just their words. Lines without words, such as blank ones, are never touched.
+most one word left out, put in or exchanged. Of a line of fewer than min_words words (MIN_WORDS unless given) one
+word is too large a share (any two lines of one word would be alike), so the bound is zero for these: they repeat a line
+that has just their words. With min_words 1 the bound holds for lines of any length. Lines without words, such as blank ones, are never touched.
 Lines are ordered by (doc_id, line number), and every line that repeats an earlier one goes, so the
 earliest stays.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, small, with_rest
 from quillstone.llm.wordhash import mix, word_hashes
 
-#: Lines of fewer words have to be equal.
+#: Lines of fewer words have to be equal, unless another number is given.
 MIN_WORDS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_M), -1, 2**64))
@@ -107,8 +107,8 @@ def _line_keys(lines: list[list[bytes]]) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs (null under MIN_WORDS)."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each line that may be touched: doc_id, text_hash, line, its hashes h1 and h2, and runs (null under min_words)."""
     names = ["doc_id", "text_hash", "line", "h1", "h2", "a", "b", "c", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                             c.append(v)
                 size += len(t or "")
                 if held[0] and (size > 500_000 or i == batch.num_rows - 1):
-                    at, keys, whole = pa.array(held[0]), _line_keys(held[2]), np.fromiter((len(w) < MIN_WORDS for w in held[2]), bool, len(held[2]))
+                    at, keys, whole = pa.array(held[0]), _line_keys(held[2]), np.fromiter((len(w) < min_words for w in held[2]), bool, len(held[2]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(held[1], pa.int32()), *map(pa.array, keys[:2]), *[pa.array(k, mask=whole) for k in keys[2:]]], names)
                     held, size = [[], [], [], []], 0
 
@@ -187,9 +187,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("pos.*", "a", "b").mapInArrow(run, "doc_id long, text_hash long, line int")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash and line of the lines that repeat an earlier one, and near: whether only nearly."""
-    lines = cut(_lines(docs))
+    lines = cut(_lines(docs, min_words))
     keys, runs = ["h1", "h2"], ["a", "b", "c", "d"]
     pos = F.struct("doc_id", "text_hash", "line")
     distinct = cut(lines.groupBy(*keys).agg(F.min(pos).alias("pos"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in runs]))
@@ -216,13 +216,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return equal.union(near.withColumn("near", F.lit(True)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text less the repeated lines, and n_lines, n_dropped and n_near, which replace columns of these names."""
-    return with_rest(docs, ("doc_id", "text"), _dedup, ("n_lines", "n_dropped", "n_near"))
+    return with_rest(docs, ("doc_id", "text"), lambda d: _dedup(d, min_words), ("n_lines", "n_dropped", "n_near"))
 
 
-def _dedup(docs: DataFrame) -> DataFrame:
-    gone = cut(repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "near")).alias("_gone")))
+def _dedup(docs: DataFrame, min_words: int) -> DataFrame:
+    # a set, as rows repeated as a whole name each of their lines once a row
+    gone = cut(repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("line", "near")).alias("_gone")))
     d = docs.withColumn("_text_hash", F.xxhash64("text"))
     joined = d.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n")

@@ -6,8 +6,8 @@ listed, the third the listed keys that pass the second, and so on until none is
 levels are built against every candidate key of the corpus (its complete key universe), asking them
 in turn gives exact membership, and judging a URL needs no join: each filter is one array literal of a
 size set by the list. Building reads the universe once per level, keeps what passes the earlier levels,
-and gathers filter words (64 bits each), never keys. Lists may be tables of any length up to MAX_WORDS words
-of a filter; a key's shape (labels of the host, characters of the path) has to be one of MAX_SHAPES.
+and gathers filter words (64 bits each), never keys. Lists may be tables of any length: keys of a list too long for one
+filter of MAX_WORDS words are dealt by a hash to several cascades; a key's shape (labels of the host, characters of the path) has to be one of MAX_SHAPES.
 
 Cases: a null URL, or one without ://, has an empty host and path, which fit no rule; hosts compare
 without regard to the case of A-Z, all else literally; repeated rows are judged once each; an empty
@@ -92,9 +92,38 @@ class Cascade:
         return F.coalesce(out, F.lit(False))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+@dataclass
+class Split:
+    """Cascades of a list whose keys are dealt by a hash."""
+
+    parts: list[Cascade]
+
+    def contains(self, key: Column) -> Column:
+        part = _part(key, len(self.parts))
+        out = F.lit(False)
+        for i, c in enumerate(self.parts):
+            out = F.when(part == i, c.contains(key)).otherwise(out)
+        return out
+
+
+def _part(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(2)), F.lit(n))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | Split:
     """listed, universe: one column key, string. Each level holds what wrongly passed the one before."""
     listed = cut(listed.where("key is not null").distinct())
+    n = listed.count()
+    if not n:
+        return Cascade([])
+    parts = -(-n * BITS_PER_KEY // (48 * MAX_WORDS))  # three quarters full at most on average
+    if parts > 1:
+        mine = lambda df, i: df.where(_part(F.col("key"), parts) == i)
+        return Split([build_part(mine(listed, i), mine(universe, i)) for i in range(parts)])
+    return build_part(listed, universe)
+
+
+def build_part(listed: DataFrame, universe: DataFrame) -> Cascade:
     n = listed.count()
     if not n:
         return Cascade([])

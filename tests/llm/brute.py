@@ -117,14 +117,14 @@ def nearest(rows: list[tuple[int, list | None]], k: int, every: int) -> list[tup
     return sorted(out)
 
 
-def kept_lines(docs: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """Texts less every line that repeats an earlier one: within one word, or, under five words, exactly."""
+def kept_lines(docs: list[tuple[int, str | None]], min_words: int = 5) -> dict[int, str | None]:
+    """Texts less every line that repeats an earlier one: within one word, or, under so many words, exactly."""
     lines = [(d, n, x, x.translate(_UP).split()) for d, t in sorted(docs, key=lambda x: x[0]) if t for n, x in enumerate(t.split("\n"))]
     seen, gone = [], set()
     for d, n, _, w in lines:
         if not w:
             continue
-        if any(_within_one(w, v) if min(len(w), len(v)) >= 5 else w == v for v in seen):
+        if any(_within_one(w, v) if min(len(w), len(v)) >= min_words else w == v for v in seen):
             gone.add((d, n))
         seen.append(w)
     return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) if t else t for d, t in docs}

@@ -277,9 +277,10 @@ def test_lines(spark):
     assert got == brute.kept_lines(pairs(docs))
 
 
-def test_lines_of_random_edits(spark):
+@pytest.mark.parametrize("least", [5, 3, 1])
+def test_lines_of_random_edits(spark, least):
     rng = random.Random(6)
-    base = [[f"w{rng.randrange(30)}" for _ in range(rng.choice([4, 5, 6, 9, 12, 20]))] for _ in range(25)]
+    base = [[f"w{rng.randrange(30)}" for _ in range(rng.choice([4, 5, 6, 9, 12, 20] if least == 5 else [2, 3, 3, 4, 5, 9]))] for _ in range(25)]
     docs = []
     for d in range(60):
         out = []
@@ -292,7 +293,15 @@ def test_lines_of_random_edits(spark):
         docs.append((d, "\n".join(out)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, "a b c d e " * 3000)]
     df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, n_dropped int")
-    assert {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()} == brute.kept_lines(docs)
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(df, least).collect()} == brute.kept_lines(docs, least)
+
+
+def test_lines_of_repeated_rows_count_once(spark):
+    two = "short one\nother line here\nthis is a line of seven words now"
+    rows = [(1, "first of all\nshort one\nthis is a line of seven words"), (2, two), (2, two), (2, two), (None, "only here"), (None, "only here")]
+    got = sorted((tuple(r) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "n_near", "text").collect()), key=str)
+    left = "other line here"
+    assert got == sorted([(1, 3, 0, 0, rows[0][1])] + 3 * [(2, 3, 2, 1, left)] + 2 * [(None, 1, 0, 0, "only here")], key=str)
 
 
 def test_lines_of_awkward_rows(spark):
@@ -363,6 +372,16 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     assert universe.where(cascade.contains(F.col("key"))).count() == listed.count()
 
 
+def test_long_lists_are_split_into_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_WORDS", 40)
+    universe = spark.range(6_000).select(F.col("id").cast("string").alias("key"))
+    listed = universe.where("key % 7 = 0")
+    cascade = urls.build_cascade(listed, universe)
+    assert len(cascade.parts) > 3
+    assert universe.where(cascade.contains(F.col("key"))).exceptAll(listed).count() == 0
+    assert universe.where(cascade.contains(F.col("key"))).count() == listed.count()
+
+
 # 9 ---------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("source", [documents, awkward])
 def test_packing(spark, source):
