@@ -13,6 +13,8 @@ __all__ = ["ascii_lower", "connected_components", "cut", "join_hubs", "small", "
 
 #: A node of more links than this, or than one in HUB_SHARE of all, is joined apart.
 HUB, HUB_SHARE = 1_000, 100_000
+#: Links that one partition holds.
+LINKS = 250_000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -73,25 +75,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternates large-star and small-star steps, whose edges never outnumber the nodes' links; every
     step is two aggregations with map-side combine and a join on the node in which hubs are told apart, so
-    that a component of any size is never gathered in one task. Nodes without a link to another one are
-    not part of the result; null ends are dropped.
+    that a component of any size is never gathered in one task. Links are held in as many partitions as their
+    number needs, so that the steps of a few links are not dealt over a cluster's tasks, and those of one partition not at
+    all. Nodes without a link to another one are not part of the result; null ends are dropped.
     """
     u, v = F.col("u"), F.col("v")
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
+    parts = 1 + e.count() // LINKS
+    held = lambda df: cut(df.coalesce(parts)).coalesce(parts)
+    e = e.coalesce(parts)
     for _ in range(max_rounds):
         # large star: every neighbour above the node hangs on the node's smallest neighbour
-        both = e.select("u", "v").union(e.select(v.alias("u"), u.alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), F.count("*").alias("n"), F.count_if(v < u).alias("below")))
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(v.alias("u"), u.alias("v")))))
+        least = held(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), F.count("*").alias("n"), F.count_if(v < u).alias("below")))
         # settled: each node is a root, or hangs on one node alone and none hangs on it
         ends, most, open_ = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if((F.col("below") > 0) & (F.col("n") > 1))).first()
         if not open_:
             return least.select(u.alias("node"), F.col("m").alias("root"))
         bound = max(HUB, ends // HUB_SHARE)
-        large = _with_least(both, least, bound, most > bound).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, least, bound, most > bound).where(v > u).select(v.alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
         # small star: every neighbour below the node, and the node, hang on the smallest
-        large = cut(large) if most > bound else large
+        large = held(large) if most > bound else large
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        least = cut(least) if most > bound else least
+        least = held(least) if most > bound else least
         joined = _with_least(large, least, bound, most > bound)
-        e = cut(joined.select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        links = joined.select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        e = held(links.coalesce(parts).where("u != v").distinct())
     raise RuntimeError("components did not settle")

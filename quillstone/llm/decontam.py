@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 PRINTS = 2
 WIDTHS = (13,) * 4 + (12,) + (13,) * 4 + (12,)
 FLIPS = 2
+#: Bytes of stored block values that may be broadcast.
+STORED_BYTES = 2 << 20
 #: Fingerprints so far apart or nearer have a block within FLIPS, as one flip more in each would be too many.
 RADIUS = len(WIDTHS) * (FLIPS + 1) - 1
 
@@ -158,7 +160,8 @@ def candidates(prints: DataFrame, bench: DataFrame) -> DataFrame:
     stored = stored.select("item_id", "n", "b.block", F.explode(F.transform("b.masks", lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
     asked = prints.select("n", "window", F.col("simhash").alias("of_window"), F.explode(values(False)).alias("b"))
     asked = asked.select("n", "window", "of_window", "b.block", "b.value")
-    return asked.join(small(cut(stored)), ["n", "block", "value"]).select("n", "window", "of_window", "item_id").distinct()
+    # some thousand values an item: beyond few items they are dealt, as a broadcast of them takes several times its size of the driver
+    return asked.join(small(cut(stored), STORED_BYTES), ["n", "block", "value"]).select("n", "window", "of_window", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SIMILARITY) -> DataFrame:
