@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,13 +20,24 @@ def cut(df: DataFrame) -> DataFrame:
     The cluster names the folder in spark.checkpoint.dir; only on a local master (as in tests) is one
     set where it names none, as other machines would each write to a folder of their own.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all machines share."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
-    return df.checkpoint()
+    named = sc._jsc.sc().getCheckpointDir()
+    return named.get() if not named.isEmpty() else spark.conf.get("spark.checkpoint.dir")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder, for tables that a job writes on its way."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _bytes(c: Column, kind: T.DataType) -> Column:

@@ -7,6 +7,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -60,20 +61,35 @@ class Budget:
         self.tokens.clear()
 
 
-def with_budget(fn: ModelFn, budget: Budget, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> ModelFn:
-    """L1: fn under a budget, tried again after 1 s, 2 s while its failure may pass."""
+def retried(fn: ModelFn, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> ModelFn:
+    """L1: fn, tried again after 1 s, 2 s while its failure may pass."""
 
     def call(tier: str, system: str, prompt: str) -> str:
-        budget.check()
         for n in range(1, attempts + 1):
             try:
-                out = fn(tier, system, prompt)
-                break
+                return fn(tier, system, prompt)
             except Transient:
                 if n == attempts:
                     raise
                 wait(float(n))
-        budget.record(tier, -(-(len(system) + len(prompt) + len(out)) // 4))
+        raise ValueError("no attempt")
+
+    return call
+
+
+def tokens_of(*texts: str) -> int:
+    """About how many tokens texts are together."""
+    return -(-sum(map(len, texts)) // 4)
+
+
+def with_budget(fn: ModelFn, budget: Budget, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> ModelFn:
+    """L1: fn under a budget, tried again after 1 s, 2 s while its failure may pass."""
+    again = retried(fn, attempts, wait)
+
+    def call(tier: str, system: str, prompt: str) -> str:
+        budget.check()
+        out = again(tier, system, prompt)
+        budget.record(tier, tokens_of(system, prompt, out))
         return out
 
     return call
@@ -86,19 +102,21 @@ def stub(tier: str, system: str, prompt: str) -> str:
     return json.dumps({"findings": [{"issue": f, "location": f"line:{i}", "risk": f, "propagation": f"line:{i}", "deviation": f, "evidence": f"line:{i}", "confidence": 0.9, "emotion": "certain", "by": digest} for i, f in enumerate(found)]})
 
 
-def ask(rows: DataFrame, fn: ModelFn, tier: str, system: str, prompt: str = "prompt", budget: Budget | None = None, order: tuple[str, ...] = (), reserve: int = 1000) -> DataFrame:
+def ask(rows: DataFrame, fn: ModelFn, tier: str, system: str, prompt: str = "prompt", budget: Budget | None = None, order: tuple[str, ...] = (), reserve: int = 1000, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """L1, L2: rows with answer, the model's text for their prompt, materialised, so that no call is paid twice.
 
-    Under a budget, rows are admitted in the given order (columns that tell rows apart) as long as the calls and the cost
-    before each, taking reserve tokens for each answer, are below what the budget has left; the others have a null answer and are never
-    asked. At most max_calls rows are looked at for that, whatever the table's size. What was used is recorded on the budget.
-    fn runs on the executors.
+    Under a budget, rows are taken in the given order (columns that tell rows apart; nulls first). A row is asked while calls and cost so far are
+    below their limits, both by what the answers really took and with reserve tokens set aside for each; the others have a
+    null answer. These rows, at most max_calls whatever the table's size, are asked one after the other in one task, as each call depends on what
+    the ones before it took. What was used is recorded on the budget. fn runs on the executors and is tried again while its
+    failure may pass. answers.AnswerStore keeps answers over runs.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", answer string"
+    again = retried(fn, wait=wait)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(answer=[fn(tier, system, t or "") for t in p[prompt]])
+            yield p.assign(answer=[again(tier, system, t or "") for t in p[prompt]])
 
     if budget is None:
         return cut(rows.mapInPandas(run, kinds))
@@ -106,12 +124,28 @@ def ask(rows: DataFrame, fn: ModelFn, tier: str, system: str, prompt: str = "pro
         raise ValueError("a budget needs an order of the rows")
     spent = F.ceil((len(system) + F.length(F.coalesce(prompt, F.lit("")))) / 4) + reserve
     first = rows.orderBy(*order).limit(max(0, budget.max_calls - sum(budget.calls.values())))
-    admitted = budget_gate(first.withColumns({"_run": F.lit(0), "tier": F.lit(tier), "tokens": spent}).select("_run", "tier", "tokens", *order), "_run", list(order), budget.max_calls, max(0.0, budget.max_cost - budget.cost))
-    admitted = F.broadcast(admitted.where("admitted").select(*order))  # max_calls rows at most
-    asked = cut(rows.join(admitted, [*order], "left_semi").mapInPandas(run, kinds))
-    used = asked.agg(F.count("*"), F.coalesce(F.sum(F.ceil((len(system) + F.length(F.coalesce(prompt, F.lit(""))) + F.length("answer")) / 4)), F.lit(0))).first()
+    left = max(0.0, budget.max_cost - budget.cost)
+    price = PRICES.get(tier, 0.0) / 1e6
+    admitted = budget_gate(first.withColumns({"_run": F.lit(0), "tier": F.lit(tier), "tokens": spent}).select("_run", "tier", "tokens", *order), "_run", list(order), budget.max_calls, left)
+    admitted = F.broadcast(admitted.where("admitted").select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(order)]))  # max_calls rows at most
+    same = reduce(lambda a, ic: a & F.col(ic[1]).eqNullSafe(F.col(f"_of_{ic[0]}")), enumerate(order), F.lit(True))
+
+    def run_within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cost = 0.0
+        for p in parts:
+            out = []
+            for t in p[prompt]:
+                if cost >= left:
+                    out.append(None)
+                    continue
+                out.append(again(tier, system, t or ""))
+                cost += tokens_of(system, t or "", out[-1]) * price
+            yield p.assign(answer=out)
+
+    asked = cut(rows.join(admitted, same, "left_semi").coalesce(1).sortWithinPartitions(*order).mapInPandas(run_within, kinds))
+    used = asked.where("answer is not null").agg(F.count("*"), F.coalesce(F.sum(F.ceil((len(system) + F.length(F.coalesce(prompt, F.lit(""))) + F.length("answer")) / 4)), F.lit(0))).first()
     if used[0]:
         budget.calls[tier] = budget.calls.get(tier, 0) + used[0]
         budget.tokens[tier] = budget.tokens.get(tier, 0) + used[1]
-    rest = rows.join(admitted, [*order], "left_anti").withColumn("answer", F.lit(None).cast("string"))
+    rest = rows.join(admitted, same, "left_anti").withColumn("answer", F.lit(None).cast("string"))
     return asked.unionByName(rest)
