@@ -19,6 +19,9 @@ SYMBOLS = "name string, kind string, file string, start_line int, end_line int,
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|%s|`(?:\\.|[^`\\])*`|[A-Za-z_$][\w$]*|\d[\w.]*|=>|::|\S" % "'(?:\\\\.|[^'\\\\\n])*'", re.S)
 #: The same where a quote also begins a lifetime.
 _TOKEN_RS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\[^']+|[^'\\])'|'[A-Za-z_]\w*|[A-Za-z_$][\w$]*|\d[\w.]*|=>|::|\S", re.S)
+#: A regular expression literal, and what may stand before one; elsewhere a slash divides.
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_REGEX = {"", "(", ",", "=", ":", "[", "!", "&", "|", "?", "{", "}", ";", "+", "-", "*", "%", "<", ">", "~", "^", "=>", "return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "await", "yield"}
 _NAME = re.compile(r"[A-Za-z_$][\w$]*$")
 _KEYWORDS = {"if", "for", "while", "switch", "match", "return", "catch", "function", "func", "fn", "sizeof", "typeof", "await", "new", "super", "import", "else", "do", "in", "of", "as", "range", "defer", "go", "loop", "move", "async", "yield", "void", "delete", "throw"}
 _CLASSES = {"ts": {"class", "interface", "enum"}, "go": {"struct", "interface"}, "rs": {"struct", "trait", "enum"}}
@@ -62,6 +65,20 @@ def python_symbols(file: str, text: str) -> list[tuple]:
     return sorted(out, key=lambda s: (s[3], s[0]))
 
 
+def _tokens(text: str, language: str) -> list[tuple[str, int]]:
+    """Tokens with their places, without comments; a regular expression literal is one."""
+    out, at, before = [], 0, ""
+    pattern = _TOKEN_RS if language == "rs" else _TOKEN
+    while m := pattern.search(text, at):
+        if language == "ts" and m[0] == "/" and before in _BEFORE_REGEX:
+            m = _REGEX.match(text, m.start()) or m
+        if not m[0].startswith(("//", "/*")):
+            before = m[0]
+            out.append((before, m.start()))
+        at = m.end()
+    return out
+
+
 @dataclass
 class _Scope:
     depth: int  #: braces that are open outside of it
@@ -79,8 +96,8 @@ class BraceScanner:
 
     def __init__(self, file: str, text: str, language: str):
         self.file, self.text, self.language, self.out = file, text, language, []
-        found = [m for m in (_TOKEN_RS if language == "rs" else _TOKEN).finditer(text) if not m[0].startswith(("//", "/*"))]
-        self.tokens, self.at = [m[0] for m in found], [m.start() for m in found]
+        found = _tokens(text, language)
+        self.tokens, self.at = [t for t, _ in found], [a for _, a in found]
         breaks = [i for i, c in enumerate(text) if c == "\n"]
         self.lines = [bisect_left(breaks, a) + 1 for a in self.at]
         self.scopes: list[_Scope] = []

@@ -103,3 +103,9 @@ def test_any_text_ends(language):
         text = " ".join(rng.choices(pieces, k=rng.randrange(60)))
         for s in symbols_of(f"a.{language}", text):
             assert 1 <= s[3] <= s[4] <= text.count("\n") + 1
+
+
+def test_regular_expressions_swallow_no_code():
+    text = "const q = /[\"/]/g; function after() { return /'/.test(a) && b / c / d; }\nfunction last() { split(/\\/\"/); }\nconst half = size / 2; function tail() {}"
+    names = [s[0] for s in symbols_of("x.ts", text) if s[1] == "function"]
+    assert names == ["after", "last", "tail"]
