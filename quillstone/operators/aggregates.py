@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.dictionary import occurrences
+
 #: Prices of a million tokens by tier, in USD. Fixed values.
 PRICES = {"cheap": 0.15, "base": 2.5, "frontier": 15.0, "embedding": 0.02}
 ACTIONS = ("accepted", "dismissed", "modified")
@@ -138,9 +140,10 @@ def majority(condition: Column) -> Column:
 def keyword_votes(df: DataFrame, id_col: str, text: str, keywords: DataFrame, default: str | None = None) -> DataFrame:
     """the class (class, ord, keyword) with most keywords in a text, first declared among equals; else the default.
 
-    The keyword list is a fixed table and is broadcast.
+    All keywords are looked for in one pass of each text.
     """
-    hits = df.select(id_col, text).join(F.broadcast(keywords), F.contains(F.lower(F.col(text)), F.lower("keyword"))).groupBy(id_col, "class", "ord").agg(F.count("*").alias("votes"))
+    held = occurrences(df, keywords.select(F.col("keyword").alias("term")), id_col, text, whole_words=False)
+    hits = held.join(keywords, F.col("term") == F.col("keyword")).groupBy(id_col, "class", "ord").agg(F.count("*").alias("votes"))
     best = hits.groupBy(id_col).agg(F.max_by("class", F.struct("votes", -F.col("ord"))).alias("class"), F.max("votes").alias("votes"))
     return df.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("class", F.lit(default)).alias("class"), F.coalesce("votes", F.lit(0)).alias("votes"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import code_point_kind
+from quillstone.operators.dictionary import occurrences
 
 #: Patterns whose first group is a point in time, or a list of characters; attributes of profiles; colours. Fixed values.
 TIME_MARKERS = (
@@ -41,15 +42,8 @@ def listed_names(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term) where a term occurs as a word, without regard to case. One-word terms meet the documents'
-    words by a join on equality; only phrases are looked for in every text, against a broadcast list."""
-    t = terms.select("term").distinct()
-    single = t.where(~F.col("term").rlike(r"(?U)\W"))
-    words = docs.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)\W+"))).alias("_w"))
-    one = words.join(single, F.col("_w") == F.lower("term")).select(id_col, "term")
-    pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.col("term"), F.lit(r"\E\b"))
-    many = docs.select(id_col, text).join(F.broadcast(t.where(F.col("term").rlike(r"(?U)\W"))), F.regexp_like(F.col(text), pattern)).select(id_col, "term")
-    return one.union(many).distinct()
+    """(id, term) where a term occurs as a word or as whole words, without regard to case."""
+    return occurrences(docs, terms, id_col, text).distinct()
 
 
 def undefined(mentioned: DataFrame, defined: DataFrame, key: str) -> DataFrame:
