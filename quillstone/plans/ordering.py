@@ -41,7 +41,9 @@ def we_budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("run_id", "event_id", F.col("prior_calls").cast("long").alias("prior_calls"), F.round("prior_cost", 9).alias("prior_cost"), "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, min(value) AS v FROM events GROUP BY 1
+UNION ALL SELECT a.user_id, min(e.value) FROM a JOIN events e ON e.user_id = a.user_id AND e.value - a.v > 10 GROUP BY 1)
+SELECT e.user_id, event_id, value, count(*)::INT AS cluster FROM events e JOIN a ON a.user_id = e.user_id AND a.v <= e.value GROUP BY 1, 2, 3""")
 def wf_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.clusters(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 10.0)
 
@@ -70,7 +72,13 @@ def wj_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.bands(s, ["s_nationkey"], "s_suppkey", "weight", 100.0).select("s_nationkey", "s_suppkey", F.round("height", 6).alias("height"), F.round("start", 6).alias("start"))
 
 
-@query()
+@query("""WITH w AS (SELECT s_nationkey, s_suppkey, abs(s_acctbal) AS weight, greatest(2, round_even(60 * abs(s_acctbal) / sum(abs(s_acctbal)) OVER (PARTITION BY s_nationkey), 0)::BIGINT) AS size FROM supplier),
+t AS (SELECT s_nationkey, sum(size)::BIGINT AS total FROM w GROUP BY 1),
+l AS (SELECT s_nationkey, level, sum(least(size, level))::BIGINT AS held FROM w, generate_series(2, 60) AS g(level) GROUP BY 1, 2),
+k AS (SELECT s_nationkey, min({'level': level, 'lack': CASE WHEN level > 2 THEN held - 60 ELSE 0 END}) AS k FROM l WHERE held >= 60 GROUP BY 1),
+n AS (SELECT w.*, total, k, row_number() OVER (PARTITION BY w.s_nationkey, size >= k.level ORDER BY s_suppkey) AS nth, row_number() OVER (PARTITION BY w.s_nationkey ORDER BY weight DESC, s_suppkey) AS heavy FROM w JOIN t USING (s_nationkey) LEFT JOIN k USING (s_nationkey)),
+s AS (SELECT s_nationkey, s_suppkey, weight, CASE WHEN total > 60 THEN least(size, k.level) - (size >= k.level AND nth <= k.lack)::INT WHEN heavy = 1 THEN size + 60 - total ELSE size END::INT AS size FROM n)
+SELECT *, coalesce(sum(size) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM s""")
 def wk_allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.abs("s_acctbal").alias("weight"))
     return W.allocations(s, ["s_nationkey"], "s_suppkey", "weight", 60)
