@@ -97,9 +97,8 @@ def json_of(raw: Column) -> Column:
 
 
 def search_tokens(text: Column, longer_than: int = 2) -> Column:
-    """C14: words in lower case, punctuation taken as space, short ones left out."""
-    clean = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " ")
-    return F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) > longer_than)
+    """C14: words in lower case, between punctuation or any white space, short ones left out."""
+    return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: F.length(w) > longer_than)
 
 
 def market(ticker: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.lineage import cut, small
 from quillstone.operators.dictionary import occurrences
+from quillstone.prefix import running
 
 #: Prices of a million tokens by tier, in USD. Fixed values.
 PRICES = {"cheap": 0.15, "base": 2.5, "frontier": 15.0, "embedding": 0.02}
@@ -122,14 +126,27 @@ def pattern_outliers(df: DataFrame, by: list[str], pattern: str, least: int = 3,
 
 
 def first_seen(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """F21, W-d: the first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
+    """F21, W-d: the first row of each key (null in the order comes first); combined before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct(order)).alias("_r")
+    return df.groupBy(*key).agg(first).select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in df.columns])
+
+
+def same_keys(by: list[str]) -> Column:
+    """Condition of a join with keys under the names _key0, _key1 and so on; null is a key too."""
+    return reduce(lambda x, ic: x & F.col(ic[1]).eqNullSafe(F.col(f"_key{ic[0]}")), enumerate(by), F.lit(True))
 
 
-def upper_median(value: Column) -> Column:
-    """of the sorted values that in the middle, the upper one of two."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """of each group's sorted values that in the middle, the upper one of two; null values don't count (null if there are no others).
+
+    Equal values are counted first and their counts summed up in order, so no group is ever held as a whole.
+    """
+    n = df.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    total = small(cut(n.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(by)], F.floor(F.col("_all") / 2).alias("_mid"))))
+    places = running(n, by, [value], {"_lo": F.col("_n")}).join(total, same_keys(by))
+    middle = (F.col("_lo") <= F.col("_mid")) & (F.col("_mid") < F.col("_lo") + F.col("_n"))
+    return places.groupBy(*by).agg(F.max(F.when(middle, F.col(value))).alias(name))
 
 
 def majority(condition: Column) -> Column:
@@ -148,15 +165,17 @@ def keyword_votes(df: DataFrame, id_col: str, text: str, keywords: DataFrame, de
     return df.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("class", F.lit(default)).alias("class"), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
-def oldest(df: DataFrame, order: str, keep: int) -> DataFrame:
-    """What has to go, oldest first, so that so many stay; rows that tie with the oldest that stays stay too.
+def oldest(df: DataFrame, order: str, keep: int, key: str | None = None) -> DataFrame:
+    """What has to go, oldest first, so that so many stay; null is oldest. Ties are in the order of key; without one, rows that
+    tie with the oldest that stays stay too.
 
     Only the newest are looked for, so many a task; all older ones are told by one comparison.
     """
+    at = F.struct(*([order] if key is None else [order, key]))
     if keep <= 0:
-        return df.orderBy(order)
-    least = df.orderBy(F.desc(order)).limit(keep).agg(F.min(order).alias("_least"))
-    return df.join(F.broadcast(least), F.col(order) < F.col("_least")).drop("_least").orderBy(order)
+        return df.orderBy(at)
+    least = df.select(at.alias("_at")).orderBy(F.desc("_at")).limit(keep).agg(F.min("_at").alias("_least"))
+    return df.join(F.broadcast(least), at < F.col("_least")).drop("_least").orderBy(at)
 
 
 #: How many examples a library holds at most, and how many are pruned at once. Fixed values.
@@ -199,11 +218,15 @@ def audit(cells: DataFrame, by: list[str], errors: int = 50, zeros: int = 30, ar
     for p in IMPLICIT_ARRAYS:
         array = array | F.col("formula").rlike(p)
     kinds = {"error": (bad, errors), "zero": (F.col("value").try_cast("double") == 0, zeros), "array": (array, arrays)}
-    aggs = []
-    for name, (c, n) in kinds.items():
-        holds = F.coalesce(c, F.lit(False))
-        aggs += [F.count_if(holds).alias(f"{name}s"), F.slice(F.array_sort(F.collect_list(F.when(holds, F.col("cell")))), 1, n).alias(f"{name}_cells")]
-    return f.groupBy(*by).agg(F.count("*").alias("formulas"), *aggs)
+    holds = {name: F.coalesce(c, F.lit(False)) for name, (c, _) in kinds.items()}
+    totals = f.groupBy(*by).agg(F.count("*").alias("formulas"), *[F.count_if(c).alias(f"{name}s") for name, c in holds.items()])
+    hits = f.where(F.col("cell").isNotNull()).select(*by, "cell", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in holds.items()]))).alias("kind"))
+    # each task keeps as many rows a list as the longest has before the shuffle
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("cell"))).where(F.col("_n") <= max(errors, zeros, arrays))
+    cells = [F.array_sort(F.collect_list(F.when((F.col("kind") == name) & (F.col("_n") <= n), F.col("cell")))).alias(f"{name}_cells") for name, (_, n) in kinds.items()]
+    lists = first.groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(by)]).agg(*cells)
+    out = totals.join(lists, same_keys(by), "left")
+    return out.select(*totals.columns, *[F.coalesce(f"{name}_cells", F.array()).alias(f"{name}_cells") for name in kinds])
 
 
 def sheet_summary(cells: DataFrame, charts: DataFrame | None = None) -> DataFrame:

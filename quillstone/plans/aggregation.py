@@ -149,7 +149,7 @@ def f21_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS median_right FROM lineitem GROUP BY 1")
 def f22_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(A.upper_median(F.col("l_quantity")).alias("median_right"))
+    return A.upper_medians(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "median_right")
 
 
 @query("SELECT source, count(*) FILTER (regexp_matches(text, '[äöüß]')) > count(*) / 2.0 AS german FROM documents GROUP BY 1")
@@ -181,8 +181,7 @@ def f25_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT (SELECT greatest(0, count(*) - 100) FROM orders)")
 def f26_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.struct("o_orderdate", "o_orderkey").alias("at"))
-    return A.oldest(o, "at", 100).drop("at")
+    return A.oldest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 100, "o_orderkey")
 
 
 @query("""WITH r AS (SELECT l_linenumber AS iteration, l_partkey % 2 = 0 AS should_trigger, count(*) FILTER (l_returnflag = 'R') AS triggers, count(*) AS runs FROM lineitem GROUP BY 1, 2),

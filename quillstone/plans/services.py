@@ -13,6 +13,7 @@ from quillstone.prefix import numbered
 from quillstone.registry import query, table
 from quillstone.sources import reviews
 from quillstone.sources.keyed import KeyedTable
+from quillstone.streaming import signals
 
 PAGE = 200
 
@@ -60,3 +61,19 @@ def l1_stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = AnswerStore(spark, new_folder(spark, "answers"))
     store.ask(d.where(F.col("lang") == "en"), model, "base", "Language and length.")
     return store.ask(d, model, "base", "Language and length.").select("doc_id", "answer")
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS ticker, ts, min(event_type) AS signal FROM events WHERE ts <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2),
+w AS (SELECT *, lag(signal) OVER o AS previous, lag(ts) OVER o AS before, lead(ts) OVER o AS next FROM s WINDOW o AS (PARTITION BY ticker ORDER BY ts))
+SELECT ticker, ts, previous, signal, 'signal_change' AS kind FROM w WHERE previous <> signal AND ts - before < INTERVAL 1 DAY
+UNION ALL SELECT ticker, ts + INTERVAL 1 DAY, signal, NULL, 'expired' FROM w WHERE coalesce(next, (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 1 DAY FROM events)) - ts >= INTERVAL 1 DAY""")
+def w3_signal_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of signals by user, late by up to a day: changes, and users silent for a day; what the watermark has passed."""
+    for k, v in signals.STORE.items():
+        spark.conf.set(k, v)
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("signal"))
+    out, place = new_folder(spark, "alerts"), new_folder(spark, "alerts-checkpoint")
+    run = signals.signal_alerts(stream, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", place)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -130,7 +130,7 @@ def c9_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", t.alias("text"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2) AS w FROM documents),
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 2) AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS term FROM t), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY 1)
 SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM d, (SELECT count(*) AS n FROM documents)""")
 def f9_c14_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,39 @@ def test_sections_spans_budgets_and_skips_of_a_hot_key(spread):
     assert {(r["i"], r["previous"]) for r in W.level_skips(df, ["k"], "i", "x").collect()} == skips
     got = {r["i"]: (r["prior_calls"], round(r["prior_cost"], 9), r["admitted"]) for r in W.budget_gate(df, "k", ["i"], 100, 3.001).collect()}
     assert got == gates
+
+
+def test_medians_and_capped_lists_of_a_hot_group(spread):
+    from quillstone.operators import aggregates as A
+
+    rng = random.Random(1)
+    rows = [("hot", rng.choice([5, 5, rng.randrange(40)])) for _ in range(801)] + [(f"k{i % 5}", i) for i in range(32)] + [(None, 1), (None, 2), ("none", None), ("hot", None)]
+    got = {r["k"]: r["m"] for r in A.upper_medians(spread.createDataFrame(rows, "k string, v int"), ["k"], "v", "m").collect()}
+    values = {k: sorted(v for g, v in rows if g == k and v is not None) for k in {r[0] for r in rows}}
+    assert got == {k: v[len(v) // 2] if v else None for k, v in values.items()}
+    cells = [(None if i % 4 == 0 else "s", f"A{i:03}", "=X" if i % 7 else None, "#REF!" if i % 2 else "0") for i in range(300)] + [("t", "B1", "=X", "1"), ("u", "B2", None, "1")]
+    out = {r["sheet"]: r for r in A.audit(spread.createDataFrame(cells, "sheet string, cell string, formula string, value string"), ["sheet"], 9, 5, 3).collect()}
+    assert set(out) == {None, "s", "t"} and out["t"]["error_cells"] == [] and out["t"]["formulas"] == 1
+    for sheet in (None, "s"):
+        mine = [(c, v) for s, c, f, v in cells if s == sheet and f]
+        errors, zeros = sorted(c for c, v in mine if "#" in v), sorted(c for c, v in mine if v == "0")
+        r = out[sheet]
+        assert (r["formulas"], r["errors"], r["zeros"], r["arrays"]) == (len(mine), len(errors), len(zeros), 0)
+        assert (r["error_cells"], r["zero_cells"], r["array_cells"]) == (errors[:9], zeros[:5], [])
+
+
+def test_oldest_with_ties_and_nulls_and_first_seen(spark):
+    from quillstone.operators import aggregates as A
+
+    df = spark.createDataFrame([(i, "d") for i in range(5)] + [(9, None)], "id int, day string")
+    assert [r["id"] for r in A.oldest(df, "day", 2, "id").collect()] == [9, 0, 1, 2]
+    assert [r["id"] for r in A.oldest(df, "day", 2).collect()] == [9]
+    seen = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", None, "y"), ("b", 0, "z"), (None, 3, "w")], "k string, o int, v string")
+    assert {tuple(r) for r in A.first_seen(seen, ["k"], "o").collect()} == {("a", 1, None), ("b", None, "y"), (None, 3, "w")}
+
+
+def test_search_tokens_part_at_any_white_space(spark):
+    from quillstone.functions.text import search_tokens
+
+    df = spark.createDataFrame([("Foo\u00a0bar, snake_case Ünder-way a to",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(search_tokens(F.col("t"))).collect()] == [["foo", "bar", "snake_case", "ünder", "way"], [], None]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from quillstone.streaming import streams
+from quillstone.streaming import signals, streams
 
 
 def test_intake(spark, tmp_path):
@@ -35,3 +35,48 @@ def test_upserts(spark, tmp_path):
     put(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "id int, ord int, v string"), 0)
     put(spark.createDataFrame([(2, 5, "d"), (3, 1, "e")], "id int, ord int, v string"), 1)
     assert {(r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()} == {(1, "b"), (2, "d"), (3, "e")}
+
+
+def alerts_by_definition(rows, late, idle):
+    """What is settled once the stream has ended: signals up to the greatest time less the delay, in seconds."""
+    passed = max(r[1] for r in rows) - late
+    out = set()
+    for ticker in {r[0] for r in rows}:
+        settled = {}
+        for k, at, s in rows:
+            if k == ticker and at <= passed:
+                settled[at] = min(s, settled.get(at, s))
+        last = None
+        for at, s in [*sorted(settled.items()), (passed, None)]:
+            if last and at - last[0] >= idle:
+                out.add((ticker, last[0] + idle, last[1], None, "expired"))
+                last = None
+            if s is not None:
+                if last and s != last[1]:
+                    out.add((ticker, at, last[1], s, "signal_change"))
+                last = (at, s)
+    return out
+
+
+def test_signals_late_repeated_and_expired_over_restarts(spark, tmp_path):
+    for k, v in signals.STORE.items():
+        spark.conf.set(k, v)
+    batches = [
+        [("a", 10, "buy"), ("a", 30, "sell"), ("b", 12, "x"), (None, 11, "p")],
+        [("a", 20, "hold"), ("a", 30, "sell"), ("a", 30, "hold"), ("b", 12, "x"), ("b", 33, "x"), (None, 25, "q")],  # late and repeated
+        [("a", 60, "sell"), ("b", 70, "y")],  # 20 s on
+        [("a", 65, "sell"), ("c", 300, "z")],  # all fall silent
+        [("a", 5, "never"), ("c", 420, "w"), ("a", 410, "buy")],  # too late by far
+        [("d", 600, "u")],
+    ]
+    schema = "ticker string, t long, signal string"
+    for rows in batches:  # each batch is a run of its own: state and timers come from the checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in")).selectExpr("ticker", "timestamp_seconds(t) AS ts", "signal")
+        q = signals.signal_alerts(stream, "20 seconds", 100).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.schema("ticker string, ts timestamp, previous string, signal string, kind string").json(str(tmp_path / "out")).selectExpr("ticker", "unix_seconds(ts)", "previous", "signal", "kind").collect()
+    want = alerts_by_definition([r for rows in batches for r in rows if r[2] != "never"], 20, 100)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert ("a", 20, "buy", "hold", "signal_change") in want and ("b", 170, "y", None, "expired") in want and ("a", 60, "hold", "sell", "signal_change") in want
