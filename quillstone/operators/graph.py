@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import import_target
-from quillstone.lineage import cut
+from quillstone.lineage import cut, small
 
 MAX_DEPTH = 10
 
@@ -103,20 +103,36 @@ def called_by(symbols: DataFrame) -> DataFrame:
     return s.join(callers, F.col("_qn") == F.col("target"), "left").withColumn("called_by", F.coalesce("found", F.array().cast("array<string>"))).drop("_qn", "target", "found")
 
 
+#: Roots that share a word of bits.
+WORD = 64
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """J5, G7 (documented): for each seed (root, node) what reaches it against the edges src -> dst:
-    root, node, depth (fewest hops, 1 to max_depth, clamped to 1..10). Seeds themselves are left out."""
+    root, node, depth (fewest hops, 1 to max_depth, clamped to 1..10). Seeds themselves are left out, as are edges without an end.
+
+    Roots have numbers, and WORD of them are the bits of one row of a node: a hop is a join and a bit_or, combined before the
+    shuffle, and what is new is what the node's bits did not have. Rows become pairs again only in the result.
+    """
     depth = min(max(max_depth, 1), MAX_DEPTH)
-    back = cut(edges.select("src", "dst").distinct())
-    seen = cut(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    back = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    roots = seeds.select(F.col("root").alias("_root")).distinct().withColumn("_i", F.monotonically_increasing_id())
+    roots = small(cut(roots.select("_root", F.floor(F.col("_i") / WORD).alias("word"), (F.col("_i") % WORD).cast("int").alias("bit"))))
+    either = lambda df: df.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    start = seeds.where("node IS NOT NULL").join(roots, F.col("root").eqNullSafe(F.col("_root")))
+    seen = frontier = cut(either(start.select("node", "word", F.expr("shiftleft(1L, bit)").alias("bits"))))
+    found = frontier.select("*", F.lit(0).alias("depth")).limit(0)
     for d in range(1, depth + 1):
-        step = frontier.select("root", F.col("node").alias("dst")).join(back, "dst").select("root", F.col("src").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        step = either(frontier.withColumnRenamed("node", "dst").join(back, "dst").select(F.col("src").alias("node"), "word", "bits"))
+        had = seen.select("node", "word", F.col("bits").alias("had"))
+        new = step.join(had, ["node", "word"], "left").select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits"))
+        frontier = cut(new.where("bits != 0"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+        found = found.unionByName(frontier.withColumn("depth", F.lit(d)))
+        seen = either(seen.unionByName(frontier))
+    pairs = found.select("node", "depth", "word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
+    return pairs.join(roots, ["word", "bit"]).select(F.col("_root").alias("root"), "node", "depth")
 
 
 def dependents_as_coded(edges: DataFrame, files: DataFrame, max_depth: int = 3) -> DataFrame:
