@@ -121,3 +121,12 @@ def test_search_tokens_part_at_any_white_space(spark):
 
     df = spark.createDataFrame([("Foo\u00a0bar, snake_case Ünder-way a to",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(search_tokens(F.col("t"))).collect()] == [["foo", "bar", "snake_case", "ünder", "way"], [], None]
+
+
+def test_bm25_is_the_same_with_looked_up_and_joined_terms(spark):
+    from quillstone.operators.ranking import bm25
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 11}" for j in range(i % 9))) for i in range(60)] + [(90, None), (91, "")], "id long, text string")
+    queries = spark.createDataFrame([(1, "word1 word3 word3"), (2, "word0"), (3, "absent"), (4, "")], "query_id long, query string")
+    looked_up, joined = ({tuple(sorted(r.asDict().items())) for r in bm25(docs, queries, vocabulary=v).collect()} for v in (20_000, 0))
+    assert looked_up == joined and len(looked_up) == 6
