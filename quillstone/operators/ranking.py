@@ -29,7 +29,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "t
     """For each query (query_id, query) the best documents with a score (to nine digits) above 0, ties by id.
 
     Documents are read once: of each only its length and those of its terms that some query has are kept. The
-    queries' terms are looked up in place if they are at most so many (they are counted), else joined.
+    queries' terms are looked up in place if they are at most so many (they are counted), else joined. Rows of one id and equal
+    length are one document with the tokens of each.
     """
     q = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     words = q.select("term").distinct()
@@ -40,13 +41,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text: str = "t
         both = F.get(F.transform(F.array("_t"), lambda x: F.struct(F.size(x).alias("dl"), F.filter(x, lambda w: w.isin(listed) if listed else F.lit(False)).alias("_t"))), F.lit(0))
         known = cut(t.select("id", both.alias("_k")).select("id", "_k.dl", "_k._t"))
         size = known.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = known.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         # by id once, which serves both sums below, so that only the best of each task are shuffled again
         tf = known.where(F.size("_t") > 0).repartition("id").select("id", "dl", F.explode("_t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     else:
         size = t.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
         tf = cut(t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(words, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf")))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     s = tf.join(small(cut(q.join(df, "term"))), "term").join(F.broadcast(size))
     part = F.col("qf") * idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = s.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))

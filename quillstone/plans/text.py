@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import tables
 from quillstone.functions import text as T
+from quillstone.lineage import new_folder
 from quillstone.operators import diffs as D
 from quillstone.operators import ranking as R
 from quillstone.operators import stories as S
+from quillstone.operators.postings import InvertedIndex
 from quillstone.registry import query, table
 
 
@@ -57,6 +60,14 @@ def c3_c4_c8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunk_rows(diff_of(table(spark, sf_dir, "documents")), max_tokens=500)
 
 
+@query()
+def e8_change_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks by the table function, called from SQL with a review for each document."""
+    tables.register(spark)
+    changes = diff_of(table(spark, sf_dir, "documents"))
+    return spark.sql("SELECT * FROM change_chunks(changes => TABLE(SELECT * FROM {changes}) PARTITION BY doc_id, max_tokens => 500)", changes=changes)
+
+
 @query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS items FROM documents")
 def c11_to_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.to_list(F.col("text")).alias("items"))
@@ -151,6 +162,26 @@ def x1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), q, "doc_id").withColumn("score", F.round("score", 6))
 
 
+def _ranked(queries: str, results: int) -> str:
+    """SQL for the best documents of queries (query_id, query)."""
+    return f"""WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), m AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM ({queries})) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN d USING (term) JOIN tf USING (term), m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id AS id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= {results}"""
+
+
+@query(_ranked("SELECT item_id AS query_id, text AS query FROM benchmark", 3) + " UNION ALL (" + _ranked("SELECT -1 - item_id AS query_id, array_to_string(string_split(text, ' ')[-3:], ' ') AS query FROM benchmark", 10) + ")")
+def x1_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents indexed once, for two sets of queries: benchmark items, and what items end with."""
+    index = InvertedIndex(spark, new_folder(spark, "index")).build(table(spark, sf_dir, "documents"), "doc_id")
+    b = table(spark, sf_dir, "benchmark")
+    whole = index.search(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    ends = index.search(b.select((-1 - F.col("item_id")).alias("query_id"), F.array_join(F.slice(F.split("text", " "), -F.least(F.lit(3), F.size(F.split("text", " "))), 3), " ").alias("query")), 10)
+    return whole.unionByName(ends).withColumn("score", F.round("score", 6))
+
+
 _RULES = [(0, "economy/steel"), (1, "standard"), (2, "promo-copper"), (3, "BRUSHED")]
 
 
