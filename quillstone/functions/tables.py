@@ -14,7 +14,7 @@ from quillstone.functions.text import CHARS_PER_TOKEN
 from quillstone.operators.diffs import MAX_TOKENS, TRUNCATION, TRUNCATION_ROOM
 
 # a line ends for the columns' patterns at any line end there is, and $ stands before a last one
-_DOT, _END = "[^\r\x85  ]", "(?=[\r\x85  ]?\\Z)"
+_DOT, _END = "[^\r\x85\u2028\u2029]", "(?=[\r\x85\u2028\u2029]?\\Z)"
 _GIT, _GREEDY, _NEW = (re.compile(p.replace(".", _DOT) + _END) for p in (r"diff --git a/(?:.+?) b/(.+)", r"diff --git a/.+ b/(.+)", r"\+\+\+ b/(.+)"))
 
 
@@ -97,7 +97,7 @@ class ChangeChunks:
         if max_tokens is not None and (not max_tokens.isConstantExpression or not isinstance(max_tokens.value, int) or max_tokens.value < 1):
             raise ValueError("max_tokens is a constant from 1")
         out = T.StructType([f for f in changes.dataType.fields if f.name != "diff"])
-        out = out.add("chunk_no", "int").add("content", "string").add("estimated_tokens", "int").add("files", "array<string>")
+        out = out.add("chunk_no", T.IntegerType()).add("content", T.StringType()).add("estimated_tokens", T.IntegerType()).add("files", T.ArrayType(T.StringType()))
         if len({n.lower() for n in out.names}) < len(out.names):
             raise ValueError("columns of changes clash with those of the result")
         return AnalyzeResult(schema=out)

@@ -169,7 +169,7 @@ tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), d AS (SELEC
 q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM ({queries})) GROUP BY ALL),
 s AS (SELECT query_id, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN d USING (term) JOIN tf USING (term), m GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id AS id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= {results}"""
+SELECT query_id, doc_id AS id, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank <= {results}"""
 
 
 @query(_ranked("SELECT item_id AS query_id, text AS query FROM benchmark", 3) + " UNION ALL (" + _ranked("SELECT -1 - item_id AS query_id, array_to_string(string_split(text, ' ')[-3:], ' ') AS query FROM benchmark", 10) + ")")
@@ -179,7 +179,7 @@ def x1_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     whole = index.search(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
     ends = index.search(b.select((-1 - F.col("item_id")).alias("query_id"), F.array_join(F.slice(F.split("text", " "), -F.least(F.lit(3), F.size(F.split("text", " "))), 3), " ").alias("query")), 10)
-    return whole.unionByName(ends).withColumn("score", F.round("score", 6))
+    return whole.unionByName(ends)
 
 
 _RULES = [(0, "economy/steel"), (1, "standard"), (2, "promo-copper"), (3, "BRUSHED")]
