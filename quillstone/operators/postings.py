@@ -10,6 +10,7 @@ reach the last of the best: the others are never read, and the result is the sam
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from quillstone.operators.ranking import K1, RESULTS, B, idf
 from quillstone.prefix import running
 
 #: Tokens of a block, and what a document counts besides its own.
-BLOCK, DOCUMENT = 1 << 18, 64
+BLOCK, DOCUMENT = 1 << 20, 64
 #: Tokens whose postings make up a file, and folders at most; beyond, a folder holds several files.
 FILE, BUCKETS = 1 << 24, 4096
 #: Scores are rounded to nine digits; a block is left out only if it stays below by more than this.
@@ -38,7 +39,7 @@ class InvertedIndex:
 
     def build(self, docs: DataFrame, id_col: str = "id", text: str = "text", k1: float = K1, b: float = B, block: int = BLOCK) -> InvertedIndex:
         """Writes the index; what describes it comes last, so an index is there as a whole or not at all. An index is not written over."""
-        t = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+        t = docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"), F.size(search_tokens(F.col(text))).alias("dl"))
         lengths = cut(t.groupBy("dl").agg(F.count("*").alias("same")))  # as many rows as there are lengths
         n, words, with_text = lengths.agg(F.sum("same"), F.sum(F.col("dl").cast("long") * F.col("same")), F.sum(F.when(F.col("dl").isNotNull(), F.col("same")))).first()
         n, words, avgdl = n or 0, words or 0, (words or 0) / (with_text or 1)
@@ -48,41 +49,41 @@ class InvertedIndex:
         places = small(cut(running(lengths.where("dl > 0"), [], ["dl"], {"_before": F.col("same") * weight})))
         # documents of one length are dealt by their id to all blocks that the length takes up
         at = F.floor((F.col("_before") + F.pmod(F.xxhash64("id"), F.col("same")) * weight) / block)
-        placed = t.join(places, "dl").select(at.alias("block"), "id", "dl", "_t").repartition("block")
-        tf = placed.select("block", "id", "dl", F.explode("_t").alias("term")).groupBy("block", "id", "dl", "term").agg(F.count("*").alias("tf"))
-        share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)) if words else F.lit(0.0)
-        found = F.collect_list(F.struct("id", "dl", share.alias("share")))  # the documents of a block at most
-        rows = tf.groupBy("block", "term").agg(F.count("*").alias("n"), F.max(share).alias("best"), found.alias("docs"))
-        bucket, salt = _bucket(F.col("term"), buckets), F.pmod(F.xxhash64("block"), F.lit(-(-files // buckets)))
-        out = rows.withColumn("bucket", bucket).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "block")
-        out.write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        self.spark.createDataFrame([(n, buckets, out.schema.json())], "n long, buckets int, postings string").coalesce(1).write.parquet(f"{self.path}/about")
+        # texts travel, not their words, which take more room
+        placed = t.join(places, "dl").select(at.alias("block"), "id", "dl", "_text").repartition("block")
+        words_of = placed.select("block", "id", "dl", F.explode(search_tokens(F.col("_text"))).alias("term"))
+        tf = words_of.groupBy("block", "id", "dl", "term").agg(F.count("*").alias("tf"))
+        packed = F.shiftleft(F.col("dl").cast("long"), 32).bitwiseOR(F.col("tf"))
+        found = F.collect_list(F.struct("id", packed.alias("of")))  # the documents of a block at most
+        rows = tf.groupBy("block", "term").agg(found.alias("_d")).select("block", "term", F.col("_d.id").alias("ids"), F.col("_d.of").alias("of"))
+        dealt = rows.repartition(_bucket(F.col("term"), buckets), F.pmod(F.xxhash64("block"), F.lit(-(-files // buckets))))
+        out = dealt.withColumns({"n": F.size("of"), "best": F.array_max(F.transform("of", lambda x: _share(x, avgdl, k1, b))), "bucket": _bucket(F.col("term"), buckets)})
+        out.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        self.spark.createDataFrame([(n, buckets, out.schema.json(), avgdl, k1, b)], "n long, buckets int, postings string, avgdl double, k1 double, b double").coalesce(1).write.parquet(f"{self.path}/about")
         return self
 
-    def _about(self) -> tuple[int, int, T.StructType]:
-        n, buckets, schema = self.spark.read.parquet(f"{self.path}/about").first()
-        return n, buckets, T.StructType.fromJson(json.loads(schema))
-
-    def _scores(self, postings: DataFrame, asked: DataFrame) -> DataFrame:
+    def _scores(self, postings: DataFrame, share: Callable[[Column], Column], asked: DataFrame) -> DataFrame:
         """Scores of all documents in the blocks that are asked for: (query_id, term, block, w)."""
         asked = cut(asked)
         wanted = small(cut(asked.select("term", "block").distinct()))
         # postings travel as they are, by block; a document's shares are summed where its block lies
-        rows = postings.join(wanted, ["term", "block"], "left_semi").select("term", "block", "docs").repartition("block")
-        each = rows.join(small(asked), ["term", "block"]).select("block", "query_id", "w", F.explode("docs").alias("_d"))
-        return each.groupBy("block", "query_id", "_d.id", "_d.dl").agg(F.round(F.sum(F.col("w") * F.col("_d.share")), 9).alias("score")).drop("block", "dl")
+        rows = postings.join(wanted, ["term", "block"], "left_semi").select("term", "block", "ids", "of").repartition("block")
+        each = rows.join(small(asked), ["term", "block"]).select("block", "query_id", "w", F.inline(F.arrays_zip("ids", "of")))
+        scored = each.groupBy("block", "query_id", F.col("ids").alias("id"), F.shiftright("of", 32).alias("_dl")).agg(F.round(F.sum(F.col("w") * share(F.col("of"))), 9).alias("score"))
+        return scored.drop("block", "_dl")
 
     def search(self, queries: DataFrame, results: int = RESULTS) -> DataFrame:
         """For each query (query_id, query) the best documents: query_id, id, score (to nine digits, above 0) and rank from 1, ties by id.
 
         Rows of one query_id are one query with the words of each. A query without words that documents have gets no row.
         """
-        n, buckets, schema = self._about()
+        n, buckets, schema, avgdl, k1, b = self.spark.read.parquet(f"{self.path}/about").first()
+        share = lambda of: _share(of, avgdl, k1, b)
         q = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
         q = cut(q.withColumn("bucket", _bucket(F.col("term"), buckets)))
         touched = [r["bucket"] for r in q.select("bucket").distinct().collect()]  # BUCKETS at most
         words = small(cut(q.select("term").distinct()))
-        postings = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("bucket").isin(touched))
+        postings = self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/postings").where(F.col("bucket").isin(touched))
         heads = cut(postings.select("term", "block", "n", "best").join(words, "term", "left_semi"))
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         weights = small(cut(q.join(df, "term").select("query_id", "term", (F.col("qf") * idf(F.col("df"), F.lit(n))).alias("w"))))
@@ -90,13 +91,19 @@ class InvertedIndex:
         best_first = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
         bounds = cut(asked.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("best")).alias("most")).withColumn("_n", F.row_number().over(best_first)))
         # each block has a document with one of the terms, so as many blocks as results give as many scores
-        first = cut(_best(self._scores(postings, _of(asked, bounds.where(F.col("_n") <= results))), results))
+        first = cut(_best(self._scores(postings, share, _of(asked, bounds.where(F.col("_n") <= results))), results))
         least = first.where(F.col("rank") == results).select(F.col("query_id").alias("_query"), F.col("score").alias("_least"))
         rest = bounds.where(F.col("_n") > results).join(least, F.col("query_id").eqNullSafe(F.col("_query")), "left").where(F.col("most") >= F.coalesce("_least", F.lit(0.0)) - _MARGIN)
-        more = self._scores(postings, _of(asked, rest))
+        more = self._scores(postings, share, _of(asked, rest))
         return _best(first.drop("rank").unionByName(more), results)
 
 
+def _share(of: Column, avgdl: float, k1: float, b: float) -> Column:
+    """What a term adds to the score of a document, but for the term's weight; of holds the length and how often it is there."""
+    tf, dl = of.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(of, 32)
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

@@ -42,7 +42,7 @@ def test_blocks_that_cannot_reach_the_best_are_not_read(spark, docs, tmp_path, m
     index = postings.InvertedIndex(spark, str(tmp_path / "index")).build(docs, block=700)
     read = []
     scores = index._scores
-    monkeypatch.setattr(index, "_scores", lambda p, asked: (read.append(asked.select("block").distinct().count()), scores(p, asked))[1])
+    monkeypatch.setattr(index, "_scores", lambda p, share, asked: (read.append(asked.select("block").distinct().count()), scores(p, share, asked))[1])
     index.search(spark.createDataFrame([(1, "word1 rare")], "query_id long, query string"), 2).collect()
     there = spark.read.parquet(str(tmp_path / "index" / "postings")).where("term in ('word1', 'rare')").select("block").distinct().count()
     assert read[0] == 2 and sum(read) < there / 4, (read, there)
