@@ -57,10 +57,18 @@ def import_edges(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export_edges(symbols: DataFrame) -> DataFrame:
-    """An export to the symbols of its file whose names its text holds: an equality on the file with the rest as a residual."""
-    e = symbols.where("kind = 'export'").select("file", F.col("name").alias("text"))
-    t = symbols.where("kind not in ('import', 'export')").select("file", "name")
-    return e.join(t, "file").where(F.contains("text", "name")).select(qualified(F.col("file"), F.col("text")).alias("src"), qualified(F.col("file"), F.col("name")).alias("dst"), F.lit("EXPORTS_TO").alias("rel")).distinct()
+    """An export to the symbols of its file whose names its text holds, each once.
+
+    A text's parts of the lengths that names of its file have meet the names by equality, so a file of very many
+    symbols has no more rows than its distinct texts have such parts. Texts are lines, which have few.
+    """
+    e = symbols.where("kind = 'export'").select("file", F.col("name").alias("text")).distinct()
+    t = symbols.where("kind not in ('import', 'export')").select("file", "name").distinct()
+    lengths = t.groupBy("file").agg(F.collect_set(F.length("name")).alias("lengths"))  # of a file, as many as its longest name has characters at most
+    sized = e.join(lengths, "file").select("file", "text", F.explode("lengths").alias("n")).where(F.length("text") >= F.col("n"))
+    parts = sized.select("file", "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("at")).select("file", "text", F.substring("text", F.col("at"), F.col("n")).alias("name"))
+    held = parts.join(t, ["file", "name"])
+    return held.select(qualified(F.col("file"), F.col("text")).alias("src"), qualified(F.col("file"), F.col("name")).alias("dst"), F.lit("EXPORTS_TO").alias("rel")).distinct()
 
 
 def resync_calls(old: DataFrame, symbols: DataFrame) -> DataFrame:
