@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from quillstone.operators import graph as G
+from quillstone.operators import vectors as V
 
 
 def test_export_edges_meet_by_equality(spark):
@@ -14,3 +18,40 @@ def test_export_edges_meet_by_equality(spark):
     got = [tuple(r) for r in edges.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "contains" not in edges._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def cosines(p, q, k):
+    """The k best of each query by definition: scores to nine digits, ties by id, what cannot be compared scores 0."""
+    out = set()
+    for qid, v in q:
+        rows = []
+        for i, x in p:
+            s = 0.0
+            if v and x and len(v) == len(x) and None not in v and None not in x:
+                both = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in v))
+                s = sum(a * b for a, b in zip(x, v)) / both if both > 0 else 0.0
+            rows.append((-round(s, 9), i))
+        out |= {(qid, i, -s + 0.0, n) for n, (s, i) in enumerate(sorted(rows)[:k], 1)}
+    return out
+
+
+def test_top_k_by_blocks_is_the_definition(spark, monkeypatch):
+    rng = random.Random(4)
+    v = lambda d: [rng.choice([-1.5, 0.0, 0.25, 1.0]) for _ in range(d)]
+    p = [(f"p{i:03}", v(6)) for i in range(150)] + [(f"s{i:03}", [1.0, 1.0, 0.0, 0.0, 0.0, 2.0]) for i in range(60)]  # 60 copies
+    p += [("a", None), ("b", [1.0, None, 1.0, 0.0, 0.0, 0.0]), ("c", [0.0] * 6), ("d", v(3)), ("e", []), ("f", [1e-200] * 6), ("g", [1e152] * 6)]
+    q = [(i, x) for i, (_, x) in enumerate(p) if i % 7 == 0] + [(1000 + i, x) for i, (_, x) in enumerate(p[-7:])]
+    points = spark.createDataFrame(p, "id string, vector array<double>")
+    asked = spark.createDataFrame(q, "query_id long, query_vector array<double>")
+    monkeypatch.setattr(V, "POINT_BLOCK", 90)
+    monkeypatch.setattr(V, "_POINTS", 32)
+    monkeypatch.setattr(V, "_QUERIES", 5)
+    for k in (1, 10, 300):
+        got = {(r["query_id"], r["id"], round(r["score"], 9) + 0.0, r["rank"]) for r in V.top_k(points, asked, k, block=20).collect()}
+        assert got == {x for x in cosines(p, q, k)}
+
+
+def test_top_k_multiplies_blocks(spark):
+    points = spark.range(50).selectExpr("id", "array(float(id), 1f) AS vector")
+    plan = V.top_k(points, points.selectExpr("id AS query_id", "vector AS query_vector"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
