@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
+
 from quillstone.streaming import signals, streams
 
 
@@ -80,3 +82,91 @@ def test_signals_late_repeated_and_expired_over_restarts(spark, tmp_path):
     want = alerts_by_definition([r for rows in batches for r in rows if r[2] != "never"], 20, 100)
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert ("a", 20, "buy", "hold", "signal_change") in want and ("b", 170, "y", None, "expired") in want and ("a", 60, "hold", "sell", "signal_change") in want
+
+
+class _Handle:
+    """A state that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def state(self, *_):
+        handle = self
+
+        class State:
+            rows = None
+
+            def get(self):
+                handle.calls += 1
+                return iter(self.rows or []) if self.listed else self.rows
+
+            def put(self, rows):
+                handle.calls += 1
+                self.rows = list(rows)
+
+            def appendList(self, rows):  # noqa: N802
+                handle.calls += 1
+                self.rows = [*(self.rows or []), *rows]
+
+            def update(self, row):
+                handle.calls += 1
+                self.rows = row
+
+            def exists(self):
+                handle.calls += 1
+                return self.rows is not None
+
+            def clear(self):
+                handle.calls += 1
+                self.rows = None
+
+            def containsKey(self, key):  # noqa: N802
+                return key in (self.rows or {})
+
+            def getValue(self, key):  # noqa: N802
+                handle.calls += 1
+                return self.rows[key]
+
+            def updateValue(self, key, value):  # noqa: N802
+                handle.calls += 1
+                self.rows = {**(self.rows or {}), key: value}
+
+        out = State()
+        out.listed = len(self.made) == 0
+        self.made.append(out)
+        return out
+
+    made: list = []
+    getListState = getMapState = getValueState = state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_signals_take_few_calls_to_their_state(monkeypatch):
+    monkeypatch.setattr(signals, "CHUNK", 7, raising=False)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    rows = [(t * 1_000_000, "xyz"[(t * 7 + t // 3) % 3]) for t in range(2000)]
+    handle = _Handle()
+    handle.made = []
+    s = signals.Signals(100 * 1_000_000)
+    s.init(handle)
+    got = []
+    for a, b in ((0, 1200), (600, 2000)):  # with 600 repeated ones
+        part = pd.DataFrame(rows[a:b][::-1], columns=["at", "signal"])
+        s.handleInputRows(("k",), iter([part[:300], part[300:]]), Times(0))
+    for now in (500, 500_000, 5_000_000):
+        while due := [t for t in handle.timers if t <= now]:
+            handle.timers.remove(min(due))
+            for out in s.handleExpiredTimer(("k",), Times(now), None):
+                got += out.values.tolist()
+    want = [["k", b[0], a[1], b[1], "signal_change"] for a, b in zip(rows, rows[1:]) if a[1] != b[1]] + [["k", (1999 + 100) * 1_000_000, rows[-1][1], None, "expired"]]
+    assert got == want and handle.calls < 40 and not handle.timers
