@@ -40,6 +40,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least four tasks for each core, for steps whose rows cost far more time than bytes: a small file is one task otherwise."""
+    tasks = max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def _bytes(c: Column, kind: T.DataType) -> Column:
     """About what a value takes in memory."""
     zero = F.lit(0).cast("long")

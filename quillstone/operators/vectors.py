@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.text import deterministic_id, embedding_text
+from quillstone.lineage import spread
 
 #: Fixed value: the text before a name whose hash is its id.
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -57,7 +58,7 @@ def embed(rows: DataFrame, fn: Callable[[list[str]], list[list[float]]], text: s
             values = p.tolist()
             yield pd.Series([v for i in range(0, len(values), batch) for v in fn(values[i : i + batch])])
 
-    return rows.withColumn("vector", run(text))
+    return spread(rows).withColumn("vector", run(text))
 
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:

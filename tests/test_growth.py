@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+from quillstone.operators import code_index as C
 from quillstone.operators import graph as G
 from quillstone.operators import vectors as V
 
@@ -55,3 +56,13 @@ def test_top_k_multiplies_blocks(spark):
     points = spark.range(50).selectExpr("id", "array(float(id), 1f) AS vector")
     plan = V.top_k(points, points.selectExpr("id AS query_id", "vector AS query_vector"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_parsing_and_embedding_are_spread_over_tasks(spark):
+    one = spark.createDataFrame([(f"a{i}.py", f"def f{i}(x):\n    return g(x)\n") for i in range(100)], "path string, text string").coalesce(1)
+    found = C.index(one)
+    assert found.rdd.getNumPartitions() >= 32 and {(r["file"], r["name"]) for r in found.collect()} == {(f"a{i}.py", f"f{i}") for i in range(100)}
+    vectors = V.embed(one, V.hashed_embedding)
+    assert vectors.rdd.getNumPartitions() >= 32 and vectors.count() == 100
+    many = one.repartition(64)
+    assert C.index(many).rdd.getNumPartitions() == 64
