@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +94,7 @@ class WordEncoder:
         known = self.cache
         new = words.difference(known)
         self.recall(new)
-        new.difference_update(known)
+        new = new.difference(known)  # looks the few words up, where an update in place would go through all that is known
         short = [w for w in new if len(w) <= CACHE_CHARS]
         plain = [w for w in short if w.isalpha()]
         marked = [w for w in short if w[-1:] in _MARKS and w[:-1].isalpha()]
@@ -110,7 +109,8 @@ class WordEncoder:
     def recall(self, words: set[str]) -> None:
         """Brings what the older half knows of the words into the younger one."""
         older = self.older
-        self.cache.update([(w, older[w]) for w in words if w in older])
+        known = list(filter(older.__contains__, words))
+        self.cache.update(zip(known, map(older.__getitem__, known)))
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, of bounded parts of it at a time."""
@@ -132,10 +132,15 @@ class WordEncoder:
         size = 0
 
         def join() -> None:
-            self.remember(set(chain.from_iterable(s for _, s in split)))
-            get = (lambda w: self.odd[w] if w in self.odd else self.cache[w]) if self.odd else self.cache.__getitem__
-            for i, s in split:
-                ids = b"".join(map(get, s))
+            # each word is looked up once; only those that are not known become a set
+            found = [list(map(self.cache.get, s)) for _, s in split]
+            gaps = [[j for j, x in enumerate(f) if x is None] for f in found]
+            self.remember({s[j] for (_, s), g in zip(split, gaps) for j in g})
+            cache, odd = self.cache, self.odd
+            for (i, s), f, g in zip(split, found, gaps):
+                for j in g:
+                    f[j] = cache[s[j]] if s[j] in cache else odd[s[j]]
+                ids = b"".join(f)
                 out[i] = ids if out[i] is None else out[i] + ids
             split.clear()
             self.odd = {}
