@@ -24,7 +24,7 @@ from quillstone.prefix import running
 #: Tokens of a block, and what a document counts besides its own.
 BLOCK, DOCUMENT = 1 << 20, 64
 #: Tokens whose postings make up a file, and folders at most; beyond, a folder holds several files.
-FILE, BUCKETS = 1 << 24, 4096
+FILE, BUCKETS = 1 << 22, 4096
 #: Scores are rounded to nine digits; a block is left out only if it stays below by more than this.
 _MARGIN = 1e-8
 
@@ -49,25 +49,31 @@ class InvertedIndex:
         places = small(cut(running(lengths.where("dl > 0"), [], ["dl"], {"_before": F.col("same") * weight})))
         # documents of one length are dealt by their id to all blocks that the length takes up
         at = F.floor((F.col("_before") + F.pmod(F.xxhash64("id"), F.col("same")) * weight) / block)
-        # texts travel, not their words, which take more room
-        placed = t.join(places, "dl").select(at.alias("block"), "id", "dl", "_text").repartition("block")
+        # texts travel, not their words, which take more room; tasks grow with the table, so that one's memory does not
+        tasks = self._tasks(-(-(words + DOCUMENT * n) // block), block)
+        placed = t.join(places, "dl").select(at.alias("block"), "id", "dl", "_text").repartition(tasks, "block")
         words_of = placed.select("block", "id", "dl", F.explode(search_tokens(F.col("_text"))).alias("term"))
         tf = words_of.groupBy("block", "id", "dl", "term").agg(F.count("*").alias("tf"))
         packed = F.shiftleft(F.col("dl").cast("long"), 32).bitwiseOR(F.col("tf"))
         found = F.collect_list(F.struct("id", packed.alias("of")))  # the documents of a block at most
         rows = tf.groupBy("block", "term").agg(found.alias("_d")).select("block", "term", F.col("_d.id").alias("ids"), F.col("_d.of").alias("of"))
-        dealt = rows.repartition(_bucket(F.col("term"), buckets), F.pmod(F.xxhash64("block"), F.lit(-(-files // buckets))))
+        dealt = rows.repartition(files, _bucket(F.col("term"), buckets), F.pmod(F.xxhash64("block"), F.lit(-(-files // buckets))))
         out = dealt.withColumns({"n": F.size("of"), "best": F.array_max(F.transform("of", lambda x: _share(x, avgdl, k1, b))), "bucket": _bucket(F.col("term"), buckets)})
         out.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        self.spark.createDataFrame([(n, buckets, out.schema.json(), avgdl, k1, b)], "n long, buckets int, postings string, avgdl double, k1 double, b double").coalesce(1).write.parquet(f"{self.path}/about")
+        self.spark.createDataFrame([(n, buckets, out.schema.json(), avgdl, k1, b, block)], "n long, buckets int, postings string, avgdl double, k1 double, b double, block long").coalesce(1).write.parquet(f"{self.path}/about")
         return self
 
-    def _scores(self, postings: DataFrame, share: Callable[[Column], Column], asked: DataFrame) -> DataFrame:
+    def _tasks(self, blocks: int, block: int) -> int:
+        """So many tasks that each has about BLOCK tokens, and at least one for each core as far as there are blocks."""
+        return max(1, min(blocks, max(self.spark.sparkContext.defaultParallelism, -(-blocks * block // BLOCK))))
+
+    def _scores(self, postings: DataFrame, share: Callable[[Column], Column], asked: DataFrame, block: int) -> DataFrame:
         """Scores of all documents in the blocks that are asked for: (query_id, term, block, w)."""
         asked = cut(asked)
         wanted = small(cut(asked.select("term", "block").distinct()))
-        # postings travel as they are, by block; a document's shares are summed where its block lies
-        rows = postings.join(wanted, ["term", "block"], "left_semi").select("term", "block", "ids", "of").repartition("block")
+        # postings travel as they are, by block, to tasks of a bounded size; a document's shares are summed where its block lies
+        tasks = self._tasks(asked.select("block").distinct().count(), block)
+        rows = postings.join(wanted, ["term", "block"], "left_semi").select("term", "block", "ids", "of").repartition(tasks, "block")
         each = rows.join(small(asked), ["term", "block"]).select("block", "query_id", "w", F.inline(F.arrays_zip("ids", "of")))
         scored = each.groupBy("block", "query_id", F.col("ids").alias("id"), F.shiftright("of", 32).alias("_dl")).agg(F.round(F.sum(F.col("w") * share(F.col("of"))), 9).alias("score"))
         return scored.drop("block", "_dl")
@@ -77,7 +83,7 @@ class InvertedIndex:
 
         Rows of one query_id are one query with the words of each. A query without words that documents have gets no row.
         """
-        n, buckets, schema, avgdl, k1, b = self.spark.read.parquet(f"{self.path}/about").first()
+        n, buckets, schema, avgdl, k1, b, block = self.spark.read.parquet(f"{self.path}/about").first()
         share = lambda of: _share(of, avgdl, k1, b)
         q = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
         q = cut(q.withColumn("bucket", _bucket(F.col("term"), buckets)))
@@ -91,10 +97,10 @@ class InvertedIndex:
         best_first = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
         bounds = cut(asked.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("best")).alias("most")).withColumn("_n", F.row_number().over(best_first)))
         # each block has a document with one of the terms, so as many blocks as results give as many scores
-        first = cut(_best(self._scores(postings, share, _of(asked, bounds.where(F.col("_n") <= results))), results))
+        first = cut(_best(self._scores(postings, share, _of(asked, bounds.where(F.col("_n") <= results)), block), results))
         least = first.where(F.col("rank") == results).select(F.col("query_id").alias("_query"), F.col("score").alias("_least"))
         rest = bounds.where(F.col("_n") > results).join(least, F.col("query_id").eqNullSafe(F.col("_query")), "left").where(F.col("most") >= F.coalesce("_least", F.lit(0.0)) - _MARGIN)
-        more = self._scores(postings, share, _of(asked, rest))
+        more = self._scores(postings, share, _of(asked, rest), block)
         return _best(first.drop("rank").unionByName(more), results)
 
 

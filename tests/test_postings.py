@@ -97,3 +97,22 @@ def test_chunks_are_numbered_through_a_review(spark):
     for bad in ("SELECT * FROM change_chunks(TABLE(SELECT 1 AS x))", "SELECT * FROM change_chunks(TABLE(SELECT '' AS diff, 1 AS Content))", "SELECT * FROM change_chunks(TABLE(SELECT '' AS diff), 0)"):
         with pytest.raises(Exception, match="change_chunks|max_tokens|clash"):
             spark.sql(bad)
+
+
+def test_tasks_of_an_index_grow_with_its_blocks(spark, tmp_path, monkeypatch):
+    counts = []
+    kind = type(spark.range(1))
+    plain = kind.repartition
+
+    def counted(self, n, *cols):
+        counts.append(n)
+        return plain(self, n, *cols)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    monkeypatch.setattr(postings, "BLOCK", 700)
+    docs = spark.createDataFrame([(i, f"word{i % 7} and word{i % 11} again") for i in range(120)], "id long, text string")
+    index = postings.InvertedIndex(spark, str(tmp_path / "many")).build(docs, block=700)
+    blocks = spark.read.parquet(str(tmp_path / "many/postings")).select("block").distinct().count()
+    assert blocks > 8 and counts[0] >= blocks and all(isinstance(n, int) for n in counts)
+    queries = spark.createDataFrame([(1, "word3 word5")], "query_id long, query string")
+    assert index.search(queries, 5).count() == 5 and len(counts) == 4 and counts[2] >= 5
