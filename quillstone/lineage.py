@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes of values that may be broadcast; they are summed over the materialised rows before each broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of these that one task reads.
+PART_BYTES = 4 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,9 +42,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(32, 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least four tasks for each core, for steps whose rows cost far more time than bytes: a small file is one task otherwise."""
-    tasks = max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    tasks = _tasks(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
@@ -61,7 +67,12 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
 
 
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Marks an already materialised df for broadcast if its values sum up to few bytes, else leaves the join to shuffle."""
+    """Marks an already materialised df for broadcast if its values sum up to few bytes, else for a join that shuffles.
+
+    Left unmarked it would be joined as Spark estimates its size, from the files it was made of: rows made
+    of a small table many times over would be broadcast however many they are. What is broadcast is read in
+    tasks of PART_BYTES, as the driver gathers a result from each, however many partitions hold few rows.
+    """
     size = reduce(lambda n, f: n + _bytes(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(16).cast("long"))
-    total = df.select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
+    total = df.coalesce(_tasks(df.sparkSession)).select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df.coalesce(1 + total // PART_BYTES)) if total <= (BROADCAST_BYTES if limit is None else limit) else df.hint("merge")

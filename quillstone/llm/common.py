@@ -53,7 +53,7 @@ def join_hubs(rows: DataFrame, side: DataFrame, key: str, counted: DataFrame) ->
     they are. counted: a materialised table whose keys are as frequent as those of rows.
     """
     columns = [*rows.columns, *[c for c in side.columns if c != key]]
-    hubs = cut(counted.groupBy(key).count().where(F.col("count") > max(HUB, counted.count() // HUB_SHARE)).select(key))
+    hubs = cut(counted.groupBy(key).count().where(F.col("count") > max(HUB, counted.count() // HUB_SHARE)).select(key)).coalesce(1)
     if not hubs.count():
         return rows.join(side, key).select(*columns)
     few = small(cut(side.join(small(hubs), key, "left_semi")))

@@ -31,7 +31,7 @@ from itertools import accumulate, combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, small
+from quillstone.llm.common import LINKS, cut, small
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -41,6 +41,8 @@ WIDTHS = (13,) * 4 + (12,) + (13,) * 4 + (12,)
 FLIPS = 2
 #: Bytes of stored block values that may be broadcast.
 STORED_BYTES = 2 << 20
+#: Windows that a task takes the fingerprints of, about.
+WINDOWS = 500
 #: Fingerprints so far apart or nearer have a block within FLIPS, as one flip more in each would be too many.
 RADIUS = len(WIDTHS) * (FLIPS + 1) - 1
 
@@ -129,14 +131,16 @@ def _hits(base: DataFrame, known: DataFrame, size: int, limit: int) -> DataFrame
     else:
         # rows of equal doc_id and text have equal hits
         flat = base.select("doc_id", "text_hash", F.posexplode(let(F.col("w"), lambda w: F.transform(positions(w, size), lambda i: shingle(w, i, size)))).alias("pos", "g"))
-        at = flat.join(known, "g", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        at = flat.join(small(known), "g", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("hits"))
         found = base.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "w", "hits")
     return found.where(F.size("hits") > 0)
 
 
 def windows(docs: DataFrame, bench: DataFrame, share: float = SIMILARITY, limit: int = 200_000) -> DataFrame:
     """doc_id, start, n and grams of the item-sized windows that can match."""
-    known = cut(bench.select("n", F.explode("grams").alias("g")).distinct())
+    # in as many partitions as their number needs, as each step on them is so many tasks
+    parts = 1 + bench.select(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0] // LINKS
+    known = cut(bench.coalesce(parts).select("n", F.explode("grams").alias("g")).distinct().coalesce(parts)).coalesce(parts)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     hits = _hits(base, known.where(F.col("n") >= SIZE).select("g").distinct(), SIZE, limit)
     start = hits.select("doc_id", "w", "hits", F.posexplode("hits").alias("j", "start"))
@@ -164,17 +168,22 @@ def candidates(prints: DataFrame, bench: DataFrame) -> DataFrame:
     return asked.join(small(cut(stored), STORED_BYTES), ["n", "block", "value"]).select("n", "window", "of_window", "item_id").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity, start and n_words of the best window for every item that a document holds."""
+def _alike(docs: DataFrame, benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The windows (doc_id, start, n, window, grams), and n, window, item_id and similarity of those that are alike to an item."""
     bench = items(benchmark)
     found = cut(windows(docs, bench, share).withColumn("window", F.xxhash64("n", "grams")))
     distinct = found.groupBy("n", "window", "grams").agg(F.lit(1).alias("one")).select("n", "window", "grams")
-    prints = cut(distinct.select("*", simhash(F.col("grams")).alias("simhash"), counted(F.col("grams")).alias("counted")))
+    prints = cut(distinct.coalesce(1 + found.count() // WINDOWS).select("*", simhash(F.col("grams")).alias("simhash"), counted(F.col("grams")).alias("counted")))
     listed = small(bench.select(F.col("item_id").alias("_item"), "n", F.col("simhash").alias("of_item"), F.col("counted").alias("item")))
     near = candidates(prints, bench).join(listed.withColumnRenamed("n", "_n"), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("n") == F.col("_n")))
     near = near.where(distance(F.col("of_window"), F.col("of_item")) <= RADIUS).select("n", "window", "item_id", "item")
     alike = near.join(prints.select("n", "window", F.col("counted").alias("text")), ["n", "window"]).withColumn("similarity", similarity(F.col("text"), F.col("item")))
-    alike = alike.where(F.col("similarity") >= share - 1e-12).select("n", "window", "item_id", "similarity").distinct()
+    return found, alike.where(F.col("similarity") >= share - 1e-12).select("n", "window", "item_id", "similarity").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, similarity, start and n_words of the best window for every item that a document holds."""
+    found, alike = _alike(docs, benchmark, share)
     pairs = found.select("doc_id", "start", "n", "window").join(alike, ["n", "window"])
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.col("n").alias("n_words"))).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.before")).cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"))
@@ -183,5 +192,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SIMILARITY) -> D
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item, told apart by doc_id and text, so that null ids are no one document."""
     key = F.xxhash64("doc_id", "text")
-    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    found, alike = _alike(docs.select(key.alias("doc_id"), "text"), benchmark, SIMILARITY)
+    found = found.select(F.col("doc_id").alias("_leak"), "n", "window").join(alike, ["n", "window"], "left_semi").select("_leak").distinct()
     return docs.join(found, key == F.col("_leak"), "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+from quillstone.lineage import cut, small
 from quillstone.operators import code_index as C
 from quillstone.operators import graph as G
 from quillstone.operators import vectors as V
@@ -66,3 +67,19 @@ def test_parsing_and_embedding_are_spread_over_tasks(spark):
     assert vectors.rdd.getNumPartitions() >= 32 and vectors.count() == 100
     many = one.repartition(64)
     assert C.index(many).rdd.getNumPartitions() == 64
+
+
+def test_broadcasts_go_by_measured_bytes(spark):
+    keys = spark.range(10).selectExpr("id AS k")
+    made = cut(keys.selectExpr("k", "explode(sequence(1, 500)) AS v"))  # Spark estimates the ten rows that these were made of
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        dealt, sent = keys.join(small(made, 1000), "k", how), keys.join(small(made), "k", how)
+        assert "SortMergeJoin" in plan(dealt) and "BroadcastHashJoin" not in plan(dealt) and "BroadcastHashJoin" in plan(sent)
+        assert sorted(dealt.collect()) == sorted(sent.collect())
+
+
+def test_broadcasts_are_gathered_in_few_tasks(spark):
+    many = cut(spark.range(1000).repartition(50))
+    assert small(many).rdd.getNumPartitions() == 1 and small(many, 10).rdd.getNumPartitions() == 50
+    assert sorted(r["id"] for r in spark.range(2000).join(small(many), "id").collect()) == list(range(1000))
