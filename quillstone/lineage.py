@@ -42,13 +42,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _tasks(spark: SparkSession) -> int:
+def tasks_of(spark: SparkSession) -> int:
+    """Four tasks for each core, 32 at least."""
     return max(32, 4 * spark.sparkContext.defaultParallelism)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least four tasks for each core, for steps whose rows cost far more time than bytes: a small file is one task otherwise."""
-    tasks = _tasks(df.sparkSession)
+    tasks = tasks_of(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
@@ -74,5 +75,5 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     tasks of PART_BYTES, as the driver gathers a result from each, however many partitions hold few rows.
     """
     size = reduce(lambda n, f: n + _bytes(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(16).cast("long"))
-    total = df.coalesce(_tasks(df.sparkSession)).select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    total = df.coalesce(tasks_of(df.sparkSession)).select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     return F.broadcast(df.coalesce(1 + total // PART_BYTES)) if total <= (BROADCAST_BYTES if limit is None else limit) else df.hint("merge")

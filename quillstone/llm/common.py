@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.lineage import cut, small
+from quillstone.lineage import cut, small, tasks_of
 
-__all__ = ["ascii_lower", "connected_components", "cut", "join_hubs", "small", "table", "with_rest"]
+__all__ = ["ascii_lower", "connected_components", "cut", "join_hubs", "small", "table", "tasks_of", "with_rest"]
 
 #: A node of more links than this, or than one in HUB_SHARE of all, is joined apart.
 HUB, HUB_SHARE = 1_000, 100_000
@@ -53,7 +53,8 @@ def join_hubs(rows: DataFrame, side: DataFrame, key: str, counted: DataFrame) ->
     they are. counted: a materialised table whose keys are as frequent as those of rows.
     """
     columns = [*rows.columns, *[c for c in side.columns if c != key]]
-    hubs = cut(counted.groupBy(key).count().where(F.col("count") > max(HUB, counted.count() // HUB_SHARE)).select(key)).coalesce(1)
+    n = counted.count()
+    hubs = cut(counted.groupBy(key).count().where(F.col("count") > max(HUB, n // HUB_SHARE)).select(key).coalesce(1 + n // LINKS)).coalesce(1)
     if not hubs.count():
         return rows.join(side, key).select(*columns)
     few = small(cut(side.join(small(hubs), key, "left_semi")))
@@ -77,12 +78,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     step is two aggregations with map-side combine and a join on the node in which hubs are told apart, so
     that a component of any size is never gathered in one task. Links are held in as many partitions as their
     number needs, so that the steps of a few links are not dealt over a cluster's tasks, and those of one partition not at
-    all. Nodes without a link to another one are not part of the result; null ends are dropped.
+    all: these are so few that no hub among them has to be told apart. Nodes without a link to another one are not part of the result; null ends are dropped.
     """
     u, v = F.col("u"), F.col("v")
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct().coalesce(tasks_of(edges.sparkSession)))
     parts = 1 + e.count() // LINKS
     held = lambda df: cut(df.coalesce(parts)).coalesce(parts)
+    # what Spark estimates grows with each step, so that it would deal even a few links to a shuffle's partitions; at most 2 * LINKS nodes are sent
+    met = F.broadcast if parts == 1 else lambda df: df
     e = e.coalesce(parts)
     for _ in range(max_rounds):
         # large star: every neighbour above the node hangs on the node's smallest neighbour
@@ -93,12 +96,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not open_:
             return least.select(u.alias("node"), F.col("m").alias("root"))
         bound = max(HUB, ends // HUB_SHARE)
-        large = _with_least(both, least, bound, most > bound).where(v > u).select(v.alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
+        hubs = parts > 1 and most > bound
+        large = _with_least(both, met(least), bound, hubs).where(v > u).select(v.alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
         # small star: every neighbour below the node, and the node, hang on the smallest
-        large = held(large) if most > bound else large
+        large = held(large) if hubs else large
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        least = held(least) if most > bound else least
-        joined = _with_least(large, least, bound, most > bound)
+        least = held(least) if hubs else least
+        joined = _with_least(large, met(least), bound, hubs)
         links = joined.select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = held(links.coalesce(parts).where("u != v").distinct())
     raise RuntimeError("components did not settle")

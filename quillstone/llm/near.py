@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import connected_components, cut, join_hubs, small
+from quillstone.llm.common import LINKS, connected_components, cut, join_hubs, small, tasks_of
 from quillstone.llm.wordhash import mix, shingles
 
 SIZE = 5
@@ -40,6 +40,8 @@ BITS = 4
 MARGIN = 5.5
 #: Shingles that a task holds of each of two chunks, about, 8 bytes each; and as how many a document counts besides its own.
 CHUNK, ROW = 1_000_000, 200
+#: Documents, and pairs with both their sets, that one partition holds: steps are dealt to as many tasks as their rows need, however many partitions the input or a shuffle has.
+DOCS, PAIRS = 20_000, 5_000
 
 _FEATURES = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 _SAME = ["n", "f1", "f2"]
@@ -235,55 +237,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, repeats: DataFrame, percent: in
                 sets = [set_of(t.as_py(), size).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    n = pairs.count()
+    parts = 1 + n // PAIRS
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().coalesce(1 + n // LINKS))
     sets = cut(_texts(docs, ids, repeats).mapInArrow(run, "id long, set array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = join_hubs(both, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b", pairs)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").coalesce(parts)
+    both = join_hubs(both, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b", pairs).coalesce(parts)
     common = F.size(F.array_intersect("set_a", "set_b"))
     counted = both.select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b")).alias("m"))
-    return cut(counted.where(100 * F.col("i") >= percent * (F.col("m") - F.col("i"))).select("a", "b").distinct())
+    return cut(counted.where(100 * F.col("i") >= percent * (F.col("m") - F.col("i"))).select("a", "b").distinct().coalesce(1 + n // LINKS))
 
 
 def components(docs: DataFrame, percent: int = 85, size: int = SIZE) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept."""
     feats = cut(features(docs, percent, size))
+    rows = feats.coalesce(tasks_of(feats.sparkSession)).count()
+    parts, wide = 1 + rows // DOCS, 1 + rows * bands(percent)[0] // LINKS
+    feats = feats.coalesce(parts)
     alive = feats.where("n > 0 and doc_id is not null")
-    classes = cut(alive.groupBy(*_SAME).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = cut(alive.groupBy(*_SAME).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).coalesce(parts)).coalesce(parts)
     # rows of one doc_id are one node: their classes hang together
-    repeats = cut(alive.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
-    shared = alive.join(small(repeats), alive.doc_id == repeats.id).join(classes.select(*_SAME, "rep"), _SAME).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    repeats = cut(alive.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id").coalesce(parts))
+    shared = alive.join(small(repeats), alive.doc_id == repeats.id).join(classes.select(*_SAME, "rep"), _SAME).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct().coalesce(parts)
     # every member of a bucket with its smallest one
     buckets = classes.select("rep", F.explode("bands").alias("band"))
-    live = cut(buckets.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "least", "n"))
-    stars = cut(buckets.join(small(live), "band").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
+    live = cut(buckets.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "least", "n").coalesce(wide))
+    stars = cut(buckets.join(small(live), "band").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct().coalesce(wide))
     sigs = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
-    alike = cut(likely(join_hubs(stars.join(sigs("a"), "a"), sigs("b"), "b", stars), percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
-    best = cut(alike.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")))
+    signed = join_hubs(stars.join(sigs("a"), "a").coalesce(wide), sigs("b"), "b", stars).coalesce(wide)
+    alike = cut(likely(signed, percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate")).coalesce(wide))
+    best = cut(alike.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")).coalesce(parts))
     links = confirmed(best, docs, repeats, percent, size).union(shared)
     joined = cut(connected_components(links))
     root = lambda df, x: df.join(small(joined.select(F.col("node").alias(x), F.col("root").alias(f"_root_{x}"))), x, "left").withColumn(f"root_{x}", F.coalesce(f"_root_{x}", x)).drop(f"_root_{x}")
     # members of buckets that still lie in several components: of two members (here the alike ones that were not confirmed), or of more
-    apart = root(root(alike.join(best, ["a", "b"], "left_anti"), "a"), "b").where("root_a <> root_b")
+    apart = root(root(alike.join(best, ["a", "b"], "left_anti").coalesce(wide), "a"), "b").where("root_a <> root_b")
     apart = apart.select(F.inline(F.array(F.struct(F.col("a").alias("rep"), F.col("root_a").alias("root"), F.col("root_b").alias("least")), F.struct(F.col("b").alias("rep"), F.col("root_b").alias("root"), F.col("root_b").alias("least")))))
     placed = cut(root(buckets.join(small(cut(live.where("n > 2").select("band"))), "band"), "rep").select("band", "rep", F.col("root_rep").alias("root")))
-    open_ = cut(placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band", "least"))
-    inside = cut(placed.join(small(open_), "band").select("rep", "root", "least").union(apart).distinct())
+    open_ = cut(placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band", "least").coalesce(wide))
+    inside = cut(placed.join(small(open_), "band").select("rep", "root", "least").union(apart).distinct().coalesce(wide))
     if inside.count():
         more = cut(_within(docs, feats, inside, repeats, percent, size))
-        joined = cut(connected_components(links.union(more)))
+        joined = cut(connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     reps = classes.join(joined, classes.rep == joined.node, "left").select(*_SAME, F.coalesce("root", "rep").alias("component_id"))
-    full = feats.select("doc_id", *_SAME).join(reps, _SAME, "left")
+    full = feats.select("doc_id", *_SAME).join(reps, _SAME, "left").coalesce(parts)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _within(docs: DataFrame, feats: DataFrame, inside: DataFrame, repeats: DataFrame, percent: int, size: int) -> DataFrame:
     """Confirmed links between members (rep) of different components (root), each of a bucket whose smallest root is least."""
+    parts = 1 + inside.count() // LINKS
     groups = cut(connected_components(inside.select(F.col("root").alias("a"), F.col("least").alias("b")).distinct()))
     ids = inside.select(F.col("rep").alias("id"), "root").distinct().join(small(groups.select(F.col("node").alias("root"), F.col("root").alias("group"))), "root")
     sizes = feats.where("n > 0").groupBy(F.col("doc_id").alias("id")).agg((F.sum("n") + ROW * F.count("*")).alias("weight"))
-    members = cut(ids.join(sizes, "id").select("id", F.col("root").alias("joined"), "group", "weight"))
-    weight = cut(members.groupBy("group").agg(F.ceil(F.sum("weight") / CHUNK).cast("int").alias("chunks")))
+    members = cut(ids.join(sizes, "id").select("id", F.col("root").alias("joined"), "group", "weight").coalesce(parts))
+    weight = cut(members.groupBy("group").agg(F.ceil(F.sum("weight") / CHUNK).cast("int").alias("chunks")).coalesce(parts))
     tasks = max(1, math.ceil(members.select(F.sum("weight")).first()[0] / CHUNK))
     rows = _texts(docs, members.select("id", "joined", "group"), repeats).select("id", "joined", "group", "text")
     sets = _sets(rows, percent, size).join(small(weight), "group")

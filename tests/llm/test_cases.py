@@ -192,3 +192,39 @@ def test_components_of_hubs(spark, monkeypatch):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     assert got == {x: find(x) for x in root}
+
+
+def test_components_of_hubs_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 3)
+    monkeypatch.setattr(common, "LINKS", 20)
+    edges = [(0, i) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(39, 119), (200, 201), (201, 202)] + [(i, i + 1) for i in range(300, 330)]
+    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 0 for x in (*range(40), *range(100, 120))} | {x: 200 for x in (200, 201, 202)} | {x: 300 for x in range(300, 331)}
+
+
+def test_few_documents_take_few_tasks(spark):
+    """However many partitions the input and the shuffles have, what is run is dealt to as many tasks as its rows need."""
+    rng = random.Random(9)
+    docs = []
+    for d in range(150):
+        w = [f"w{i}" for i in range(80)] if d % 2 else [f"y{d // 10}z{i}" for i in range(80)]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(1000)}"
+        docs.append((d, " ".join(w)))
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1k"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few tasks", "")
+        got = near.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(60)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in got) == sorted(brute.near_components(docs))
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))]
+    assert sum(tasks) < 3_000
