@@ -41,7 +41,7 @@ MARGIN = 5.5
 #: Shingles that a task holds of each of two chunks, about, 8 bytes each; and as how many a document counts besides its own.
 CHUNK, ROW = 1_000_000, 200
 #: Documents, and pairs with both their sets, that one partition holds: steps are dealt to as many tasks as their rows need, however many partitions the input or a shuffle has.
-DOCS, PAIRS = 20_000, 5_000
+DOCS, PAIRS = 20_000, 500
 
 _FEATURES = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 _SAME = ["n", "f1", "f2"]
