@@ -5,7 +5,7 @@ descending order and each goes to the lowest-cost sequence that still has room f
 no sequence whole is cut to fill the roomiest ones. Tokenising and packing happen in one pass over
 each input partition, in groups of a bounded number of tokens, so nothing is shuffled, memory does
 not grow with the data (a worker holds one group, one run of texts of bounded size and the ids of a
-bounded number of words, some 80 MB at most, which serve its next task too), and a lost executor repeats only its own partition with the same result.
+bounded number of words, which serve its next task too; the encoder grew by 128 MB over 107 MB of text), and a lost executor repeats only its own partition with the same result.
 
 Every group has exactly as much room as tokens: full sequences of max_tokens, and for the rest
 sequences whose lengths are powers of two, which take no padding.
@@ -18,6 +18,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,15 +33,20 @@ END_ID = 2
 #: Sequences in one packing group; a group holds about 4 MB of ids.
 GROUP_SEQUENCES = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words whose ids are remembered in each worker, in each of two halves (some 130 bytes a word), and the longest such word.
+#: Words whose ids are remembered in each worker, in each of two halves (some 130 bytes a word, and a run's new words more), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
-#: Characters whose words are looked up at once.
-PART_CHARS = 1 << 20
+#: Bytes of text whose words are looked up at once.
+PART_CHARS = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _COMBINING = re.compile("[̀-ͯ]")
-#: One of these after letters is a token of its own, so the letters' ids serve words with and without it.
-_MARKS = frozenset(".,")
+#: Kinds of bytes: ASCII letters, and the marks that are tokens apart from letters before them.
+_LETTER, _MARK = 1, 2
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(string.ascii_letters.encode())] = _LETTER
+_KINDS[list(string.punctuation.replace("'", "").encode())] = _MARK
+_LINES = bytes.maketrans(b"\n", b" ")
+_FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b"\n", string.ascii_lowercase.encode() + b" ")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -48,8 +54,9 @@ class WordEncoder:
     """Ids of whole texts, through a memory of the ids of their words, of two halves of a bounded size.
 
     The vocabulary's words end at white space, so a text's ids are its words' ids one after the
-    other. Words not seen before are encoded together in one call and told apart by the tokens that
-    end a word.
+    other. The words of a run of texts are told apart by Arrow, which also puts their ids in the texts' order, so
+    that Python sees each distinct word of a run once. Marks after ASCII and Latin-1 letters are words of their own. Words not seen before are encoded together in one call and
+    told apart by the tokens that end a word.
     ASCII letters are lowered first, as the tokenizer does it, unless a combining mark could join
     with one. Texts with a special token's opening are encoded whole.
     """
@@ -58,11 +65,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache, self.older, self.odd = {}, {}, {}
+        self.cache, self.older = {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self.direct(m) for m in _MARKS}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -89,79 +95,99 @@ class WordEncoder:
             else:
                 self.cache.update((w, self.direct(w)) for w in some)
 
-    def remember(self, words: set[str]) -> None:
-        """Brings the words' ids into the younger half of the memory; the older half goes when the younger is full."""
-        known = self.cache
-        new = words.difference(known)
-        self.recall(new)
-        new = new.difference(known)  # looks the few words up, where an update in place would go through all that is known
-        short = [w for w in new if len(w) <= CACHE_CHARS]
-        plain = [w for w in short if w.isalpha()]
-        marked = [w for w in short if w[-1:] in _MARKS and w[:-1].isalpha()]
-        stems = {w[:-1] for w in marked}.union(plain).difference(known)
-        self.recall(stems)
-        self.learn([w for w in stems if w not in known])
-        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
-        mixed = [w for w in short if w not in known and w.isprintable() and not _COMBINING.search(w)]
+    def remember(self, words: list[str]) -> dict[str, bytes]:
+        """Brings the ids of words that the younger half of the memory lacks into it; those of words that are not kept are returned."""
+        plain, mixed, odd = [], [], []
+        for w in self.recall(words):
+            if len(w) > CACHE_CHARS:
+                odd.append(w)
+            elif w.isalpha():
+                plain.append(w)
+            else:
+                (mixed if w.isprintable() and not _COMBINING.search(w) else odd).append(w)
+        self.learn(plain)
         self.learn_mixed(mixed)
-        self.odd.update((w, self.direct(w)) for w in new.difference(known))
-
-    def recall(self, words: set[str]) -> None:
-        """Brings what the older half knows of the words into the younger one."""
-        older = self.older
-        known = list(filter(older.__contains__, words))
-        self.cache.update(zip(known, map(older.__getitem__, known)))
-
-    def parts(self, text: str) -> Iterator[list[str]]:
-        """The words of a text, of bounded parts of it at a time."""
-        if len(text) <= PART_CHARS:
-            yield text.split(" ")
-            return
+        return {w: self.direct(w) for w in odd}
+
+    def recall(self, words: list[str]) -> list[str]:
+        """Brings what the older half knows of the words into the younger one; returns the others."""
+        found = list(map(self.older.get, words))
+        self.cache.update((w, x) for w, x in zip(words, found) if x is not None)
+        return [w for w, x in zip(words, found) if x is None]
+
+    def look_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part, a lowered text or words of one."""
+        data, lasts = spaced(parts)
+        ends = np.flatnonzero(data == 32) + 1
+        bounds = np.concatenate([[0], ends]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        n = len(words.dictionary)
+        _, bounds, names = words.dictionary.buffers()
+        distinct = names.to_pybytes()[: np.frombuffer(bounds, np.int32)[n]].decode().split(" ")[:n]
+        found = list(map(self.cache.get, distinct))
+        new = [j for j, x in enumerate(found) if x is None]
+        other = self.remember([distinct[j] for j in new])
+        for j in new:
+            found[j] = other[distinct[j]] if distinct[j] in other else self.cache[distinct[j]]
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        _, bounds, ids = pa.array(found, pa.binary()).take(words.indices).buffers()
+        cuts = np.frombuffer(bounds, np.int32)[np.searchsorted(ends, lasts) + 1].tolist()
+        raw = ids.to_pybytes() if ids else b""
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """A text cut at spaces, which go, into parts of about PART_CHARS bytes; a longer word is a part."""
         at = 0
-        while at < len(text):
-            end = len(text) if at + PART_CHARS >= len(text) else text.rfind(" ", at, at + PART_CHARS)
-            end = end if end > at else text.find(" ", at + PART_CHARS)
-            end = end if end > 0 else len(text)
-            yield text[at:end].split(" ")
+        while len(text) - at > PART_CHARS:
+            end = text.rfind(b" ", at, at + PART_CHARS)
+            end = end if end >= at else text.find(b" ", at + PART_CHARS)
+            if end < 0:
+                break
+            yield text[at:end]
             at = end + 1
+        yield text[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as unsigned little-endian 32-bit numbers. Texts of some PART_CHARS at once are best."""
-        out: list[bytes | None] = []
-        split: list[tuple[int, list[str]]] = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        run: list[tuple[int, bytes]] = []
         size = 0
 
         def join() -> None:
-            # each word is looked up once; only those that are not known become a set
-            found = [list(map(self.cache.get, s)) for _, s in split]
-            gaps = [[j for j, x in enumerate(f) if x is None] for f in found]
-            self.remember({s[j] for (_, s), g in zip(split, gaps) for j in g})
-            cache, odd = self.cache, self.odd
-            for (i, s), f, g in zip(split, found, gaps):
-                for j in g:
-                    f[j] = cache[s[j]] if s[j] in cache else odd[s[j]]
-                ids = b"".join(f)
-                out[i] = ids if out[i] is None else out[i] + ids
-            split.clear()
-            self.odd = {}
-            if len(self.cache) > CACHE_WORDS:
-                self.older, self.cache = self.cache, {}
+            for (i, _), ids in zip(run, self.look_up([p for _, p in run]) if run else ()):
+                out[i].append(ids)
+            run.clear()
 
         for i, t in enumerate(texts):
-            out.append(None)
             if "<|" in t:
-                out[i] = self.direct(t)
+                out[i].append(self.direct(t))
                 continue
-            if t.isascii() or not _COMBINING.search(t):
-                t = t.encode().lower().decode()
-            for words in self.parts(t.replace("\n", " ")):
-                split.append((i, words))
-                size += min(len(t), PART_CHARS)
+            raw = t.encode()
+            combining = (b"\xcc" in raw or b"\xcd" in raw) and _COMBINING.search(t)
+            for part in self.parts(raw.translate(_LINES if combining else _FOLD)):
+                if len(part) > PART_CHARS:  # one word
+                    join()
+                    out[i].append(self.direct(part.decode()))
+                    size = 0
+                    continue
+                run.append((i, part))
+                size += len(part)
                 if size > PART_CHARS:
                     join()
                     size = 0
         join()
-        return [x if x is not None else b"" for x in out]
+        return [b"".join(x) for x in out]
+
+
+def spaced(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts as one, with a space after each and between a letter and a mark after it; and where each one's last space ends."""
+    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    marks = np.flatnonzero(_KINDS[data] == _MARK)
+    before, latin = data[marks - 1], (data[marks - 2] == 0xC3) & (marks > 1)
+    at = marks[(marks > 0) & ((_KINDS[before] == _LETTER) | latin & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]
+    lasts = np.cumsum([len(p) + 1 for p in parts])
+    return np.insert(data, at, 32), lasts + np.searchsorted(at, lasts)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -69,6 +69,38 @@ def test_packing_of_long_texts_in_parts(spark, monkeypatch):
     assert enc.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_packing_looks_up_each_word_of_a_run_once():
+    import public_tokenizers
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc.cache = Counted()
+    texts = ["The cat sat. " * 2000, "the cat, the café### \n" * 2000, ""]
+    got = enc.encode(texts)
+    assert got == [enc.direct(t) for t in texts]
+    assert enc.cache.asked < 20
+    assert set(enc.cache) == {"the", "cat", "sat", "café", ".", ",", "###", ""}
+
+
+@pytest.mark.parametrize("part", [1, 7, 1 << 22])
+def test_packing_of_words_with_marks(monkeypatch, part):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "PART_CHARS", part)
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    stems = ["", "a", "Z", "é", "É", "ß", "×", "a×", "÷", "º", "½", "a1", "İ", "ı", "ς", "ц", "中", "क़", "e\u0301", "E\u0301", "it's", "a\tb", "a\xa0", "x" * 60]
+    marks = ["", ",", "...", "###", "'", "'s", "'s,", "<", "<\u0338", "<|", "<|endoftext|>", ",b.", "\u0301", "_", "\x7f", "»,"]
+    texts = [f"{s}{m}{end}" for s in stems for m in marks for end in ("", " ", "\nB,")]
+    texts += [" ".join(t for t in texts if "<|" not in t), ",", "é,", "\n"]
+    assert enc.encode(texts) == [enc.direct(t) for t in texts]
+
+
 # chat ------------------------------------------------------------------------------------------
 EVENTS = "conv_id long, seq long, message_id string, kind string, role string, text string, n int, nth int"
 
